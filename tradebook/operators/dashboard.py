@@ -47,8 +47,8 @@ def run_stats(df: DataFrame, total: int | Column | None = None) -> DataFrame:
         F.count_if(~F.col("url_ok")).alias("iv"), F.count_if(F.col("scraped_ok")).alias("s"),
         F.count_if(~F.col("scraped_ok")).alias("f"))
     out = per.agg(
-        F.count(F.lit(1)).alias("processed_businesses"), F.count_if("ok = 1").alias("successful_searches"),
-        F.count_if("ok = 0").alias("failed_searches"), F.sum("v").alias("valid_urls"),
+        F.count(F.lit(1)).alias("processed_businesses"), F.count_if(F.col("ok") == 1).alias("successful_searches"),
+        F.count_if(F.col("ok") == 0).alias("failed_searches"), F.sum("v").alias("valid_urls"),
         F.sum("iv").alias("invalid_urls"), F.sum("s").alias("successful_scrapes"),
         F.sum("f").alias("failed_scrapes"))
     if total is not None:

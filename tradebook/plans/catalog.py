@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from tradebook.plans import quality_queries, records_queries  # noqa: F401
+from tradebook.plans import (  # noqa: F401
+    page_queries,
+    quality_queries,
+    ranking_queries,
+    records_queries,
+)
 from tradebook.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -5,8 +5,7 @@ from pyspark.sql import functions as F
 from tradebook.functions.rules import Rule, issue_lines, validate_rules, validate_variant
 from tradebook.operators import dashboard as D
 from tradebook.operators import quality as Q
-from tradebook.operators import records as R
-from tradebook.plans.records_queries import KEY_SQL, NAME_ERRORS, NAME_WARN, business_sql
+from tradebook.plans.records_queries import NAME_ERRORS, NAME_WARN, business_sql
 from tradebook.plans.registry import query
 
 RULES = {
@@ -141,14 +140,3 @@ def _(i):
 @query("export_businesses", "SELECT id, business_name, address, state, zip_code, created_at FROM @businesses WHERE verified")
 def _(i):
     return D.export_businesses(i.businesses, verified_only=True)
-
-
-@query("dedup_key_counts", f"SELECT {KEY_SQL} AS business_key, count(*) AS count FROM @businesses GROUP BY 1")
-def _(i):
-    from tradebook.functions.text import business_key
-    return D.count_by(i.businesses.withColumn("business_key", business_key("business_name", "address")), "business_key")
-
-
-@query("observe_clean", "SELECT id FROM @businesses WHERE coalesce(business_name, '') <> '' AND coalesce(address, '') <> '' AND coalesce(created_at, '') <> ''")
-def _(i):
-    return R.clean_business(i.businesses).select("id")
