@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from tradebook.plans import (  # noqa: F401
+    event_queries,
     page_queries,
     quality_queries,
     ranking_queries,

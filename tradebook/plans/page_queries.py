@@ -31,10 +31,10 @@ _TEXT = "replace(replace(replace(replace(replace(replace(replace(regexp_replace(
 
 def near_sql(pairs: str) -> str:
     """Check SQL: first address near the name for (page_id, business_name, html) pairs."""
-    ctx = f"""(SELECT page_id, business_name, at, page_id || '/' || business_name || '/' || at AS pk, array_to_string(lines[greatest(at - 2, 1):least(at + 2, len(lines))], ' ') AS t FROM (
-      SELECT page_id, business_name, lines, unnest(range(1, len(lines) + 1)) AS at FROM (SELECT page_id, business_name, string_split({_TEXT}, chr(10)) AS lines FROM {pairs})) WHERE contains(lower(lines[at]), lower(business_name)))"""
+    ctx = f"""(SELECT page_id, business_name, ln, page_id || '/' || business_name || '/' || ln AS pk, array_to_string(lines[greatest(ln - 2, 1):least(ln + 2, len(lines))], ' ') AS t FROM (
+      SELECT page_id, business_name, lines, unnest(range(1, len(lines) + 1)) AS ln FROM (SELECT page_id, business_name, string_split({_TEXT}, chr(10)) AS lines FROM {pairs})) WHERE contains(lower(lines[ln]), lower(business_name)))"""
     return f"""SELECT page_id, business_name, t AS raw_address, street, city, state, zip_code, 0.75::DOUBLE AS confidence, 'text_content' AS source FROM (
-      SELECT c.*, x.* EXCLUDE (pk), row_number() OVER (PARTITION BY page_id, business_name ORDER BY at) AS rn FROM {ctx} c JOIN ({extract_sql(ctx, 'pk', 't', True)}) x ON x.pk = c.pk WHERE street IS NOT NULL) WHERE rn = 1"""
+      SELECT c.*, x.* EXCLUDE (pk), row_number() OVER (PARTITION BY page_id, business_name ORDER BY ln) AS rn FROM {ctx} c JOIN ({extract_sql(ctx, 'pk', 't', True)}) x ON x.pk = c.pk WHERE street IS NOT NULL) WHERE rn = 1"""
 
 
 _NAMES = "(SELECT DISTINCT concat('Acme ', CAST(c_custkey % 97 AS VARCHAR(10))) AS business_name FROM customer)"

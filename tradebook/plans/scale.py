@@ -42,29 +42,30 @@ def carry_in(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column],
 
 
 def with_sessions(df: DataFrame, keys: Sequence[str], t: str, gap: Column | int,
-                  chunk_seconds: int = 3600) -> DataFrame:
+                  chunk_seconds: int = 3600, strict: bool = False) -> DataFrame:
     """Add ``_session``: the time at which the row's run of rows closer than ``gap`` began.
 
-    ``df`` must hold one row per (keys, t) and ``gap`` be constant per key.
+    A distance of exactly ``gap`` starts a new run unless ``strict``. ``df`` must hold one row per
+    (keys, t) and ``gap`` be constant per key. Only one summary row per (key, chunk) travels along
+    the key.
     """
+    def apart(later: Column, earlier: Column, limit: Column) -> Column:
+        return later - earlier > limit if strict else later - earlier >= limit
+
     gap = F.lit(gap) if isinstance(gap, int) else gap
     cut = with_chunk(df, t, chunk_seconds)
     local = chunk_window(keys, [t])
     cut = cut.withColumn("_gap", gap).withColumn("_prev", F.lag(t).over(local)) \
-        .withColumn("_cut", F.when(F.col(t) - F.col("_prev") >= F.col("_gap"), F.col(t)))
-
-    def hand(before: Window, along: Window) -> dict[str, Column]:
-        prev_max = F.lag("_max_t").over(along)
-        return {"_first_cut": F.when(prev_max.isNull() | (F.col("_min_t") - prev_max >= F.col("_gap0")),
-                                     F.col("_min_t"))}
-
+        .withColumn("_cut", F.when(apart(F.col(t), F.col("_prev"), F.col("_gap")), F.col(t)))
+    along = Window.partitionBy(*keys).orderBy(CHUNK)
+    prev_max = F.lag("_max_t").over(along)
     summary = cut.groupBy(*keys, CHUNK).agg(
         F.min(t).alias("_min_t"), F.max(t).alias("_max_t"), F.max("_cut").alias("_last_cut"),
-        F.first("_gap").alias("_gap0"))
-    along = Window.partitionBy(*keys).orderBy(CHUNK)
-    summary = summary.withColumn("_first_cut", hand(along, along)["_first_cut"])
-    summary = summary.select(*keys, CHUNK, F.max(F.coalesce("_last_cut", "_first_cut")).over(
-        along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), "_first_cut")
+        F.first("_gap").alias("_gap0")) \
+        .withColumn("_first_cut", F.when(
+            prev_max.isNull() | apart(F.col("_min_t"), prev_max, F.col("_gap0")), F.col("_min_t"))) \
+        .select(*keys, CHUNK, "_first_cut", F.max(F.coalesce("_last_cut", "_first_cut")).over(
+            along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     out = cut.join(summary, [*keys, CHUNK], "inner")
     running = F.max("_cut").over(local.rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("_session", F.coalesce(running, "_first_cut", "_before")) \
