@@ -2,6 +2,7 @@
 
 from tradebook.plans import (  # noqa: F401
     event_queries,
+    flow_queries,
     page_queries,
     quality_queries,
     ranking_queries,

@@ -302,12 +302,11 @@ def _(i):
     return K.hit_ratio(K.cache_lookup(i.op_events), 2)
 
 
-@query("insert_missing", "SELECT c_custkey AS id, c_name AS name, 'customer' AS kind FROM customer UNION ALL SELECT DISTINCT user_id, NULL, 'user' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query("insert_missing", "SELECT DISTINCT user_id AS id, CAST(NULL AS VARCHAR) AS name, 'user' AS kind FROM events UNION ALL SELECT c_custkey, c_name, 'customer' FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 def _(i):
-    target = i.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("customer").alias("kind"))
-    odd = i.customer.filter("c_custkey % 2 = 1").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit("customer").alias("kind"))
-    new = i.events.select(F.col("user_id").alias("id"))
-    return K.insert_missing(target, new, ["id"], {"kind": F.lit("user")}).unionByName(odd)
+    target = i.events.select(F.col("user_id").alias("id"), F.lit(None).cast("string").alias("name"), F.lit("user").alias("kind")).distinct()
+    rows = i.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return K.insert_missing(target, rows, ["id"], {"kind": F.lit("customer")})
 
 
 @query("reconcile_replicas", """SELECT * FROM (SELECT r.*, max(ts) OVER (PARTITION BY cache_key) AS correct_ts, last_value(value) OVER (PARTITION BY cache_key ORDER BY ts, value ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS correct_value FROM @replicas r)
@@ -316,12 +315,12 @@ def _(i):
     return K.reconcile_replicas(i.replicas)
 
 
-_SNAP = "SELECT cache_key, last_access - 1 AS last_access, access_count, size_bytes, ttl, priority FROM @entries WHERE CAST(cache_key AS BIGINT) % 2 = 0"
+_SNAP = "SELECT cache_key, last_access - 1 AS last_access, access_count, size_bytes, ttl, priority FROM @entries WHERE priority <> 'LOW'"
 
 
 @query("restore_snapshot", f"SELECT * FROM @entries WHERE cache_key NOT IN (SELECT cache_key FROM ({_SNAP})) UNION ALL {_SNAP}")
 def _(i):
-    snap = i.entries.filter("CAST(cache_key AS BIGINT) % 2 = 0").withColumn("last_access", F.col("last_access") - 1)
+    snap = i.entries.filter("priority <> 'LOW'").withColumn("last_access", F.col("last_access") - 1)
     return K.restore_snapshot(i.entries, snap)
 
 

@@ -101,7 +101,7 @@ SELECT event_id, event_id AS t, concat('node-', CAST(user_id % 5 AS VARCHAR(5)))
 """
 
 VIEWS["replicas"] = """
-SELECT cache_key, node_id, max(t) AS ts, max_by(latency_ms, t) AS value FROM @op_events WHERE type = 'SET' GROUP BY cache_key, node_id
+SELECT cache_key, concat('node-', CAST(event_id % 3 AS VARCHAR(5))) AS node_id, max(t) AS ts, max_by(latency_ms, t) AS value FROM @op_events WHERE type = 'SET' GROUP BY 1, 2
 """
 
 VIEWS["http_log"] = """
