@@ -9,8 +9,8 @@ SPACES = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
     "        　"
 )
-# The same set as a regular-expression class (Java syntax).
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+# A run of them as a regular expression (Java syntax).
+SPACE_RUN = r"(?U:[\s\x1c-\x1f]+)"
 
 # Full state names and their codes; order matters for prefix matches.
 STATE_NAMES = [

@@ -182,7 +182,7 @@ def component_errors(parts: Column) -> Column:
 
 
 def validate_components(parts: Column) -> Column:
-    return verdict(component_errors(parts))
+    return verdict(let(parts, component_errors))
 
 
 def address_text_errors(c: ColumnLike) -> Column:

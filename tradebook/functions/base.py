@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tradebook.fixed import SPACE, SPACES
+from tradebook.fixed import SPACE_RUN, SPACES
 
 ColumnLike = Column | str
 
@@ -32,7 +32,7 @@ def strip(c: ColumnLike) -> Column:
 
 def words(c: ColumnLike) -> Column:
     """White-space separated words; an empty array for blank text."""
-    return F.filter(F.split(as_col(c), SPACE + "+"), lambda w: w != "")
+    return F.filter(F.split(as_col(c), SPACE_RUN), lambda w: w != "")
 
 
 def capture(c: ColumnLike, pattern: str, group: int) -> Column:

@@ -13,7 +13,12 @@ from tradebook.functions.base import (
 
 def clean_text(c: ColumnLike) -> Column:
     """NULL becomes '', white-space runs become one space, ends are trimmed."""
-    return strip(F.regexp_replace(text(c), fixed.SPACE + "+", " "))
+    return F.trim(collapse(text(c)))
+
+
+def collapse(c: Column) -> Column:
+    """Every white-space run as one space."""
+    return F.regexp_replace(c, fixed.SPACE_RUN, " ")
 
 
 def format_address(c: ColumnLike) -> Column:
@@ -28,8 +33,8 @@ def format_address(c: ColumnLike) -> Column:
 
     def finish(parts: Column) -> Column:
         one = F.array_join(parts, ", ")
-        one = F.regexp_replace(one, "," + fixed.SPACE + "*,", ",")
-        one = F.btrim(F.regexp_replace(one, fixed.SPACE + "+", " "), F.lit(" ,"))
+        one = F.regexp_replace(one, f",{fixed.SPACE_RUN}?,", ",")
+        one = F.btrim(collapse(one), F.lit(" ,"))
         return F.when(F.size(parts) == 0, F.lit("")).otherwise(let(
             one, lambda a: F.when(a.rlike(r"(?U)\d"), a).otherwise(F.concat(F.lit("[PARTIAL] "), a))))
 
@@ -108,7 +113,7 @@ def parse_model_query(c: ColumnLike) -> Column:
         return F.when(s.startswith('"') & s.endswith('"') & (F.length(s) >= 2),
                       strip(F.substring(s, F.lit(2), F.length(s) - 2))) \
             .when(s == '"', F.lit("")).otherwise(s)
-    return let(unquote(clean_text(c)), lambda q: F.when(
+    return let(let(clean_text(c), unquote), lambda q: F.when(
         (F.length(q) >= 5) & contains_any(F.lower(q), fixed.MODEL_QUERY_TERMS), q))
 
 

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tradebook.sources.layout import spread
+
 VIEWS: dict[str, str] = {}
 
 VIEWS["businesses"] = """
@@ -127,6 +129,8 @@ SELECT c_name || '-secret-' || CAST(c_custkey AS VARCHAR(20)) AS token, concat('
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+# Tables whose rows cause much work each: their text is parsed, not just aggregated.
+WORDY = {"documents", "pages", "orders", "customer"}
 _NAME = re.compile(r"@(\w+)")
 
 
@@ -152,7 +156,8 @@ class Inputs:
             if name in VIEWS:
                 self._made[name] = self.sql(VIEWS[name])
             elif name in TABLES:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._made[name] = spread(table) if name in WORDY else table
             else:
                 raise AttributeError(name)
         return self._made[name]
