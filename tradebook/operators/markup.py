@@ -37,7 +37,7 @@ class Element:
         while stack:
             for part in stack[-1]:
                 if isinstance(part, str):
-                    yield part
+                    yield part.replace("\n", " ") if breaks else part
                 elif not (breaks and part.tag in _HIDDEN):
                     if breaks and part.tag in _BLOCK:
                         yield "\n"

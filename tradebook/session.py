@@ -25,17 +25,22 @@ def build_session(app: str = "tradebook", cpus: int | str = "*", shuffle_partiti
     )
 
 
+_FALLBACK: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made.
+    Only where the session names none (tests on one machine) a temporary folder is made, once per
+    application.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    named = tempfile.mkdtemp(prefix="tradebook-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    app = spark.sparkContext.applicationId
+    if app not in _FALLBACK:
+        _FALLBACK[app] = tempfile.mkdtemp(prefix="tradebook-")
+    return _FALLBACK[app]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
