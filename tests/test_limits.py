@@ -83,7 +83,8 @@ def test_alerts(spark, threshold):
 @pytest.mark.parametrize("ordered", [True, False])
 @pytest.mark.parametrize("reuse", [True, False])
 @pytest.mark.parametrize("within", [5, 60])
-def test_patterns(spark, ordered, reuse, within):
+@pytest.mark.parametrize("chunk", [7, 100])
+def test_patterns(spark, ordered, reuse, within, chunk):
     types = ["A", "B", "A"] if ordered else ["A", "B", "C"]
     rows = [(k, t, n, "ABCD"[int(x * 4)]) for k, t, n, x in skewed(1500, within, 3000)]
     window, expected = {}, set()
@@ -100,7 +101,7 @@ def test_patterns(spark, ordered, reuse, within):
                 w = [(t, k, kind)] if again else []
         window[n] = w
     df = spark.createDataFrame(rows, "event_id bigint, t bigint, node_id string, type string")
-    got = limits.match_pattern(df, types, within, "node_id", ordered, None, reuse, chunk_seconds=40)
+    got = limits.match_pattern(df, types, within, "node_id", ordered, None, reuse, chunk_seconds=chunk)
     assert {(r["node_id"], r["start_t"], r["end_t"], tuple(r["event_ids"])) for r in got.collect()} == expected
 
 

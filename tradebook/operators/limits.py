@@ -2,19 +2,22 @@
 
 A decision depends on earlier decisions, so these are small state machines. Batch runs first
 reduce rows of one key and time unit to one summary row, cut keys at idle gaps longer than the
-machine's memory, and fold the summaries; streams run the same steps row by row
-(tradebook.streaming.stateful).
+machine's memory, and fold the summaries; patterns are matched per time chunk. Streams run the
+same steps row by row (tradebook.streaming.stateful).
 """
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradebook.operators.keyed import with_rule
-from tradebook.plans.scale import sorted_fold, spaced, with_sessions
+from tradebook.plans.scale import CHUNK, sorted_fold, spaced, with_chunk, with_sessions
 
 # --- steps ----------------------------------------------------------------------------------
 
@@ -103,7 +106,9 @@ def pattern_step(state: dict, t, event_id: int, kind: str, types: Sequence[str],
         state.update(pattern_start())
 
     def take() -> bool:
-        if ordered and (len(state["hits"]) >= len(types) or types[len(state["hits"])] != kind):
+        have = len(state["hits"])
+        # a full window that is no match is stuck until it expires
+        if have >= len(types) or (ordered and types[have] != kind):
             return False
         if not state["hits"]:
             state["start"] = t
@@ -235,28 +240,153 @@ def alerts_with_dedup(events: DataFrame, threshold: int = 5, window: int = 300,
                         F.lit(False).alias("notified")).unionByName(loud)
 
 
+class _PatternChunk:
+    """What a stretch of one key's fitting events does to any pattern window it is entered with.
+
+    A window entering a chunk either completes, or expires at the first event more than ``within``
+    after its start and leaves the matching idle from there on, or stays open. The summary keeps
+    the outcome of being idle before each early event (as runs of equal outcomes) and how a window
+    with 1, 2, ... matched events would go on. Entering windows can then be followed from chunk to
+    chunk without the events.
+    """
+
+    def __init__(self, t: list, ids: list, kinds: list, types: Sequence[str], within, ordered: bool, reuse: bool):
+        self.t, self.ids, self.kinds = t, ids, kinds
+        self.types, self.within, self.ordered, self.reuse = list(types), within, ordered, reuse and len(types) > 1
+        self.spots: dict[str, list[int]] = {}
+        for at, kind in enumerate(kinds):
+            self.spots.setdefault(kind, []).append(at)
+        self.known: dict[int, dict] = {}
+
+    def _next(self, kind: str, at: int) -> int | None:
+        spots = self.spots.get(kind, [])
+        k = bisect_left(spots, at)
+        return spots[k] if k < len(spots) else None
+
+    def fill(self, at: int, have: int) -> list[int]:
+        """Events from ``at`` on that a window with ``have`` matched events takes."""
+        if not self.ordered:
+            return list(range(at, min(len(self.t), at + len(self.types) - have)))
+        out = []
+        for kind in self.types[have:]:
+            at = self._next(kind, at)
+            if at is None:
+                break
+            out.append(at)
+            at += 1
+        return out
+
+    def after(self, done: int) -> dict:
+        return self.idle_from(done if self.reuse else done + 1)
+
+    def idle_from(self, at: int) -> dict:
+        """State at the end of the chunk when no window is open before event ``at``."""
+        path = []
+        while True:
+            if at in self.known:
+                out = self.known[at]
+                break
+            path.append(at)
+            first = (self._next(self.types[0], at) if self.ordered else at if at < len(self.t) else None)
+            if first is None:
+                out = pattern_start()
+                break
+            limit = self.t[first] + self.within
+            taken = [k for k in [first, *self.fill(first + 1, 1)] if self.t[k] <= limit]
+            if _full([self.kinds[k] for k in taken], self.types, self.ordered):
+                at = taken[-1] if self.reuse else taken[-1] + 1
+                continue
+            expiry = bisect_right(self.t, limit)
+            if expiry < len(self.t):
+                at = expiry
+                continue
+            out = {"start": self.t[first], "hits": [self.ids[k] for k in taken], "types": [self.kinds[k] for k in taken]}
+            break
+        for k in path:
+            self.known[k] = out
+        return out
+
+    def summary(self, base) -> str:
+        """``base`` is the chunk's first possible time: windows entering it began before."""
+        runs: list[list] = []
+        for at in range(len(self.t)):
+            if at and self.t[at - 1] > base + self.within:
+                break
+            out = self.idle_from(at)
+            if runs and runs[-1][1] == out:
+                runs[-1][0] = self.t[at]
+            else:
+                runs.append([self.t[at], out])
+        going = []
+        for have in range(1, len(self.types) + 1):
+            rows = self.fill(0, have)
+            full = rows and len(rows) == len(self.types) - have
+            going.append({"rows": [[self.t[k], self.ids[k], self.kinds[k]] for k in rows],
+                          "after": self.after(rows[-1]) if full else None})
+        return json.dumps({"idle": self.idle_from(0), "runs": runs, "going": going})
+
+
+def _full(kinds: list[str], types: Sequence[str], ordered: bool) -> bool:
+    return len(kinds) == len(types) and (ordered or set(kinds) == set(types))
+
+
+def _enter(state: dict, summary: dict, types: Sequence[str], within, ordered: bool) -> dict:
+    """State after a chunk that is entered with ``state``."""
+    if not state["hits"]:
+        return summary["idle"]
+    limit, going = state["start"] + within, summary["going"][len(state["hits"]) - 1]
+    taken = [r for r in going["rows"] if r[0] <= limit]
+    kinds = state["types"] + [r[2] for r in taken]
+    if taken and going["after"] is not None and len(taken) == len(going["rows"]) and _full(kinds, types, ordered):
+        return going["after"]
+    for last_t, out in summary["runs"]:
+        if last_t > limit:
+            return out
+    return {"start": state["start"], "hits": state["hits"] + [r[1] for r in taken], "types": kinds}
+
+
 def match_pattern(events: DataFrame, types: Sequence[str], within: int, by: str | None = None,
                   ordered: bool = True, metadata: Column | None = None, reuse_completing_event: bool = False,
                   chunk_seconds: int = 3600) -> DataFrame:
     """Non-overlapping occurrences of a composite pattern of event types.
 
     Events (event_id, t, type) are matched per ``by`` value (all together when None), skipping
-    events that do not fit; ``metadata`` is a condition every event must meet. Only fitting rows
-    are shuffled, keys are cut where two of them lie more than ``within`` apart, and long runs are
-    streamed through the state machine in order.
+    events that do not fit; ``metadata`` is a condition every event must meet. Matching depends on
+    everything before, yet no key has to pass through one task: keys are cut into time chunks,
+    each chunk is summarised on its own, the small summaries are followed along the key to find
+    the window every chunk is entered with, and then all chunks are matched at once.
     """
-    fitting = events.filter(F.col("type").isin(list(types)))
+    types, reuse = list(types), reuse_completing_event
+    fitting = events.filter(F.col("type").isin(types))
     if metadata is not None:
         fitting = fitting.filter(metadata)
     key = by or "_all"
-    rows = fitting.select((F.col(by) if by else F.lit("all")).alias(key), "t", "event_id", "type")
-    runs = with_sessions(rows.select(key, "t").distinct(), [key], "t", within, chunk_seconds, strict=True)
-    keyed = rows.join(runs, [key, "t"])
+    rows = with_chunk(fitting.select((F.col(by) if by else F.lit("all")).alias(key), "t", "event_id", "type"),
+                      "t", chunk_seconds)
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def summarise(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "event_id"])
+        chunk = _PatternChunk(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["type"].tolist(), types, within,
+                              ordered, reuse)
+        return pd.DataFrame([(*group, chunk.summary(group[1] * chunk_seconds))], columns=[key, CHUNK, "summary"])
+
+    summaries = rows.groupBy(key, CHUNK).applyInPandas(
+        summarise, f"{key} {fields[key]}, {CHUNK} {fields[CHUNK]}, summary string")
+
+    def follow(state: dict, _chunk, summary: str) -> tuple[str]:
+        entered = json.dumps(state)
+        state.update(_enter(dict(state), json.loads(summary), types, within, ordered))
+        return (entered,)
+
+    entries = sorted_fold(summaries, [key], [CHUNK], [CHUNK, "summary"], pattern_start, follow, "entered string")
 
-    def step(state, t, event_id, kind):
-        return pattern_step(state, t, event_id, kind, types, within, ordered, reuse_completing_event)
+    def step(state: dict, t, event_id, kind, entered: str) -> tuple:
+        if not state:
+            state.update(json.loads(entered))
+        return pattern_step(state, t, event_id, kind, types, within, ordered, reuse)
 
-    folded = sorted_fold(keyed, [key, "_session"], ["t", "event_id"], ["t", "event_id", "type"],
-                         pattern_start, step, "start_t bigint, event_ids array<bigint>")
+    folded = sorted_fold(rows.join(entries.select(key, CHUNK, "entered"), [key, CHUNK]), [key, CHUNK], ["t", "event_id"],
+                         ["t", "event_id", "type", "entered"], dict, step, "start_t bigint, event_ids array<bigint>")
     found = folded.filter(F.col("start_t").isNotNull())
     return found.select(*([by] if by else []), "start_t", F.col("t").alias("end_t"), "event_ids")
