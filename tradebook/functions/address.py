@@ -20,8 +20,8 @@ def normalize_state(c: ColumnLike) -> Column:
     two-character text passes through, anything else is NULL.
     """
     codes = [code for _, code in fixed.STATE_NAMES]
-    table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(k).alias("code"))
-                      for n, k in fixed.STATE_NAMES])
+    table = F.expr("array(" + ", ".join(
+        f"named_struct('name', '{n}', 'code', '{k}')" for n, k in fixed.STATE_NAMES) + ")")
 
     def resolve(s: Column) -> Column:
         named = F.try_element_at(F.filter(table, lambda e: e["name"] == s), F.lit(1))["code"]

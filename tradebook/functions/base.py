@@ -45,8 +45,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def quoted(value: str) -> str:
+    """The text as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def texts(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """Array of fixed texts, built in one call."""
+    return F.expr("array(" + ", ".join(quoted(v) for v in values) + ")")
 
 
 def contains_any(c: Column, values: Iterable[str]) -> Column:

@@ -11,7 +11,14 @@ from tradebook import fixed
 from tradebook.functions.address import extract_address, match_state, validate_address_parts
 from tradebook.functions.base import blank, let, text, words
 from tradebook.functions.checks import is_valid_url, validate_business
-from tradebook.functions.scoring import relevance_score
+from tradebook.functions.scoring import basic_relevance, relevance_score
+from tradebook.functions.text import (
+    build_prompt,
+    build_score_prompt,
+    fallback_query,
+    parse_model_query,
+    parse_model_score,
+)
 from tradebook.plans.scale import first_rows
 
 RESULT = "struct<pos:bigint,url:string,title:string,description:string,relevance_score:double>"
@@ -29,6 +36,33 @@ def query_variations(df: DataFrame, name: str = "business_name", state: str | No
     return df.select("*", F.posexplode(F.array(*[fill(p) for p in patterns])).alias("position", "query"))
 
 
+def enhance_queries(df: DataFrame, model: Callable[[Column], Column] | None = None,
+                    name: str = "business_name") -> DataFrame:
+    """Add ``search_query``: the model's usable answer, else the fallback query.
+
+    ``model`` maps the prompt column to the answer column, for example a Pandas UDF around a
+    model loaded once per worker; without one every row takes the fallback.
+    """
+    answer = parse_model_query(model(build_prompt(name))) if model else F.lit(None).cast("string")
+    return df.withColumn("search_query", F.coalesce(answer, fallback_query(name))) \
+        .withColumn("enhancement", F.when(answer.isNotNull(), "model").otherwise("fallback"))
+
+
+def score_results(df: DataFrame, model: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Add ``relevance_score`` by the model, or by keywords when there is none."""
+    if model is None:
+        score = basic_relevance("title", "description", "url")
+    else:
+        score = parse_model_score(model(build_score_prompt("title", "description", "url")))
+    return df.withColumn("relevance_score", score)
+
+
+def members(df: DataFrame, col: str, allowed: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows whose value is (or is not) in the first column of ``allowed``."""
+    known = allowed.select(F.col(allowed.columns[0]).alias(col))
+    return df.join(known, col, "left_semi" if inside else "left_anti")
+
+
 def dedup_results(df: DataFrame) -> DataFrame:
     """First result (by pos) per business and URL; blank and invalid URLs are dropped."""
     return first_rows(df.filter(~blank("url") & is_valid_url("url")), ["business_id", "url"], ["pos"])

@@ -115,3 +115,18 @@ def _(i):
 @query("from_class_patterns", "SELECT page_id, 2::INTEGER AS pattern, CAST(page_id + 1 AS VARCHAR(10)) || ' Elm St, Troy, NY 12180' AS text FROM pages")
 def _(i):
     return P.from_class_patterns(_linked(i))
+
+
+@query("addresses_for_names", """SELECT c_custkey + 1 AS row_id, c_name AS business_name, CASE WHEN p.page_id IS NULL THEN '' WHEN p.page_id % 2 = 0 THEN p.page_id || ' Elm St, Troy' WHEN p.page_id % 3 = 0 THEN '7 Elm Rd, Troy, 12180' ELSE '[PARTIAL] Old Town Road' END AS address
+  FROM customer LEFT JOIN pages p ON c_custkey = p.page_id""")
+def _(i):
+    from tradebook.plans.flows import addresses_for_names
+    names = i.customer.select((F.col("c_custkey") + 1).alias("row_id"), F.col("c_name").alias("business_name"))
+    k = F.col("page_id")
+    base = i.pages.select("page_id", (k + 1).alias("row_id"), "url", "html")
+    listing = base.withColumn("html", F.when(k % 2 == 0, F.concat(
+        F.lit('<div class="search-results"><address class="card-text">'), k.cast("string"), F.lit(" Elm St<br> Troy</address></div>")))
+        .otherwise("<p>0 results</p>"))
+    review = base.withColumn("html", F.when(k % 3 == 0, F.lit('<script id="__NEXT_DATA__">{"props":{"pageProps":{"business":{"location":{"street":"7 Elm Rd","city":"Troy","zipCode":"12180"}}}}}</script>'))
+                             .otherwise('<div class="location-info"><p>Old Town Road</p></div>'))
+    return addresses_for_names(names, listing, review)

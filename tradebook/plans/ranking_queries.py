@@ -142,3 +142,37 @@ def _(i):
 def _(i):
     short = i.customer.select(F.substring(F.lower("c_mktsegment"), 1, 4).alias("business_name")).distinct()
     return G.name_mentions(i.pages_biz, "page_id", "html", _names(i).select("business_name").unionByName(short))
+
+
+# --- model hooks, membership, end-to-end ----------------------------------------------------
+
+@query("enhance_queries", """SELECT id, CASE WHEN id % 2 = 0 THEN trim(regexp_replace(business_name, '\\s+', ' ', 'g')) || ' office location' ELSE business_name || ' business address location New York NY official records contact information' END AS search_query,
+  CASE WHEN id % 2 = 0 THEN 'model' ELSE 'fallback' END AS enhancement FROM @businesses""")
+def _(i):
+    def model(_prompt):
+        return F.when(F.col("id") % 2 == 0, F.concat(F.lit(' "'), F.col("business_name"), F.lit(' office location" '))).otherwise("?")
+    return G.enhance_queries(i.businesses, model).select("id", "search_query", "enhancement")
+
+
+@query("score_results", "SELECT pos, CASE WHEN pos % 3 = 0 THEN 0.5::DOUBLE WHEN pos % 3 = 1 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS relevance_score FROM @search_results")
+def _(i):
+    k = F.col("pos") % 3
+    return G.score_results(i.search_results, lambda _p: F.when(k == 0, "good").when(k == 1, "7").otherwise(" 0.25 ")).select("pos", "relevance_score")
+
+
+@query("members", "SELECT business_id, pos FROM @search_results WHERE business_id IN (SELECT id FROM @businesses WHERE verified)")
+def _(i):
+    return G.members(i.search_results.select("business_id", "pos"), "business_id", i.businesses.filter("verified").select("id"))
+
+
+@query("non_members", "SELECT business_id, pos FROM @search_results WHERE business_id NOT IN (SELECT id FROM @businesses WHERE verified)")
+def _(i):
+    return G.members(i.search_results.select("business_id", "pos"), "business_id", i.businesses.filter("verified").select("id"), inside=False)
+
+
+@query("businesses_from_results", f"""WITH top AS (SELECT * FROM {TOP}), hits AS (SELECT t.business_id AS id, t.business_name, x.street AS address, x.state, x.zip_code, row_number() OVER (PARTITION BY t.business_id ORDER BY t.relevance_score DESC, t.pos) AS first
+    FROM top t JOIN ({extract_sql("(SELECT pos, title || chr(10) || description AS body FROM @search_results)", 'pos', 'body', True)}) x ON x.pos = t.pos WHERE {PARTS_OK.replace('street', 'x.street').replace('city', 'x.city').replace('zip_code', 'x.zip_code')} AND len({NAME_ERRORS.replace('business_name', 't.business_name')}) = 0)
+  SELECT id, business_name, address, state, zip_code, '2024-01-31' AS created_at FROM (SELECT *, row_number() OVER (PARTITION BY lower(business_name), lower(address) ORDER BY id) AS rn FROM hits WHERE first = 1) WHERE rn = 1""")
+def _(i):
+    from tradebook.plans.flows import businesses_from_results
+    return businesses_from_results(i.search_results, "2024-01-31")
