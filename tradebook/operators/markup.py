@@ -110,6 +110,17 @@ def _compile(selector: str) -> list[tuple[str, list[dict]]]:
     return steps
 
 
+def literals(selector: str) -> list[str]:
+    """Lower-case texts that must occur in the markup for the selector to match anything."""
+    out = []
+    for _, tests in _compile(selector):
+        for t in tests:
+            if t["tag"] and t["tag"] != "*":
+                out.append("<" + t["tag"])
+            out += [t[k] for k in ("cls", "id", "attr", "val") if t[k]]
+    return [x.lower() for x in dict.fromkeys(out)]
+
+
 def _passes(node: Element, tests: list[dict]) -> bool:
     for t in tests:
         if t["tag"]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -14,9 +15,8 @@ from tradebook import fixed
 from tradebook.functions.address import extract_address
 from tradebook.functions.base import blank, contains_any, let, text
 from tradebook.functions.text import format_address
-from tradebook.operators.markup import has_class_rule, parse, select
+from tradebook.operators.markup import has_class_rule, literals, parse, select
 from tradebook.operators.ranking import name_mentions
-from tradebook.plans.scale import first_rows
 
 FOUND = ("struct<raw_address:string,street:string,city:string,state:string,zip_code:string,"
          "confidence:double,source:string>")
@@ -154,30 +154,50 @@ def contact_links(pages: DataFrame) -> DataFrame:
 
 
 def _element_texts(pages: DataFrame) -> DataFrame:
-    """(url, texts): texts of address-like elements of a page, in document order."""
+    """(page_id, url, texts): texts of address-like elements of a page, in document order.
+
+    Pages without a fitting class attribute keep their row but send no markup to Python.
+    """
     wanted = re.compile(fixed.CONTACT_CLASS)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
             texts = [[n.joined_text() for n in parse(h).walk() if n.tag in ("address", "div", "p")
-                      and any(wanted.search(c) for c in n.attrs.get("class", "").split())] for h in pdf["html"]]
-            yield pd.DataFrame({"url": pdf["url"], "texts": texts})
+                      and any(wanted.search(c) for c in n.attrs.get("class", "").split())] if h else []
+                     for h in pdf["html"]]
+            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "texts": texts})
+
+    html = F.col("html")
+    may = html.rlike(r"(?is)\sclass\s*=[^>]*(?:address|location|contact-info)") | _coded_attribute(html)
+    return pages.select("page_id", "url", F.when(may, html).alias("html")).mapInPandas(
+        run, "page_id bigint, url string, texts array<string>")
+
+
+def _coded_attribute(html: Column) -> Column:
+    """True where an attribute value holds a character reference: its text cannot be searched for."""
+    return html.contains("&#") & html.rlike(r"=\s*[\"'][^\"'<>]*&#")
+
 
-    return pages.select("url", "html").mapInPandas(run, "url string, texts array<string>")
+def _may_match(html: Column, selectors: Sequence[str]) -> Column:
+    """False only where no selector can match: a cheap test that keeps most markup out of Python."""
+    low, out = F.lower(html), _coded_attribute(html)
+    for s in selectors:
+        out = out | reduce(lambda x, y: x & y, [low.contains(t) for t in literals(s)], F.lit(True))
+    return out
 
 
 def from_contact_pages(pages: DataFrame, word_boundary: bool = True) -> DataFrame:
     """Addresses found on the contact page a page links to.
 
-    Each linked page is parsed once, however many pages link to it; the links then join to the
-    small (url, address) table.
+    Every page is reduced to its own (url, address) row first, however many pages link to it, so
+    only links and addresses are shuffled, never markup. Of pages with the same URL the first
+    counts.
     """
     links = contact_links(pages)
-    targets = first_rows(pages.join(links.select(F.col("link").alias("url")).distinct(), "url", "left_semi"),
-                         ["url"], ["page_id"])
     hit = F.filter(F.transform("texts", lambda t: let(extract_address(t, word_boundary), lambda p: F.when(
         p.isNotNull(), _found(t, p, 0.8, "contact_page")))), lambda f: f.isNotNull())
-    found = _element_texts(targets).select(F.col("url").alias("link"), F.try_element_at(hit, F.lit(1)).alias("_f")) \
+    own = _element_texts(pages).select("page_id", F.col("url").alias("link"), F.try_element_at(hit, F.lit(1)).alias("_f"))
+    found = own.groupBy("link").agg(F.min_by(F.struct("_f"), "page_id")["_f"].alias("_f")) \
         .filter(F.col("_f").isNotNull())
     return links.join(found, "link").groupBy("page_id").agg(F.min_by("_f", "pos").alias("_f")) \
         .select("page_id", "_f.*")
@@ -252,7 +272,8 @@ def from_selectors(pages: DataFrame, selectors: Sequence[str] = tuple(fixed.REVI
         for pdf in batches:
             yield pd.DataFrame({"page_id": pdf["page_id"], "texts": [candidates(h) for h in pdf["html"]]})
 
-    raw = pages.select("page_id", "html").mapInPandas(run, "page_id bigint, texts array<string>")
+    likely = pages.filter(_may_match(F.col("html"), selectors)).select("page_id", "html")
+    raw = likely.mapInPandas(run, "page_id bigint, texts array<string>")
     first = F.try_element_at(F.filter(F.transform("texts", format_address), lambda a: a != ""), F.lit(1))
     return raw.filter(F.size("texts") > 0).select("page_id", first.alias("address")) \
         .filter(F.col("address").isNotNull())
@@ -272,7 +293,12 @@ def from_class_patterns(pages: DataFrame) -> DataFrame:
                         rows.append((pid, k, line))
             yield pd.DataFrame(rows, columns=["page_id", "pattern", "text"])
 
-    return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, pattern int, text string")
+    low, may = F.lower("html"), _coded_attribute(F.col("html")) | F.lower("html").contains("<address")
+    for rule in fixed.ADDRESS_CLASS_PATTERNS:
+        if rule[3]:
+            may = may | low.contains(rule[3].lower())
+    return pages.filter(may).select("page_id", "html").mapInPandas(
+        run, "page_id bigint, pattern int, text string")
 
 
 def is_challenge(url: Column, html: Column) -> Column:
