@@ -12,12 +12,11 @@ import json
 from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradebook.operators.keyed import with_rule
-from tradebook.plans.scale import CHUNK, sorted_fold, spaced, with_chunk, with_sessions
+from tradebook.plans.scale import CHUNK, sorted_fold, sorted_groups, spaced, with_chunk, with_sessions
 
 # --- steps ----------------------------------------------------------------------------------
 
@@ -363,16 +362,12 @@ def match_pattern(events: DataFrame, types: Sequence[str], within: int, by: str
     key = by or "_all"
     rows = with_chunk(fitting.select((F.col(by) if by else F.lit("all")).alias(key), "t", "event_id", "type"),
                       "t", chunk_seconds)
-    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
-    def summarise(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"])
-        chunk = _PatternChunk(pdf["t"].tolist(), pdf["event_id"].tolist(), pdf["type"].tolist(), types, within,
-                              ordered, reuse)
-        return pd.DataFrame([(*group, chunk.summary(group[1] * chunk_seconds))], columns=[key, CHUNK, "summary"])
+    def summarise(group: tuple, columns: list) -> tuple[str]:
+        chunk = _PatternChunk(*columns, types, within, ordered, reuse)
+        return (chunk.summary(group[1] * chunk_seconds),)
 
-    summaries = rows.groupBy(key, CHUNK).applyInPandas(
-        summarise, f"{key} {fields[key]}, {CHUNK} {fields[CHUNK]}, summary string")
+    summaries = sorted_groups(rows, [key, CHUNK], ["t", "event_id"], ["t", "event_id", "type"], summarise, "summary string")
 
     def follow(state: dict, _chunk, summary: str) -> tuple[str]:
         entered = json.dumps(state)
