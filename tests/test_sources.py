@@ -67,3 +67,18 @@ def test_profile(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     assert {r["column"]: (r["type"], r["rows"], r["nulls"]) for r in tables.table_profile(df).collect()} \
         == {"a": ("int", 2, 0), "b": ("string", 2, 1)}
+
+
+def test_catalog_profile(spark, tmp_path):
+    spark.range(1000).write.option("path", f"{tmp_path}/big").saveAsTable("tb_big")
+    spark.range(10).write.option("path", f"{tmp_path}/small").saveAsTable("tb_small")
+    got = [(r["table"], r["rows"]) for r in tables.catalog_profile(spark).collect() if r["table"].startswith("tb_")]
+    assert got == [("tb_big", 1000), ("tb_small", 10)]
+
+
+def test_observed_stats(spark, tmp_path):
+    from tradebook.operators.dashboard import with_cleaning_stats
+
+    out, seen = with_cleaning_stats(spark.range(10), F.col("id") > 3)
+    out.write.parquet(f"{tmp_path}/o")
+    assert seen.get == {"total_items": 10, "valid_items": 6, "invalid_items": 4}

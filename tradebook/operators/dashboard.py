@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tradebook import fixed
@@ -37,6 +37,16 @@ def cleaning_stats(df: DataFrame, valid: Column, failed: Column | None = None) -
         F.count_if(~valid & ~failed).alias("invalid_items"), F.count_if(failed).alias("processing_errors"))
 
 
+def with_cleaning_stats(df: DataFrame, valid: Column) -> tuple[DataFrame, Observation]:
+    """The same rows with their totals observed while they are written: no second pass.
+
+    Read the observation's ``get`` after the write.
+    """
+    seen = Observation("cleaning_stats")
+    return df.observe(seen, F.count(F.lit(1)).alias("total_items"), F.count_if(valid).alias("valid_items"),
+                      F.count_if(~valid).alias("invalid_items")), seen
+
+
 def run_stats(df: DataFrame, total: int | Column | None = None) -> DataFrame:
     """Run counters from per-result outcomes.
 

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan with fewer files than cores over all cores.
+    """Deal the rows of a scan with fewer splits than cores over all cores.
 
-    Row-wise work on a table kept in one or two files would otherwise run in as many tasks. A
-    table of many files, the normal case, is returned as it is and read without a shuffle.
+    Row-wise work on a table kept in one or two small files would otherwise run in as many tasks.
+    A table of many splits, the normal case, is returned as it is and read without a shuffle.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
