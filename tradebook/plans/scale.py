@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,24 +80,35 @@ def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs
     long key never has to fit in memory. ``step(state, *inputs)`` changes the state in place and
     returns the output values of the row.
     """
-    out_schema = T.StructType(
-        [df.schema[c] for c in (*keys, *inputs)] + list(T._parse_datatype_string(outputs).fields))
-    names = out_schema.fieldNames()
+    fields = T._parse_datatype_string(outputs).fields
     n_keys = len(keys)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         current, state = object(), None
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for row in zip(*[pdf[c].tolist() for c in (*keys, *inputs)], strict=True):
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if row[:n_keys] != current:
                     current, state = row[:n_keys], start()
-                rows.append(row + tuple(step(state, *row[n_keys:])))
-            yield pd.DataFrame(rows, columns=names)
+                rows.append(step(state, *row[n_keys:]))
+            yield _with_outputs(batch.columns, batch.schema, rows, fields)
 
-    prepared = df.select(*keys, *inputs).repartition(*[F.col(k) for k in keys]) \
-        .sortWithinPartitions(*keys, *order)
-    return prepared.mapInPandas(run, out_schema)
+    prepared = _sorted_by_key(df, keys, order, inputs)
+    return prepared.mapInArrow(run, T.StructType([*prepared.schema.fields, *fields]))
+
+
+_ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
+
+
+def _with_outputs(columns: list, schema: pa.Schema, rows: list[tuple], fields: list) -> pa.RecordBatch:
+    """Input columns followed by the output values of every row."""
+    values = list(zip(*rows, strict=True)) or [()] * len(fields)
+    added = [pa.array(v, _ARROW[f.dataType.simpleString()]) for v, f in zip(values, fields, strict=True)]
+    return pa.RecordBatch.from_arrays([*columns, *added], [*schema.names, *[f.name for f in fields]])
+
+
+def _sorted_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str]) -> DataFrame:
+    return df.select(*keys, *inputs).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
 
 
 def sorted_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str],
@@ -107,26 +118,35 @@ def sorted_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], inpu
     Meant for groups of bounded size such as (key, chunk). Groups stream out of the sorted
     partition, which is much cheaper than a grouped map when they are many and small.
     """
-    out_schema = T.StructType([df.schema[c] for c in keys] + list(T._parse_datatype_string(outputs).fields))
-    names = out_schema.fieldNames()
+    fields = T._parse_datatype_string(outputs).fields
     n_keys = len(keys)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        current, held = None, []
-        for pdf in batches:
-            rows = []
-            for row in zip(*[pdf[c].tolist() for c in (*keys, *inputs)], strict=True):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        current, held, schema = None, [], None
+
+        def emit(groups: list[tuple]) -> pa.RecordBatch:
+            key_columns = [pa.array(v, schema.field(k).type) for k, v in enumerate(
+                list(zip(*[g[0] for g in groups], strict=True)) or [()] * n_keys)]
+            return _with_outputs(key_columns, pa.schema([schema.field(k) for k in range(n_keys)]),
+                                 [g[1] for g in groups], fields)
+
+        def close() -> tuple:
+            return current, summarise(current, list(zip(*held, strict=True)))
+
+        for batch in batches:
+            schema, done = batch.schema, []
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if row[:n_keys] != current:
                     if held:
-                        rows.append(current + tuple(summarise(current, list(zip(*held, strict=True)))))
+                        done.append(close())
                     current, held = row[:n_keys], []
                 held.append(row[n_keys:])
-            yield pd.DataFrame(rows, columns=names)
+            yield emit(done)
         if held:
-            yield pd.DataFrame([current + tuple(summarise(current, list(zip(*held, strict=True))))], columns=names)
+            yield emit([close()])
 
-    prepared = df.select(*keys, *inputs).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
-    return prepared.mapInPandas(run, out_schema)
+    prepared = _sorted_by_key(df, keys, order, inputs)
+    return prepared.mapInArrow(run, T.StructType([*[prepared.schema[c] for c in keys], *fields]))
 
 
 def spaced(df: DataFrame, keys: Sequence[str], t: str, row_id: str, gap: int,
