@@ -27,49 +27,23 @@ def chunk_window(keys: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*keys, CHUNK).orderBy(*order)
 
 
-def carry_in(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column],
-             carry: Callable[[Window, Window], dict[str, Column]]) -> DataFrame:
-    """Join to every row what the earlier chunks of its key hand over.
-
-    ``aggs`` summarise a (key, chunk); ``carry`` gets the window over the earlier chunks and
-    the window including the current one and returns the handed-over columns.
-    """
-    summary = df.groupBy(*keys, CHUNK).agg(*[c.alias(n) for n, c in aggs.items()])
-    along = Window.partitionBy(*keys).orderBy(CHUNK)
-    before = along.rowsBetween(Window.unboundedPreceding, -1)
-    handed = summary.select(*keys, CHUNK, *[c.alias(n) for n, c in carry(before, along).items()])
-    return df.join(handed, [*keys, CHUNK], "inner")
-
-
 def with_sessions(df: DataFrame, keys: Sequence[str], t: str, gap: Column | int,
-                  chunk_seconds: int = 3600, strict: bool = False) -> DataFrame:
-    """Add ``_session``: the time at which the row's run of rows closer than ``gap`` began.
+                  chunk_seconds: int = 3600) -> DataFrame:
+    """Add ``_session``: the time at which the row's stretch of busy chunks began.
 
-    A distance of exactly ``gap`` starts a new run unless ``strict``. ``df`` must hold one row per
-    (keys, t) and ``gap`` be constant per key. Only one summary row per (key, chunk) travels along
-    the key.
+    A chunk begins a new stretch when it starts ``gap`` or more after the key's previous chunk
+    ended, so nothing within ``gap`` before a stretch can matter inside it. Only the first and last
+    time of every (key, chunk) travel along the key. ``gap`` must be constant per key.
     """
-    def apart(later: Column, earlier: Column, limit: Column) -> Column:
-        return later - earlier > limit if strict else later - earlier >= limit
-
-    gap = F.lit(gap) if isinstance(gap, int) else gap
-    cut = with_chunk(df, t, chunk_seconds)
-    local = chunk_window(keys, [t])
-    cut = cut.withColumn("_gap", gap).withColumn("_prev", F.lag(t).over(local)) \
-        .withColumn("_cut", F.when(apart(F.col(t), F.col("_prev"), F.col("_gap")), F.col(t)))
+    cut = with_chunk(df, t, chunk_seconds).withColumn("_gap", F.lit(gap) if isinstance(gap, int) else gap)
     along = Window.partitionBy(*keys).orderBy(CHUNK)
-    prev_max = F.lag("_max_t").over(along)
-    summary = cut.groupBy(*keys, CHUNK).agg(
-        F.min(t).alias("_min_t"), F.max(t).alias("_max_t"), F.max("_cut").alias("_last_cut"),
-        F.first("_gap").alias("_gap0")) \
-        .withColumn("_first_cut", F.when(
-            prev_max.isNull() | apart(F.col("_min_t"), prev_max, F.col("_gap0")), F.col("_min_t"))) \
-        .select(*keys, CHUNK, "_first_cut", F.max(F.coalesce("_last_cut", "_first_cut")).over(
-            along.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    out = cut.join(summary, [*keys, CHUNK], "inner")
-    running = F.max("_cut").over(local.rowsBetween(Window.unboundedPreceding, 0))
-    return out.withColumn("_session", F.coalesce(running, "_first_cut", "_before")) \
-        .drop(CHUNK, "_gap", "_prev", "_cut", "_first_cut", "_before")
+    prev = F.lag("_max_t").over(along)
+    starts = cut.groupBy(*keys, CHUNK).agg(
+        F.min(t).alias("_min_t"), F.max(t).alias("_max_t"), F.first("_gap").alias("_gap0")) \
+        .withColumn("_start", F.when(prev.isNull() | (F.col("_min_t") - prev >= F.col("_gap0")), F.col("_min_t"))) \
+        .select(*keys, CHUNK, F.max("_start").over(
+            along.rowsBetween(Window.unboundedPreceding, 0)).alias("_session"))
+    return cut.join(starts, [*keys, CHUNK], "inner").drop(CHUNK, "_gap")
 
 
 def sorted_fold(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Sequence[str],
