@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradebook.llm import language_id, quality_rules
+from tradebook.llm import decontamination, jaccard_join, language_id, mixing, quality_rules
 from tradebook.session import settle
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of ``docs``.
 STAGES = [
     ("quality_rules", quality_rules.stage),
     ("language_id", language_id.stage),
+    ("near_duplicates", jaccard_join.stage),
+    ("decontamination", decontamination.stage),
+    ("mixing", mixing.stage),
 ]
 
 #: Learned rules and classifiers decide two stages: SQL cannot express them.

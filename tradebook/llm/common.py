@@ -47,5 +47,14 @@ def bounded_sample(df: DataFrame, key: Column, bound: int, seed: str = "sample")
 
 def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in the written table ``ids``; broadcast when its size allows."""
+    return df.join(_side(ids, key), key, "left_semi")
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in the first column of the written table ``ids``."""
+    return df.join(_side(ids, key), key, "left_anti")
+
+
+def _side(ids: DataFrame, key: str) -> DataFrame:
     side = ids.select(F.col(ids.columns[0]).alias(key))
-    return df.join(F.broadcast(side) if ids.count() <= BROADCAST_IDS else side, key, "left_semi")
+    return F.broadcast(side) if ids.count() <= BROADCAST_IDS else side

@@ -1,7 +1,10 @@
 """All registered queries of this package."""
 
 from tradebook.llm import (  # noqa: F401
+    decontamination,
+    jaccard_join,
     language_id,
+    mixing,
     quality_rules,
 )
 from tradebook.llm.common import CHECKS, QUERIES
