@@ -5,7 +5,9 @@ from tradebook.llm import (  # noqa: F401
     jaccard_join,
     language_id,
     mixing,
+    quality_classifier,
     quality_rules,
+    toxicity,
 )
 from tradebook.llm.common import CHECKS, QUERIES
 
