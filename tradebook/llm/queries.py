@@ -1,6 +1,7 @@
 """All registered queries of this package."""
 
 from tradebook.llm import (  # noqa: F401
+    chat,
     decontamination,
     jaccard_join,
     language_id,
