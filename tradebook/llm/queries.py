@@ -3,11 +3,13 @@
 from tradebook.llm import (  # noqa: F401
     chat,
     decontamination,
+    html_text,
     jaccard_join,
     language_id,
     mixing,
     quality_classifier,
     quality_rules,
+    token_counts,
     toxicity,
 )
 from tradebook.llm.common import CHECKS, QUERIES
