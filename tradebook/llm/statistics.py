@@ -63,22 +63,21 @@ def with_repeat_words(df: DataFrame, word_array: str, name: str) -> DataFrame:
 
 
 def with_counts(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``df`` with the columns of ``COUNTS``; helper columns start with ``_st_`` and are dropped."""
+    """``df`` with the columns of ``COUNTS`` (named with ``prefix``); helper columns start with ``_st_`` and are dropped."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^ \t\n\x0b\f\r]"))
     wide = with_repeat_words(df.withColumns({"_st_words": words(t), "_st_lines": lines}), "_st_words",
-                             "n_repeat_words")
-    full = wide.withColumns({
-        "n_words": F.size("_st_words").cast("long"),
-        "word_chars": _kept(t, _BLANK + "+"),
-        "n_symbols": _kept(t, r"[^#*$%&|<>]+"),
-        "n_dup_lines": (F.size("_st_lines") - F.size(F.array_distinct("_st_lines"))).cast("long"),
-        "n_lines": F.size("_st_lines").cast("long"),
-        "n_upper": _kept(t, r"[^\p{Lu}]+"),
-        "n_letters": _kept(t, r"[^\p{L}]+"),
-        "n_marks": _kept(t, r"[^!?]+"),
+                             prefix + "n_repeat_words")
+    return wide.withColumns({
+        prefix + "n_words": F.size("_st_words").cast("long"),
+        prefix + "word_chars": _kept(t, _BLANK + "+"),
+        prefix + "n_symbols": _kept(t, r"[^#*$%&|<>]+"),
+        prefix + "n_dup_lines": (F.size("_st_lines") - F.size(F.array_distinct("_st_lines"))).cast("long"),
+        prefix + "n_lines": F.size("_st_lines").cast("long"),
+        prefix + "n_upper": _kept(t, r"[^\p{Lu}]+"),
+        prefix + "n_letters": _kept(t, r"[^\p{L}]+"),
+        prefix + "n_marks": _kept(t, r"[^!?]+"),
     }).drop("_st_words", "_st_lines")
-    return full.withColumnsRenamed({c: prefix + c for c in COUNTS}) if prefix else full
 
 
 def features(prefix: str = "") -> dict[str, Column]:
