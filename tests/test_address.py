@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,8 +66,43 @@ def test_linear_patterns_equal_nested_ones():
             assert (a and a.groups()) == (b and b.groups()), s
 
 
-def test_long_text_without_comma_is_fast(evaluate):
-    assert evaluate(A.extract_address, ["12 " + "word 7 " * 600])[0] is None
+@pytest.mark.parametrize("boundary", [True, False])
+def test_extracted_addresses_equal_the_patterns(evaluate, boundary):
+    """The column form against the fixed patterns, tried in order by another regular-expression engine."""
+    patterns = [fixed.ADDRESS_ZIP_B, fixed.ADDRESS_STATE_B] if boundary else [fixed.ADDRESS_ZIP, fixed.ADDRESS_STATE]
+    rnd = random.Random(17)
+    bits = ["1", "12345", " ", ",", "a", "NY", " in ", "-1234", ", ", "x y", "\n", "z", ", ny 12345", " IN "]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 12))) for _ in range(4000)]
+
+    def expected(t):
+        for p in [*patterns, fixed.ADDRESS_CITY]:
+            m = re.search(p, t, re.ASCII)
+            if m:
+                vals = [g.strip(" \t\n\r\f\v") for g in m.groups()]
+                return (*vals, *[None] * (4 - len(vals)))
+        return None
+
+    got = evaluate(lambda c: A.extract_address(c, boundary), texts)
+    wrong = [(t, g and tuple(g), expected(t)) for t, g in zip(texts, got, strict=True) if (g and tuple(g)) != expected(t)]
+    assert not wrong, wrong[:3]
+
+
+HOSTILE = ["1" * 100_000, "1 in " * 20_000, "word 7 " * 15_000, "1 in, " * 17_000, "12 a, b, N" * 10_000, ",1 in 2" * 14_000]
+
+
+def test_long_texts_take_linear_time(spark, evaluate):
+    for value in HOSTILE:
+        began = time.perf_counter()
+        evaluate(A.extract_address, [value])
+        assert time.perf_counter() - began < 10, value[:20]
+
+
+def test_mail_in_long_texts(evaluate):
+    from tradebook.functions.text import format_address
+    began = time.perf_counter()
+    got = evaluate(format_address, ["x." * 50_000 + " 1 a@b.c-d@e.f 5 Main", "a" * 100_000 + "@", "1 me@x.org, 2 you@y.co.uk"])
+    assert time.perf_counter() - began < 20
+    assert "@" not in got[0] and "@" not in got[2]
 
 
 VALID = ["123 Main Street, New York, NY 10001", "456 Broadway Ave, Brooklyn, NY 11201", "789 Queens Blvd, Queens, NY 11375",

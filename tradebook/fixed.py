@@ -40,7 +40,7 @@ STATE_ZIP_END_B = r"(?i)(?:,\s*)?\b([A-Za-z]{2})\s+(\d{5}(?:-\d{4})?)\s*$"
 STATE_END_B = r"(?i)(?:,\s*)?\b([A-Za-z]{2})\s*$"
 ZIP_END_B = r"(?:,\s*)?\b(\d{5}(?:-\d{4})?)\s*$"
 
-# Free-text address patterns (linear-time forms).
+# Free-text address patterns, as they stand; functions/address.py searches for the same in linear time.
 ADDRESS_ZIP = r"(?i)(\d+[^,]+)(?:,|\sin\s)([^,]+),\s*([A-Za-z]{2})\s*(\d{5}(?:-\d{4})?)"
 ADDRESS_STATE = r"(?i)(\d+[^,]+)(?:,|\sin\s)([^,]+),\s*([A-Za-z]{2})"
 ADDRESS_CITY = r"(?i)(\d+[^,]+)(?:,|\sin\s)([^,]+)"
@@ -69,6 +69,7 @@ STREET_TYPES = [
     "plaza", "square", "parkway", "st", "ave", "rd", "blvd", "ln", "dr", "ct", "cir", "plz",
     "sq", "pkwy",
 ]
+# In alphabetical order: the first term that a name contains is the one reported.
 NAME_BLACKLIST = [
     "demo", "dummy", "example", "fake", "n/a", "na", "none", "null", "sample", "test",
     "undefined", "unknown",

@@ -98,22 +98,40 @@ def split_address(c: ColumnLike) -> Column:
         let(F.transform(F.split(as_col(c), ","), strip), by_comma))
 
 
+def _found_once(tail: str, groups: str) -> str:
+    """A pattern that finds what the fixed free-text patterns find, in linear time.
+
+    A comma-free stretch can only match from its first digit on, so a match is sought once for each
+    stretch, and only where what has to follow (``tail``, after one comma or two) does follow.
+    """
+    ahead = rf"(?=[^,]*+,(?:[^,]++,)?{tail})" if tail else ""
+    return rf"(?i)(?:^|,)[^,\d]*+{ahead}(\d[^,]+)(?:,|\sin\s)([^,]++){groups}"
+
+
+_STATE, _ZIP = r"\s*[A-Za-z]{2}", r"\s*\d{5}(?:-\d{4})?"
+_STATE_GROUP, _ZIP_GROUP = r",\s*([A-Za-z]{2})", r"\s*(\d{5}(?:-\d{4})?)"
+
+
 def extract_address(c: ColumnLike, word_boundary: bool = True) -> Column:
-    """First address found in free text as struct<street, city, state, zip_code>, else NULL."""
-    with_zip, with_state = (
-        (fixed.ADDRESS_ZIP_B, fixed.ADDRESS_STATE_B) if word_boundary
-        else (fixed.ADDRESS_ZIP, fixed.ADDRESS_STATE))
+    """First address found in free text as struct<street, city, state, zip_code>, else NULL.
+
+    Every pattern reads the text once; the parts are then taken from the short stretch it found.
+    """
+    end = r"\b" if word_boundary else ""
+    patterns = [(_found_once(_STATE + _ZIP + end, _STATE_GROUP + _ZIP_GROUP + end), 4),
+                (_found_once(_STATE + end, _STATE_GROUP + end), 3), (_found_once("", ""), 2)]
+
+    def found(t: Column, pattern: str, groups: int) -> Column:
+        def parts(hit: Column) -> Column:
+            vals = [strip(F.regexp_extract(hit, pattern, i)) for i in range(1, groups + 1)]
+            return F.when(hit != "", _parts(*vals, *[F.lit(None)] * (4 - groups)))
+        return let(F.regexp_extract(t, pattern, 0), parts)
 
     def parse(t: Column) -> Column:
-        def found(pattern: str, groups: int) -> Column:
-            vals = [strip(F.regexp_extract(t, pattern, i)) for i in range(1, groups + 1)]
-            vals += [F.lit(None)] * (4 - groups)
-            return _parts(*vals)
-        return F.when(t.rlike(with_zip), found(with_zip, 4)) \
-            .when(t.rlike(with_state), found(with_state, 3)) \
-            .when(t.rlike(fixed.ADDRESS_CITY), found(fixed.ADDRESS_CITY, 2))
-
-    return let(as_col(c), parse)
+        return F.coalesce(*[found(t, pattern, groups) for pattern, groups in patterns])
+
+    # every pattern needs a digit
+    return F.when(as_col(c).rlike("[0-9]"), let(as_col(c), parse))
 
 
 def one_line(parts: Column) -> Column:

@@ -27,7 +27,9 @@ def format_address(c: ColumnLike) -> Column:
     A lone ZIP line needs no special step: joining lines by ", " already attaches it.
     """
     raw = text(c)
-    no_mail = F.when(raw.contains("@"), F.regexp_replace(raw, "(?U)" + fixed.EMAIL_IN_TEXT, "")) \
+    # a match can only begin where a run of its characters begins, or where the match before ended
+    mail = r"(?U)(?:\G|(?<![\w.\-]))" + fixed.EMAIL_IN_TEXT.replace("+@", "++@", 1)
+    no_mail = F.when(raw.contains("@"), F.regexp_replace(raw, mail, "")) \
         .otherwise(raw)
     lines = F.filter(F.transform(F.split(no_mail, "\n"), strip), lambda p: p != "")
 
