@@ -5,6 +5,7 @@ from tradebook.sources import files, tables
 
 
 def put(path, text):
+    path.parent.mkdir(exist_ok=True)
     path.write_text(text)
     return str(path)
 
@@ -14,16 +15,16 @@ def test_names(spark, tmp_path):
     got = files.read_names_csv(spark, p).orderBy("row_id").collect()
     assert [(r["row_id"], r["business_name"]) for r in got] == [(1, "Vape Shack"), (3, "A, Inc")]
     with pytest.raises(ValueError):
-        files.read_names_csv(spark, put(tmp_path / "b.csv", "Business Name\n \n"))
+        files.read_names_csv(spark, put(tmp_path / "b.csv", "Business Name\n \n"), require_rows=True)
     with pytest.raises(ValueError):
         files.read_business_csv(spark, put(tmp_path / "c.csv", "name\nx\n"))
 
 
 def test_quoted_output_file(spark, tmp_path):
     p = put(tmp_path / "o.csv", 'id, business_name, address, state, zip_code, created_at\n'
-            '3, "elementvape", "300 W Valley Blvd PMB 23, Alhambra, California", "CA", "91803-3338", "2025-02-02"\n')
+            '3, "Blue Heron Books", "41 Quarry Lane Unit 7, Millbrook, Vermont", "VT", "05401-0042", "2031-07-09"\n')
     row = files.combine_chunks(spark, p).first()
-    assert (row["id"], row["business_name"], row["zip_code"]) == (3, "elementvape", "91803-3338")
+    assert (row["id"], row["business_name"], row["zip_code"]) == (3, "Blue Heron Books", "05401-0042")
 
 
 def test_chunks(spark, tmp_path):
@@ -35,6 +36,37 @@ def test_chunks(spark, tmp_path):
     assert back.count() == 250 and back.filter("id = 7").first()["address"] == "a\nb"
 
 
+def test_files_are_matched_by_name(spark, tmp_path):
+    put(tmp_path / "a.csv", "id,business_name,address,state,zip_code,created_at\n1,One,A St,CA,90001,x\n")
+    put(tmp_path / "b.csv", "business_name,id,zip_code,state,created_at\r\nTwo,2,12181,NY,y\r\n")
+    got = {r["id"]: tuple(r)[1:] for r in files.combine_chunks(spark, f"{tmp_path}/*.csv").collect()}
+    assert got == {1: ("One", "A St", "CA", "90001", "x"), 2: ("Two", None, "NY", "12181", "y")}
+    rows = files.read_business_csv(spark, f"{tmp_path}/*.csv").select("id", "state").collect()
+    assert sorted(map(tuple, rows)) == [("1", "CA"), ("2", "NY")]
+    put(tmp_path / "c" / "x.csv", "Business Name,n\nA,1\nB,2\n")
+    put(tmp_path / "c" / "y.csv", "n,Business Name\n3,C\n")
+    put(tmp_path / "c" / "z.csv", "Shop,n\nD,4\n")
+    names = files.read_names_csv(spark, f"{tmp_path}/c").orderBy("row_id").collect()
+    assert [(r["row_id"], r["business_name"], r["n"]) for r in names] == [(1, "A", "1"), (2, "B", "2"), (3, "C", "3"), (4, "D", "4")]
+
+
+def test_large_json_is_checked_by_token(spark, tmp_path):
+    put(tmp_path / "big.json", '{"a": "' + "x" * 17_000_000 + '"}')
+    put(tmp_path / "cut.json", '{"a": "' + "x" * 17_000_000)
+    got = {r["path"][-8:]: r["issue"] for r in files.check_json_files(spark, f"{tmp_path}/*.json").collect()}
+    assert got == {"big.json": None, "cut.json": "Invalid JSON"}
+
+
+def test_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tradebook import session
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(
+        getConf=lambda: SimpleNamespace(get=lambda k: None), master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError):
+        session.shared_dir(far)
+
+
 def test_file_checks(spark, tmp_path):
     put(tmp_path / "a.json", '{"a": 1}')
     put(tmp_path / "b.json", "[1, 2, 3]")

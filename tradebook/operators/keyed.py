@@ -11,9 +11,6 @@ from tradebook import fixed
 from tradebook.functions.text import mask_token
 from tradebook.plans.scale import CHUNK, chunk_window, first_rows, running_total, with_chunk
 
-# Up to this many rows a sorted limit keeps its rows in one place; beyond it a ranked scan is used.
-TOP_ROWS = 100_000
-
 
 def active_tokens(df: DataFrame, now) -> DataFrame:
     """Unexpired tokens with only their first characters shown."""
@@ -121,15 +118,9 @@ def expire_ttl(entries: DataFrame, now, written: str = "last_access", ttl: str =
     return entries.filter(~F.coalesce(gone, F.lit(False)))
 
 
-def _ranked(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    return running_total(df, order, F.lit(1), "_rank")
-
-
 def _newest(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows in order."""
-    if n <= TOP_ROWS:
-        return df.orderBy(*order).limit(n)
-    return _ranked(df, order).filter(F.col("_rank") <= n).drop("_rank")
+    """The first ``n`` rows in order: every task keeps its own first ``n``, then those are merged."""
+    return df.orderBy(*order).limit(n)
 
 
 def trim_cache(entries: DataFrame, now, max_size: int = 1000, threshold: int = 800,
@@ -179,23 +170,18 @@ def cap_tiers(keys: DataFrame, max_high: int = 1000, max_medium: int = 5000,
     """Tier after the caps: the newest HIGH keys stay, the rest joins MEDIUM, whose newest stay,
     everything else is LOW.
 
-    Each tier keeps a bounded number of keys, found by a sorted limit and broadcast back.
+    Each tier keeps a bounded number of keys, found by a sorted limit and joined back.
     """
     newest = [F.desc(order), F.desc(key)]
     high = _newest(keys.filter("priority = 'HIGH'"), newest, max_high).select(key)
-    marked = keys.join(_small(high.withColumn("_high", F.lit(True)), max_high), key, "left")
+    marked = keys.join(high.withColumn("_high", F.lit(True)), key, "left")
     open_ = marked.filter(F.col("_high").isNull() & F.col("priority").isin("HIGH", "MEDIUM"))
     medium = _newest(open_.select(key, order), newest, max_medium).select(key)
-    out = marked.join(_small(medium.withColumn("_medium", F.lit(True)), max_medium), key, "left")
+    out = marked.join(medium.withColumn("_medium", F.lit(True)), key, "left")
     tier = F.when(F.col("_high"), "HIGH").when(F.col("_medium"), "MEDIUM").otherwise("LOW")
     return out.withColumn("tier", tier).drop("_high", "_medium")
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast only what is limited to few rows."""
-    return F.broadcast(df) if rows <= TOP_ROWS else df
-
-
 def keep_last_n(df: DataFrame, n: int, order: str, by: Sequence[str] = ()) -> DataFrame:
     """The newest ``n`` rows, or the newest ``n`` per group."""
     if by:

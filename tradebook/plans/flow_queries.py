@@ -1,5 +1,7 @@
 """Registered queries: files, profiles and streams over data derived from the given tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tradebook.operators import quality as Q
@@ -55,6 +57,16 @@ def _(i):
     return S.combine_chunks(i.spark, path)
 
 
+@query("combine_chunks_by_name", f"SELECT id, business_name, CASE WHEN id % 2 = 0 THEN address END AS address, state, zip_code, created_at FROM ({clean_sql(True)})")
+def _(i):
+    """Half of the chunks have their columns in another order, and lack one."""
+    path, rows = scratch(i.spark, "chunks"), R.clean_business(i.businesses)
+    S.write_chunked_csv(rows.filter("id % 2 = 0"), f"{path}/even")
+    odd = rows.filter("id % 2 = 1").select("business_name", "id", "zip_code", "state", "created_at")
+    odd.write.option("header", True).option("escape", '"').csv(f"{path}/odd")
+    return S.combine_chunks(i.spark, f"{path}/*")
+
+
 @query("write_export_json", "SELECT id, business_name, address, state, zip_code, created_at FROM @businesses WHERE verified")
 def _(i):
     from tradebook.operators.dashboard import export_businesses
@@ -91,11 +103,24 @@ def _(i):
     return i.spark.read.json(path).select("stats.*")
 
 
-@query("check_source_files", "SELECT 1::BIGINT AS files, 0::BIGINT AS issues, 'Unsupported file type: xml' AS other")
+LOG_LINES = "SELECT event_id, concat(function, ' ', CAST(event_id AS VARCHAR(20))) AS value, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 8 END AS p FROM @log_records"
+
+
+def _log_folder(i, label: str) -> str:
+    """Eight text files of different sizes."""
+    path = scratch(i.spark, label)
+    i.sql(LOG_LINES).repartition("p").select("value", "p").write.partitionBy("p").text(path)
+    return path
+
+
+FILE_SIZES = f"(SELECT p, sum(length(value) + 1) / 1048576.0::DOUBLE AS size_mb FROM ({LOG_LINES}) GROUP BY p)"
+
+
+@query("check_source_files", f"SELECT p, round(size_mb, 6) AS size_mb, size_mb > 0.01 AS too_large FROM {FILE_SIZES}")
 def _(i):
-    found = S.check_source_files(i.spark, f"{i.sf_dir}/customer.parquet", "csv")
-    odd = S.check_source_files(i.spark, f"{i.sf_dir}/customer.parquet", "xml").select("issue").scalar()
-    return found.agg(F.count(F.lit(1)).alias("files"), F.count("issue").alias("issues")).withColumn("other", odd)
+    found = S.check_source_files(i.spark, _log_folder(i, "sources") + "/*", "csv", max_mb=0.01)
+    return found.select(F.regexp_extract("path", r"/p=(\d+)/", 1).cast("bigint").alias("p"), F.round("size_mb", 6).alias("size_mb"),
+                        F.col("issue").isNotNull().alias("too_large"))
 
 
 @query("check_json_files", "SELECT issue, count(*) AS files FROM (SELECT CASE n_nationkey % 4 WHEN 0 THEN 'Invalid JSON' WHEN 1 THEN 'Root must be an object or array' WHEN 2 THEN 'Too many items in array (3)' END AS issue FROM nation) GROUP BY issue")
@@ -109,10 +134,14 @@ def _(i):
     return S.check_json_files(i.spark, path + "/*/*", 2).groupBy("issue").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("check_csv_schema", "SELECT * FROM (VALUES ('id', 'int', NULL), ('business_name', 'string', NULL), ('day', 'date', 'Column ''day'' has unusual type: date'), ('verified', 'boolean', NULL)) v(\"column\", type, warning)")
+ODD_ID = "CASE WHEN id = (SELECT max(id) FROM @businesses) THEN 'x' ELSE CAST(id AS VARCHAR(20)) END"
+
+
+@query("check_csv_schema", f"""SELECT * FROM (VALUES ('id', 'int', NULL), ('business_name', 'string', NULL), ('day', 'date', 'Column ''day'' has unusual type: date'), ('verified', 'boolean', NULL)) v("column", type, warning)
+  UNION ALL SELECT 'odd', CASE WHEN count(*) = count(TRY_CAST(odd AS INTEGER)) THEN 'int' ELSE 'string' END, NULL FROM (SELECT {ODD_ID} AS odd FROM @businesses)""")
 def _(i):
     path = scratch(i.spark, "csv")
-    i.businesses.select("id", "business_name", F.lit("2024-01-31").alias("day"), "verified").write.option("header", True).csv(path)
+    i.sql(f"SELECT id, business_name, '2024-01-31' AS day, verified, {ODD_ID} AS odd FROM @businesses").write.option("header", True).csv(path)
     return S.check_csv_schema(i.spark, path)
 
 
@@ -127,12 +156,31 @@ def _(i):
     return T.table_profile(i.businesses.select("state", "zip_code", "verified")).drop("nullable")
 
 
-@query("log_file_stats", "SELECT 8::BIGINT AS file_count, true AS has_size")
+@query("log_file_stats", f"SELECT count(*) AS file_count, round(sum(size_mb), 6) AS total_size_mb FROM {FILE_SIZES}")
+def _(i):
+    return S.log_file_stats(i.spark, _log_folder(i, "logfiles") + "/*", "*.txt").select(
+        "file_count", F.round("total_size_mb", 6).alias("total_size_mb"))
+
+
+@query("log_files", f"SELECT round(size_mb, 6) AS size_mb, true AS dated FROM {FILE_SIZES}")
+def _(i):
+    return S.log_files(i.spark, _log_folder(i, "logfiles") + "/*", "*.txt").select(
+        F.round("size_mb", 6).alias("size_mb"), F.col("modified").isNotNull().alias("dated"))
+
+
+@query("catalog_profile", "SELECT 'kept' AS name, count(*) AS rows, true AS sized FROM @businesses UNION ALL SELECT 'verified', count(*), true FROM @businesses WHERE verified")
 def _(i):
-    path = scratch(i.spark, "logfiles")
-    i.log_records.select(F.to_json(F.struct("*")).alias("value"), (F.col("event_id") % 8).alias("p")) \
-        .repartition(1, "p").write.partitionBy("p").text(path)
-    return S.log_file_stats(i.spark, path + "/*", "*.txt").select("file_count", (F.col("total_size_mb") > 0).alias("has_size"))
+    """Two derived tables are saved, profiled and dropped from the catalog again."""
+    mark, names = uuid.uuid4().hex[:8], {"kept": "true", "verified": "verified"}
+    try:
+        for name, chosen in names.items():
+            i.businesses.select("id", "state", "zip_code", "verified").filter(chosen).write.option(
+                "path", scratch(i.spark, name)).saveAsTable(f"{name}_{mark}")
+        return T.catalog_profile(i.spark).filter(F.col("table").endswith(mark)).select(
+            F.split("table", "_")[0].alias("name"), "rows", (F.col("size_bytes") > 0).alias("sized"))
+    finally:
+        for name in names:
+            i.spark.sql(f"DROP TABLE IF EXISTS {name}_{mark}")
 
 
 # --- streams --------------------------------------------------------------------------------

@@ -2,56 +2,86 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradebook.functions.base import blank, strip
 from tradebook.operators.quality import error_table
 from tradebook.operators.records import with_missing_columns
-from tradebook.plans.scale import running_total
 
+#: Bytes from which a JSON file is checked token by token.
+PARSE_LIMIT = 16_000_000
 LOG_SCHEMA = ("timestamp string, level string, name string, message string, "
               "metadata struct<function:string,execution_time:double,error:string>, exception string, _corrupt string")
 
 
-def _csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line,
-                          ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+def _csv_groups(spark: SparkSession, path: str, multi_line: bool = False, placed: bool = False) -> list[DataFrame]:
+    """The CSV files of a path, one table for each different header.
+
+    Columns belong to names, not to positions, so files are told apart by their first line; headers are few,
+    and of the files only the paths reach the driver, which lists them anyway. ``placed`` adds _file, _block
+    and _at, the place of a row.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.struct(
+        F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"), "value")
+    headers = lines.groupBy("f").agg(F.min_by("value", "at").alias("h")) \
+        .groupBy(F.regexp_replace("h", r"\r$", "").alias("h")).agg(F.sort_array(F.collect_list("f")).alias("files"))
+    out = []
+    for row in headers.orderBy(F.col("files")[0]).collect():
+        df = spark.read.csv(row["files"], header=True, quote='"', escape='"', multiLine=multi_line,
+                            ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        out.append(df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
+                                   "_at": F.monotonically_increasing_id()}) if placed else df)
+    return out
+
+
+def _by_name(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
 def with_row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Number the rows of a file source from 1 in file order, without a single-task window."""
-    placed = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"),
-                             "_at": F.monotonically_increasing_id()})
-    return running_total(placed, [F.asc("_file"), F.asc("_block"), F.asc("_at")], F.lit(1), name) \
-        .drop("_file", "_block", "_at")
+    """Number rows with _file, _block and _at from 1 in file order.
+
+    Rows of a block lie in one task, where _at counts them one by one, so a row's number is its distance from
+    the block's first row plus the rows of the blocks before. Only one row for each block is ordered in one
+    place.
+    """
+    blocks = df.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return df.join(offsets, ["_file", "_block"]).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1) \
+        .drop("_file", "_block", "_at", "_first", "_before")
 
 
-def read_names_csv(spark: SparkSession, path: str, row_ids: bool = True) -> DataFrame:
-    """Business names; without a ``Business Name`` column the first column is taken."""
-    df = _csv(spark, path)
-    if not df.columns:
+def read_names_csv(spark: SparkSession, path: str, row_ids: bool = True, require_rows: bool = False) -> DataFrame:
+    """Business names; without a ``Business Name`` column a file's first column is taken.
+
+    ``require_rows`` runs a job that raises an error when there is no name at all.
+    """
+    parts = _csv_groups(spark, path, placed=row_ids)
+    if not parts or not any(set(p.columns) - {"_file", "_block", "_at"} for p in parts):
         raise ValueError("Input file is empty")
-    if "Business Name" not in df.columns:
-        df = df.withColumnRenamed(df.columns[0], "Business Name")
+    df = _by_name([p if "Business Name" in p.columns else p.withColumnRenamed(p.columns[0], "Business Name") for p in parts])
     if row_ids:
         df = with_row_ids(df)
     named = df.withColumn("business_name", strip("Business Name")).drop("Business Name").filter(~blank("business_name"))
-    if named.isEmpty():
+    if require_rows and named.isEmpty():
         raise ValueError("No valid business names found in input file")
     return named
 
 
 def read_business_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Business records; a ``business_name`` column is required.
+    """Business records; every file needs a ``business_name`` column, others may differ and are matched by name.
 
     ``multi_line`` allows line breaks inside quoted values, at the price of one task per file.
     """
-    df = _csv(spark, path, multi_line)
-    if "business_name" not in df.columns:
+    parts = _csv_groups(spark, path, multi_line)
+    if not parts or any("business_name" not in p.columns for p in parts):
         raise ValueError("CSV file must contain 'business_name' column")
-    return df
+    return _by_name(parts)
 
 
 def check_source_files(spark: SparkSession, path: str, kind: str, max_mb: float = 100) -> DataFrame:
@@ -74,8 +104,11 @@ def check_json_files(spark: SparkSession, path: str, max_items: int = 1000) -> D
     """(path, issue) per JSON file: well-formed, an object or array at the root, not too many items."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     head = F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1)
-    n_list, n_keys = F.json_array_length("value"), F.size(F.json_object_keys("value"))
-    issue = F.when(F.try_parse_json("value").isNull(), "Invalid JSON") \
+    n_list, n_keys = F.json_array_length("value"), F.array_size(F.json_object_keys("value"))
+    # parsing into a value has a size limit, walking through the tokens of a large file has none
+    large = F.octet_length("value") >= PARSE_LIMIT
+    broken = F.when(large, n_list.isNull() & n_keys.isNull()).otherwise(F.try_parse_json("value").isNull())
+    issue = F.when(broken, "Invalid JSON") \
         .when(~head.isin("{", "["), "Root must be an object or array") \
         .when((head == "{") & (n_keys > max_items), F.format_string("Too many items in object (%d)", n_keys)) \
         .when((head == "[") & (n_list > max_items), F.format_string("Too many items in array (%d)", n_list))
@@ -83,8 +116,8 @@ def check_json_files(spark: SparkSession, path: str, max_items: int = 1000) -> D
 
 
 def check_csv_schema(spark: SparkSession, path: str) -> DataFrame:
-    """(column, type, warning) of a CSV, types inferred from a sample; no columns is an error."""
-    df = spark.read.csv(path, header=True, inferSchema=True, samplingRatio=0.1)
+    """(column, type, warning) of a CSV, types inferred from all rows; no columns is an error."""
+    df = spark.read.csv(path, header=True, inferSchema=True)
     if not df.columns:
         raise ValueError("File has no columns")
     usual = {"string", "int", "bigint", "double", "boolean"}
@@ -100,12 +133,12 @@ def write_chunked_csv(df: DataFrame, path: str, rows_per_file: int = 1000, gzip:
     (out.option("compression", "gzip") if gzip else out).csv(path)
 
 
-def combine_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """All chunks of a folder or glob as one table with the fixed columns.
+def combine_chunks(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """All chunks of a folder or glob as one table with the fixed columns, matched by name.
 
-    Chunk files are small, so values with line breaks can be read (a file is then one task).
+    Chunk files are small, so by default values with line breaks can be read (a file is then one task).
     """
-    return with_missing_columns(_csv(spark, path, multi_line=True)).withColumn("id", F.col("id").try_cast("bigint"))
+    return with_missing_columns(_by_name(_csv_groups(spark, path, multi_line))).withColumn("id", F.col("id").try_cast("bigint"))
 
 
 def write_export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
@@ -141,13 +174,15 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("page_id", "url", "html")
 
 
-def log_file_stats(spark: SparkSession, path: str, pattern: str = "*.log*") -> DataFrame:
-    """File count, total size, oldest and newest file of a log folder, from listings only."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), "length", "modificationTime")
-    return files.agg(
-        F.coalesce(F.sum("length") / (1024 * 1024), F.lit(0.0)).alias("total_size_mb"),
-        F.count(F.lit(1)).alias("file_count"), F.min_by("name", "modificationTime").alias("oldest_file"),
-        F.max_by("name", "modificationTime").alias("newest_file"))
+def log_files(spark: SparkSession, path: str, pattern: str = "*.log*") -> DataFrame:
+    """(name, size_mb, modified) of each file of a log folder, from listings only."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), (F.col("length") / (1024 * 1024)).alias("size_mb"),
+                        F.col("modificationTime").alias("modified"))
 
 
+def log_file_stats(spark: SparkSession, path: str, pattern: str = "*.log*") -> DataFrame:
+    """File count, total size, oldest and newest file of a log folder; ``log_files`` lists the files."""
+    return log_files(spark, path, pattern).agg(
+        F.coalesce(F.sum("size_mb"), F.lit(0.0)).alias("total_size_mb"), F.count(F.lit(1)).alias("file_count"),
+        F.min_by("name", "modified").alias("oldest_file"), F.max_by("name", "modified").alias("newest_file"))
