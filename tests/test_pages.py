@@ -19,6 +19,33 @@ def test_contact_page(spark):
         == [(0, "123 Main St,Troy, NY 12180", "123 Main St", "Troy", "12180", 0.8)]
 
 
+def test_unusual_markup_is_read_alike(spark):
+    """No white space before an attribute, ">" in a quoted value, unquoted and coded values."""
+    targets = {"/c": '<p id="x"class="address">1 Elm St, Troy, NY 12180</p>', "/d": '<p title="a>b"class=address>1 Elm St&#44; Troy&#x2C; NY 12180</p>',
+               "/e": '<p class="&#97;ddress">1 Elm St, Troy, NY 12180</p>'}
+    links = ['<a id="y"href="/contact{}">x</a>', "<a title='>' href=/contact{}>x</a>", '<a href="/cont&#97;ct{}">x</a>']
+    rows = [(f"https://s.example/contact{k}", v) for k, v in targets.items()]
+    rows += [("https://s.example/", links[k].format(t)) for k, t in enumerate(targets)]
+    got = {r["page_id"]: r["raw_address"] for r in P.from_contact_pages(frame(spark, *rows)).collect()}
+    assert got == {k: "1 Elm St, Troy, NY 12180" for k in (3, 4, 5)}
+
+
+def test_flags_on_unusual_markup(spark):
+    walls = ['<div a="1"id="challenge-form">', '<iframe title="a>b"src="x/challenges">', "<p x='y'data-translate=challenge >", '<b class=cf-x>', "<p>"]
+    df = frame(spark, *[("u", h) for h in walls])
+    assert [r["is_challenge"] for r in P.flag_challenge_pages(df).orderBy("page_id").collect()] == [True, True, True, True, False]
+    boxes = ['<div id="a"class="x search-results">', "<li class=result-item>", '<a t="a>b"class="card">', '<b class="card">', '<i class="search-resultsx">']
+    df = frame(spark, *[("u", h) for h in boxes])
+    assert [r["no_results"] for r in P.flag_no_results(df).orderBy("page_id").collect()] == [False, False, False, True, True]
+
+
+def test_coded_text(spark):
+    df = spark.createDataFrame([(0, "u", "<p>Caf&eacute; Nord</p>\n<p>9 Oak St&#44; Troy&#x2C; NY 12180</p>", "Café Nord")], "page_id bigint, url string, html string, business_name string")
+    assert [(r["street"], r["zip_code"]) for r in P.from_text(df).collect()] == [("9 Oak St", "12180")]
+    meta = frame(spark, ("u", '<meta a="x>y"property="og:street-address"content="9 Oak St&#44; Troy, NY 12180">'))
+    assert P.from_meta_tags(meta).first()["street"] == "9 Oak St"
+
+
 def test_selectors(spark):
     df = frame(spark, ("a", NESTED), ("b", ATTR), ("c", BROKEN), ("d", "<p>none</p>"), ("e", "<address>me@x.org</address><li title='3 Way'>"))
     got = {r["page_id"]: r["address"] for r in P.from_selectors(df, P.fixed.REVIEW_SELECTORS + ["li"]).collect()}

@@ -190,6 +190,8 @@ CHALLENGE_MARKUP = [
     r"<[a-z][^>]*\sdata-translate\s*=\s*[\"']?challenge[\"'\s>]",
     r"<[a-z][^>]*\sclass\s*=\s*(?:\"[^\"]*cf-|'[^']*cf-|[^\"'\s>]*cf-)",
 ]
+# A page without any of these holds none of the markup above.
+CHALLENGE_MARKUP_WORDS = ["challenge", "cf-", "turnstile-wrapper"]
 NO_RESULT_PHRASES = [
     "no results found", "we couldn't find any results", "try adjusting your search",
     "0 results", "nothing matches", "no matches found",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html as html_module
 import re
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
@@ -22,17 +23,18 @@ FOUND = ("struct<raw_address:string,street:string,city:string,state:string,zip_c
          "confidence:double,source:string>")
 _SCRIPT = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script\s*>"
 _NEXT = r"(?is)<script\b[^>]*\bid\s*=\s*[\"']?__NEXT_DATA__[\"']?[^>]*>(.*?)</script\s*>"
-_HREF = r"(?is)<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-             ("&apos;", "'"), ("&amp;", "&")]
+# An opening tag with its attributes; a quoted value may hold ">".
+_TAG = "(?is)<%s(?=[\\s/\"'>])(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>?)"
+_BEFORE = "[\\s\"'/]"       # what may stand before an attribute's name
+
+
+def _decode(s: pd.Series) -> pd.Series:
+    return s.map(html_module.unescape, na_action="ignore")
 
 
 def unescape(c: Column) -> Column:
-    """Common character references as text."""
-    out = c
-    for entity, char in _ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return F.when(c.contains("&"), out).otherwise(c)
+    """All character references as text; only texts with a reference leave the JVM."""
+    return F.coalesce(F.pandas_udf(_decode, "string")(F.when(c.contains("&"), c)), c)
 
 
 def page_text(html: Column) -> Column:
@@ -70,14 +72,21 @@ def json_ld_address(html: Column) -> Column:
     return F.when(html.contains("ld+json"), let(F.try_element_at(objects, F.lit(1)), build))
 
 
+def _meta_tag(html: Column, prop: str) -> Column:
+    """The first meta tag of the property, empty text if there is none."""
+    own = rf"(?is){_BEFORE}property\s*=\s*[\"']?{re.escape(prop)}[\"'\s/>]"
+    tags = F.filter(F.regexp_extract_all(html, F.lit(_TAG % "meta"), F.lit(0)), lambda t: t.rlike(own))
+    return F.coalesce(F.try_element_at(tags, F.lit(1)), F.lit(""))
+
+
 def meta_address(html: Column, word_boundary: bool = True) -> Column:
     """Address in the page's address meta tags, tried in a fixed order."""
     options = []
     for prop in fixed.META_ADDRESS:
-        tag = F.regexp_extract(html, rf"(?is)<meta\b[^>]*\sproperty\s*=\s*[\"']?{re.escape(prop)}[\"'\s/>][^>]*>?", 0)
+        tag = _meta_tag(html, prop)
         raw = unescape(F.coalesce(
-            F.nullif(F.regexp_extract(tag, r'(?is)\scontent\s*=\s*"([^"]*)"', 1), F.lit("")),
-            F.nullif(F.regexp_extract(tag, r"(?is)\scontent\s*=\s*'([^']*)'", 1), F.lit(""))))
+            F.nullif(F.regexp_extract(tag, _BEFORE + r'(?i:content)\s*=\s*"([^"]*)"', 1), F.lit("")),
+            F.nullif(F.regexp_extract(tag, _BEFORE + r"(?i:content)\s*=\s*'([^']*)'", 1), F.lit(""))))
         options.append(F.when(html.contains(prop), let(raw, lambda r: let(
             extract_address(r, word_boundary),
             lambda p: F.when(p.isNotNull(), _found(r, p, 0.85, "meta_tags"))))))
@@ -100,8 +109,9 @@ def text_address(html: Column, name: Column, word_boundary: bool = True) -> Colu
             lambda p: F.when(p.isNotNull(), _found(t, p, 0.75, "text_content"))))), lambda h: h.isNotNull())
         return F.try_element_at(hits, F.lit(1))
 
-    # Cheap test first: most pages do not mention the name at all.
-    return F.when(~blank(name) & F.lower(html).contains(F.lower(name)), let(F.split(page_text(html), "\n"), near))
+    # Cheap test first: most pages do not mention the name at all, and only texts are decoded that may.
+    may = ~blank(name) & (F.lower(html).contains(F.lower(name)) | html.contains("&"))
+    return F.when(may, let(F.split(page_text(F.when(may, html)), "\n"), near))
 
 
 def _rows(pages: DataFrame, found: Column, keep: Sequence[str]) -> DataFrame:
@@ -130,27 +140,28 @@ def from_text(pages: DataFrame, names: DataFrame | None = None, word_boundary: b
 
 
 def contact_links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, link): resolved links that look like contact pages, in document order."""
-    @F.pandas_udf("array<string>")
-    def resolve(base: pd.Series, hrefs: pd.Series) -> pd.Series:
-        def one(b, links):
-            out = []
-            for h in links:
-                try:
-                    out.append(urljoin(b, h))
-                except ValueError:
-                    out.append(None)
-            return out
-        return pd.Series([one(b, hs) for b, hs in zip(base, hrefs, strict=True)])
-
-    groups = [F.regexp_extract_all("html", F.lit(_HREF), F.lit(g)) for g in (1, 2, 3)]
-    hrefs = F.filter(F.transform(F.arrays_zip(*[g.alias(f"g{n}") for n, g in enumerate(groups)]),
-                                 lambda z: unescape(F.concat(z["g0"], z["g1"], z["g2"]))),
-                     lambda h: h.rlike(fixed.CONTACT_HREF))
-    linked = pages.filter(F.col("html").rlike(fixed.CONTACT_HREF)).select("page_id", "url", hrefs.alias("_h")) \
-        .filter(F.size("_h") > 0)
-    return linked.select("page_id", F.posexplode(resolve("url", "_h")).alias("pos", "link")) \
-        .filter(F.col("link").isNotNull())
+    """(page_id, pos, link): resolved links that look like contact pages, in document order.
+
+    Only pages that hold a telling word, or a coded character, send their markup to the parser.
+    """
+    wanted = re.compile(fixed.CONTACT_HREF)
+
+    def resolved(base: str, href: str) -> str | None:
+        try:
+            return urljoin(base, href)
+        except ValueError:
+            return None
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            links = [[resolved(u, n.attrs["href"]) for n in parse(h).walk() if n.tag == "a" and wanted.search(n.attrs.get("href", ""))]
+                     for u, h in zip(pdf["url"], pdf["html"], strict=True)]
+            yield pd.DataFrame({"page_id": pdf["page_id"], "links": links})
+
+    html = F.col("html")
+    likely = pages.filter(html.rlike(fixed.CONTACT_HREF) | _coded_attribute(html)).select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html")
+    return likely.mapInPandas(run, "page_id bigint, links array<string>") \
+        .select("page_id", F.posexplode("links").alias("pos", "link")).filter(F.col("link").isNotNull())
 
 
 def _element_texts(pages: DataFrame) -> DataFrame:
@@ -168,14 +179,14 @@ def _element_texts(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "texts": texts})
 
     html = F.col("html")
-    may = html.rlike(r"(?is)\sclass\s*=[^>]*(?:address|location|contact-info)") | _coded_attribute(html)
+    may = F.lower(html).contains("class") & html.rlike(fixed.CONTACT_CLASS) | _coded_attribute(html)
     return pages.select("page_id", "url", F.when(may, html).alias("html")).mapInPandas(
         run, "page_id bigint, url string, texts array<string>")
 
 
 def _coded_attribute(html: Column) -> Column:
-    """True where an attribute value holds a character reference: its text cannot be searched for."""
-    return html.contains("&#") & html.rlike(r"=\s*[\"'][^\"'<>]*&#")
+    """True where an attribute value may hold a letter as a number: its text cannot be searched for."""
+    return html.contains("&#")
 
 
 def _may_match(html: Column, selectors: Sequence[str]) -> Column:
@@ -301,12 +312,19 @@ def from_class_patterns(pages: DataFrame) -> DataFrame:
         run, "page_id bigint, pattern int, text string")
 
 
+def _has_tag(html: Column, tag: str, pattern: str) -> Column:
+    """True where an opening tag of that name matches the pattern."""
+    return F.exists(F.regexp_extract_all(html, F.lit(_TAG % tag), F.lit(0)), lambda t: t.rlike(pattern))
+
+
 def is_challenge(url: Column, html: Column) -> Column:
     """True for bot walls: telling URL words, phrases or markup."""
     low = F.lower(html)
-    markup = "(?i)" + "|".join(fixed.CHALLENGE_MARKUP)
+    # the fixed patterns, applied to one tag at a time: any attribute may stand before, parted by quotes as well
+    markup = "(?is)" + "|".join(p.replace(r"[^>]*\s", ".*?" + _BEFORE, 1) for p in fixed.CHALLENGE_MARKUP)
+    telling = contains_any(low, fixed.CHALLENGE_MARKUP_WORDS)
     return contains_any(F.lower(text(url)), fixed.CHALLENGE_URL_WORDS) \
-        | contains_any(low, fixed.CHALLENGE_PHRASES) | html.rlike(markup)
+        | contains_any(low, fixed.CHALLENGE_PHRASES) | telling & _has_tag(html, r"[a-z][a-z0-9]*", markup)
 
 
 def flag_challenge_pages(pages: DataFrame) -> DataFrame:
@@ -315,11 +333,14 @@ def flag_challenge_pages(pages: DataFrame) -> DataFrame:
 
 def flag_no_results(pages: DataFrame) -> DataFrame:
     """Add ``no_results``: a no-result phrase, or no result container at all."""
-    cls = "|".join(fixed.RESULT_CLASSES)
-    box = (rf"(?i)\sclass\s*=\s*(?:\"(?:[^\"]*\s)?(?:{cls})(?:\s[^\"]*)?\"|'(?:[^']*\s)?(?:{cls})(?:\s[^']*)?')"
-           r"|<a\b[^>]*\sclass\s*=\s*(?:\"(?:[^\"]*\s)?card(?:\s[^\"]*)?\"|'(?:[^']*\s)?card(?:\s[^']*)?')")
-    return pages.withColumn("no_results", contains_any(F.lower("html"), fixed.NO_RESULT_PHRASES)
-                            | ~F.col("html").rlike(box))
+    def with_class(names: str) -> str:
+        return (rf"(?is){_BEFORE}class\s*=\s*(?:\"(?:[^\"]*\s)?(?:{names})(?:\s[^\"]*)?\"|'(?:[^']*\s)?(?:{names})(?:\s[^']*)?'"
+                rf"|(?:{names})(?=[\s>]))")
+
+    html, cls = F.col("html"), "|".join(fixed.RESULT_CLASSES)
+    box = contains_any(F.lower("html"), fixed.RESULT_CLASSES) & _has_tag(html, r"[a-z][a-z0-9]*", with_class(cls)) \
+        | F.lower("html").contains("card") & _has_tag(html, "a", with_class("card"))
+    return pages.withColumn("no_results", contains_any(F.lower("html"), fixed.NO_RESULT_PHRASES) | ~box)
 
 
 def blocked_domains(http_log: DataFrame, key: str, content: DataFrame | None = None,

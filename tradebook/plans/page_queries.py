@@ -26,7 +26,7 @@ def _(i):
     return P.from_meta_tags(i.pages_biz)
 
 
-_TEXT = "replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(?:script|style)\\s*>|<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')"
+_TEXT = "replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(?:script|style)\\s*>|<!--.*?-->', '', 'g'), '(?s)<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&')"
 
 
 def near_sql(pairs: str) -> str:
