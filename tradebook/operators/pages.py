@@ -204,7 +204,11 @@ def from_contact_pages(pages: DataFrame, word_boundary: bool = True) -> DataFram
     only links and addresses are shuffled, never markup. Of pages with the same URL the first
     counts.
     """
-    links = contact_links(pages)
+    return _linked_addresses(contact_links(pages), pages, word_boundary)
+
+
+def _linked_addresses(links: DataFrame, pages: DataFrame, word_boundary: bool) -> DataFrame:
+    """The address of the first link of every page that leads to a page with one."""
     hit = F.filter(F.transform("texts", lambda t: let(extract_address(t, word_boundary), lambda p: F.when(
         p.isNotNull(), _found(t, p, 0.8, "contact_page")))), lambda f: f.isNotNull())
     own = _element_texts(pages).select("page_id", F.col("url").alias("link"), F.try_element_at(hit, F.lit(1)).alias("_f"))
@@ -222,28 +226,32 @@ def extract_cascade(pages: DataFrame, strategies: Sequence[Strategy] | None = No
     """First strategy with a confident address per page.
 
     Pages carry ``business_name``. The default order is structured data, meta tags, contact page,
-    page text. The row-local strategies are evaluated in one pass; only pages they leave open go
-    to the contact-page join. Own ``strategies`` (pages -> rows with page_id and the address
+    page text. What a page says itself is read in one scan (its text only where it mentions the name);
+    only pages that structured data and meta tags leave open have their links resolved. Own ``strategies`` (pages -> rows with page_id and the address
     fields) replace the default ones and are tried in order on what is still open.
     """
     if strategies is not None:
-        done, left = None, pages
+        done, left = None, pages.select("page_id", "business_name")
         for strategy in strategies:
-            hits = strategy(left).filter(F.col("confidence") > threshold)
-            hits = hits.drop("business_name").join(left.select("page_id", "business_name"), "page_id")
+            # each strategy reads the pages in its own scan; only ids and addresses meet in joins
+            hits = strategy(pages).filter(F.col("confidence") > threshold)
+            hits = hits.drop("business_name").join(left, "page_id")
             done = hits if done is None else done.unionByName(hits)
             left = left.join(hits.select("page_id"), "page_id", "left_anti")
         return done
 
     html = F.col("html")
-    early = F.coalesce(json_ld_address(html), meta_address(html, word_boundary))
-    staged = pages.select("page_id", "business_name",
-                          early.alias("_early"),
+    early = F.coalesce(*[F.when(f["confidence"] > threshold, f) for f in (
+        json_ld_address(html), meta_address(html, word_boundary))])
+    staged = pages.select("page_id", "url", "business_name", "html", early.alias("_early"),
                           text_address(html, F.col("business_name"), word_boundary).alias("_late"))
-    contact = from_contact_pages(pages, word_boundary)
+    # only pages that the first two strategies leave open have their links resolved
+    links = contact_links(pages.select("page_id", "url", "html", early.alias("_early")).filter(F.col("_early").isNull()))
+    contact = _linked_addresses(links, pages, word_boundary)
     contact = contact.select("page_id", F.struct(*[c for c in contact.columns if c != "page_id"]).alias("_contact"))
-    best = F.coalesce(*[F.when(F.col(c)["confidence"] > threshold, F.col(c)) for c in ("_early", "_contact", "_late")])
-    return staged.join(contact, "page_id", "left").select("page_id", "business_name", best.alias("_f")) \
+    read = staged.select("page_id", "business_name", "_early", "_late")
+    best = F.coalesce(F.col("_early"), *[F.when(F.col(c)["confidence"] > threshold, F.col(c)) for c in ("_contact", "_late")])
+    return read.join(contact, "page_id", "left").select("page_id", "business_name", best.alias("_f")) \
         .filter(F.col("_f").isNotNull()).select("page_id", "business_name", "_f.*")
 
 
