@@ -194,9 +194,13 @@ def _stream(i, sql: str):
 EPOCH = 1704067200  # event time 0 of the derived views
 
 
-def _timed(i, view: str, delay: str | None = "10 minutes"):
+def _timed(i, view: str, delay: str | None = "10 minutes", ended: bool = False):
     from tradebook.plans.inputs import VIEWS
-    out = _stream(i, VIEWS[view]).withColumn("ts", F.timestamp_seconds(F.col("t") + EPOCH))
+    out = _stream(i, VIEWS[view])
+    if ended:
+        last = getattr(i, view).orderBy(F.desc("t"), "event_id").limit(1)
+        out = W.with_end(out, last.withColumn("t", F.col("t") + 10 * 86400).withColumn("event_id", F.col("event_id") * 0 - 1))
+    out = out.withColumn("ts", F.timestamp_seconds(F.col("t") + EPOCH))
     return out.withWatermark("ts", delay) if delay else out
 
 
@@ -238,13 +242,28 @@ def _(i):
         .select("node_id", "start_t", "end_t", F.array_join("event_ids", ",").alias("ids"))
 
 
-@query("stream_metrics", f"SELECT * FROM (SELECT CAST(floor(t / 60) * 60 AS BIGINT) AS window_start, {METRICS} FROM {ENRICHED} GROUP BY 1) WHERE window_start + 60 <= (SELECT max(t) FROM {ENRICHED}) - 600")
+@query("stream_metrics", f"SELECT CAST(floor(t / 60) * 60 AS BIGINT) AS window_start, {METRICS} FROM {ENRICHED} GROUP BY 1")
 def _(i):
-    ev = _timed(i, "op_events", None).withColumn("failed", F.col("type") == "ERROR")
+    ev = _timed(i, "op_events", None, ended=True).withColumn("failed", F.col("type") == "ERROR")
     out = _rounded(W.run_available(W.metrics_stream(ev)))
     return out.withColumn("window_start", F.unix_timestamp("window_start") - EPOCH)
 
 
+@query("stream_expire_ttl", """SELECT cache_key, t + ttl AS expires_at FROM (SELECT cache_key, t, coalesce(ttl, 900) AS ttl, lead(t) OVER (PARTITION BY cache_key ORDER BY t, event_id) AS n FROM @op_events WHERE type = 'SET' AND cache_key IS NOT NULL)
+  WHERE n IS NULL OR n > t + ttl""")
+def _(i):
+    writes = _timed(i, "op_events", ended=True).filter("event_id = -1 OR type = 'SET' AND cache_key IS NOT NULL") \
+        .withColumn("cache_key", F.when(F.col("event_id") == -1, "end of run").otherwise(F.col("cache_key")))
+    out = _run(Z.expire_stream(writes.withColumn("ttl", F.coalesce("ttl", F.lit(900))), ["cache_key"]), "expires_at")
+    return out.filter("cache_key <> 'end of run'")
+
+
+@query("stream_expire_alerts", "SELECT event_id, t + 600 AS expires_at FROM @op_events WHERE type IN ('ERROR', 'WARNING')")
+def _(i):
+    alerts = _timed(i, "op_events", ended=True).filter("event_id = -1 OR type IN ('ERROR', 'WARNING')").withColumn("ttl", F.lit(600))
+    return _run(Z.expire_stream(alerts, ["event_id"]), "expires_at").filter("event_id <> -1")
+
+
 @query("stream_dedup", f"SELECT business_key FROM (SELECT {KEY_SQL} AS business_key, rn FROM {FIRSTS}) WHERE rn = 1")
 def _(i):
     path = scratch(i.spark, "records")

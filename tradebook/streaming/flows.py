@@ -39,6 +39,17 @@ def run_available(stream: DataFrame, partition_by: str | None = None, mode: str
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def with_end(stream: DataFrame, last: DataFrame) -> DataFrame:
+    """The stream followed by ``last``, rows far in the future.
+
+    A bounded run ends with the watermark behind the youngest row; the extra rows move it past everything
+    before them, so that all windows and timers of the run come out. They go in before ``withWatermark``.
+    """
+    path = scratch(stream.sparkSession, "stream-end")
+    last.write.parquet(path)
+    return stream.unionByName(read_stream(stream.sparkSession, path, last))
+
+
 def route_by_priority(events: DataFrame, path: str, checkpoint: str):
     """Start a query that writes enriched events into one folder per priority."""
     return enrich_events(events).writeStream.format("parquet").partitionBy("priority") \
@@ -56,11 +67,6 @@ def metrics_stream(events: DataFrame, ts: str = "ts", every: str = "60 seconds",
     return metrics_by_interval(enrich_events(events).withWatermark(ts, delay), every, ts)
 
 
-def expire_stream(alerts: DataFrame, as_of: int, older_than: int) -> DataFrame:
-    """Alerts of a stream that are younger than ``older_than`` seconds at ``as_of``."""
-    return alerts.filter(F.col("t") > as_of - older_than)
-
-
 def on_batch(stream: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str):
     """Hand every micro-batch to ``callback`` (event and pattern subscriptions)."""
     return stream.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint) \

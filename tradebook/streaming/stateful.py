@@ -33,7 +33,7 @@ class _Fold(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "last_t bigint, body string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["t", "event_id"], kind="stable")
         last, state = None, self.start()
         if self.state.exists():
@@ -51,7 +51,7 @@ class _Fold(StatefulProcessor):
             self.handle.registerTimer((last + self.memory + 1) * 1000)
         yield pd.DataFrame(out, columns=self.names)
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.state.clear()
         yield pd.DataFrame([], columns=self.names)
 
@@ -144,3 +144,62 @@ def cooldown_stream(raised: DataFrame, cooldown: int = 300) -> DataFrame:
     out = _fold_stream(raised, ["rule_name"], ["t", "event_id", "severity", "message"], dict, step,
                        "kept boolean", cooldown)
     return out.filter("kept").select("rule_name", "t", "severity", "message")
+
+
+class _Expiry(StatefulProcessor):
+    """Keeps the writes of a key that can still matter and reports those that run out unreplaced."""
+
+    def __init__(self, keys: Sequence[str]):
+        self.names = [*keys, "expires_at"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.writes = handle.getListState("writes", "t bigint, event_id bigint, expires_at bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = list(self.writes.get())
+        for frame in rows:
+            for t, event_id, expires in frame[["t", "event_id", "expires_at"]].itertuples(index=False):
+                known.append((int(t), int(event_id), None if pd.isna(expires) else int(expires)))
+                if known[-1][2] is not None:
+                    self.handle.registerTimer(known[-1][2] * 1000)
+        self._keep(known, timerValues.getCurrentWatermarkInMs() // 1000)
+        yield pd.DataFrame([], columns=self.names)
+
+    def _keep(self, known: list, settled: int) -> None:
+        """All writes after the watermark, and the last one before it."""
+        known.sort(key=lambda w: w[:2])
+        past = [w for w in known if w[0] <= settled]
+        self.writes.put([*past[-1:], *[w for w in known if w[0] > settled]])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # the watermark has passed this time: every write up to it is known, in whatever order they came
+        at = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        known = sorted((tuple(w) for w in self.writes.get()), key=lambda w: w[:2])
+        past, later = [w for w in known if w[0] <= at], [w for w in known if w[0] > at]
+        gone = bool(past) and past[-1][2] == at
+        left = later if gone else [*past[-1:], *later]
+        if left:
+            self.writes.put(left)
+        else:
+            self.writes.clear()
+        yield pd.DataFrame([(*key, at)] if gone else [], columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def expire_stream(writes: DataFrame, keys: Sequence[str], ttl: str = "ttl") -> DataFrame:
+    """(keys, expires_at) of every write that runs out before its key is written again.
+
+    A write at second t lives ``ttl`` seconds (NULL: for ever). Decisions wait for the watermark, so late rows
+    inside it count, in any order; a key's state is dropped when its last write has run out.
+    """
+    spark = writes.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = writes.withColumn("t", F.unix_seconds("ts")).withColumn("expires_at", F.col("t") + F.col(ttl)) \
+        .select(*keys, "ts", "t", "event_id", "expires_at")
+    schema = T.StructType([T.StructField(k, rows.schema[k].dataType, True) for k in keys]).add("expires_at", T.LongType())
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_Expiry(keys), outputStructType=schema, outputMode="Append", timeMode="EventTime")
