@@ -7,17 +7,20 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check import rows_of
+from tradebook.plans import catalog
 from tradebook.plans.inputs import TABLES
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 # One query per family; tools/check.py runs all of them.
 SAMPLE = ["count_by_state", "validate_business", "top_results", "extract_cascade", "limit_rate", "alerts_with_dedup",
-          "match_pattern", "consecutive_errors", "cache_lookup", "evict_lfu", "name_mentions", "stream_lockouts"]
+          "match_pattern", "consecutive_errors", "cache_lookup", "evict_lfu", "name_mentions", "stream_lockouts", "combine_chunks_by_name", "check_source_files",
+          "check_csv_schema", "log_files", "catalog_profile", "stream_metrics", "stream_expire_ttl", "stream_expire_alerts",
+          "blocked_domains", "addresses_for_names", "enhance_queries", "score_results", "cap_tiers", "from_contact_pages"]
 
 
 def test_every_query_is_well_named():
-    for name in entry.queries():
+    for name in catalog.QUERIES:
         assert re.fullmatch(r"[a-z][a-z0-9_]*", name) and "pipeline" not in name and not re.match(r"op\d*_", name)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -85,9 +85,9 @@ def _(i):
 
 
 @query("blocked_domains", f"""SELECT session_id, count(*) AS requests, count(*) FILTER (status IN (401, 403, 429)) AS refused FROM @http_log WHERE (contains(url, 'chamberofcommerce.com') OR contains(url, 'trustpilot.com'))
-  AND session_id NOT IN (SELECT 's' || CAST(page_id % 40 AS VARCHAR(5)) FROM @pages_biz WHERE page_id % 3 = 0 AND {any_hit('lower(html)', fixed.CONTENT_MARKERS)}) GROUP BY session_id HAVING count(*) FILTER (status IN (401, 403, 429)) > count(*) * 0.5""")
+  AND session_id NOT IN (SELECT 's' || CAST(page_id AS VARCHAR(20)) FROM @pages_biz WHERE {any_hit('lower(html)', fixed.CONTENT_MARKERS)}) GROUP BY session_id HAVING count(*) FILTER (status IN (401, 403, 429)) > count(*) * 0.5""")
 def _(i):
-    content = i.pages_biz.filter("page_id % 3 = 0").select(F.concat(F.lit("s"), (F.col("page_id") % 40).cast("string")).alias("session_id"), "html")
+    content = i.pages_biz.select(F.concat(F.lit("s"), F.col("page_id").cast("string")).alias("session_id"), "html")
     return P.blocked_domains(i.http_log, "session_id", content)
 
 
@@ -124,9 +124,13 @@ def _(i):
     names = i.customer.select((F.col("c_custkey") + 1).alias("row_id"), F.col("c_name").alias("business_name"))
     k = F.col("page_id")
     base = i.pages.select("page_id", (k + 1).alias("row_id"), "url", "html")
-    listing = base.withColumn("html", F.when(k % 2 == 0, F.concat(
+    def inside(markup):
+        """The page as it is, with the markup put first in its body."""
+        return F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), markup))
+
+    listing = base.withColumn("html", inside(F.when(k % 2 == 0, F.concat(
         F.lit('<div class="search-results"><address class="card-text">'), k.cast("string"), F.lit(" Elm St<br> Troy</address></div>")))
-        .otherwise("<p>0 results</p>"))
-    review = base.withColumn("html", F.when(k % 3 == 0, F.lit('<script id="__NEXT_DATA__">{"props":{"pageProps":{"business":{"location":{"street":"7 Elm Rd","city":"Troy","zipCode":"12180"}}}}}</script>'))
-                             .otherwise('<div class="location-info"><p>Old Town Road</p></div>'))
+        .otherwise("<p>0 results</p>")))
+    review = base.withColumn("html", inside(F.when(k % 3 == 0, F.lit('<script id="__NEXT_DATA__">{"props":{"pageProps":{"business":{"location":{"street":"7 Elm Rd","city":"Troy","zipCode":"12180"}}}}}</script>'))
+                             .otherwise('<div class="location-info"><p>Old Town Road</p></div>')))
     return addresses_for_names(names, listing, review)

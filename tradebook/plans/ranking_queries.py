@@ -149,15 +149,22 @@ def _(i):
 @query("enhance_queries", """SELECT id, CASE WHEN id % 2 = 0 THEN trim(regexp_replace(business_name, '\\s+', ' ', 'g')) || ' office location' ELSE business_name || ' business address location New York NY official records contact information' END AS search_query,
   CASE WHEN id % 2 = 0 THEN 'model' ELSE 'fallback' END AS enhancement FROM @businesses""")
 def _(i):
-    def model(_prompt):
-        return F.when(F.col("id") % 2 == 0, F.concat(F.lit(' "'), F.col("business_name"), F.lit(' office location" '))).otherwise("?")
+    def model(prompt):
+        """A stand-in that reads the business out of its prompt."""
+        named = F.regexp_extract(prompt, r"(?s)<business>(.*?)</business>", 1)
+        return F.when(F.col("id") % 2 == 0, F.concat(F.lit(' "'), named, F.lit(' office location" '))).otherwise("?")
     return G.enhance_queries(i.businesses, model).select("id", "search_query", "enhancement")
 
 
-@query("score_results", "SELECT pos, CASE WHEN pos % 3 = 0 THEN 0.5::DOUBLE WHEN pos % 3 = 1 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS relevance_score FROM @search_results")
+@query("score_results", "SELECT pos, CASE k WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS relevance_score FROM (SELECT pos, (length(coalesce(title, '')) + 2 * length(coalesce(url, ''))) % 3 AS k FROM @search_results)")
 def _(i):
-    k = F.col("pos") % 3
-    return G.score_results(i.search_results, lambda _p: F.when(k == 0, "good").when(k == 1, "7").otherwise(" 0.25 ")).select("pos", "relevance_score")
+    def model(prompt):
+        """A stand-in whose answer depends on the title and the address in its prompt."""
+        title = F.regexp_extract(prompt, r"(?s)Title: (.*?)\nDescription: ", 1)
+        url = F.regexp_extract(prompt, r"\nURL: ([^\n]*)\n", 1)
+        k = (F.length(title) + 2 * F.length(url)) % 3
+        return F.when(k == 0, "good").when(k == 1, "7").otherwise(" 0.25 ")
+    return G.score_results(i.search_results, model).select("pos", "relevance_score")
 
 
 @query("members", "SELECT business_id, pos FROM @search_results WHERE business_id IN (SELECT id FROM @businesses WHERE verified)")
