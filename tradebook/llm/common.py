@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(key: Column, parts: int) -> Column:
-    """The fold of a row: crc32 of its key as text, modulo ``parts``."""
-    return F.crc32(key.cast("string").cast("binary")) % F.lit(parts)
+    """The fold of a row: crc32 of its key as text (empty for null), modulo ``parts``."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(parts)
 
 
 def unit(seed: str, *keys: Column) -> Column:
@@ -55,6 +56,18 @@ def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(_side(ids, key), key, "left_anti")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000):
+    """Arrow batches of few rows for the jobs run inside: rows that hold texts or sets are wide."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _side(ids: DataFrame, key: str) -> DataFrame:
     side = ids.select(F.col(ids.columns[0]).alias(key))
     return F.broadcast(side) if ids.count() <= BROADCAST_IDS else side

@@ -39,9 +39,9 @@ MIN_RUN = 8
 BLOCK_WORDS = 1_000_000
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title|object|math|canvas)\b"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title)\b"
     r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<[a-zA-Z][^<>]*+>",
     re.S | re.I)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -111,7 +111,7 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"] and m["raw"].lower() in ("iframe", "textarea", "select", "object", "title"):
+            if m["raw"] and m["raw"].lower() in ("iframe", "textarea", "select", "title"):
                 held.append(" ")
             continue
         if tag == "br":

@@ -49,8 +49,8 @@ def rates(documents: DataFrame, weights: Mapping[str, float] | None = None, tota
 def poisson_inverse(u: Column, rate: Column) -> Column:
     """The smallest k whose Poisson distribution function exceeds ``u``.
 
-    Terms are summed in logarithms, so large means do not underflow; the sum ends 12 standard
-    deviations and 40 terms above the mean, where the distribution function is 1 to double precision.
+    Terms are summed in logarithms, so large means do not underflow; the search ends where terms above the
+    mean no longer change the sum in double precision.
     """
     most = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
     start = F.struct((-rate).alias("log_p"), F.exp(-rate).alias("below"),
@@ -60,7 +60,7 @@ def poisson_inverse(u: Column, rate: Column) -> Column:
         log_p = acc["log_p"] + F.log(rate) - F.log(k.cast("double"))
         below = acc["below"] + F.exp(log_p)
         return F.struct(log_p.alias("log_p"), below.alias("below"),
-                        F.coalesce(acc["k"], F.when(below > u, k)).alias("k"))
+                        F.coalesce(acc["k"], F.when((below > u) | (k > rate) & (log_p < -45), k)).alias("k"))
 
     counted = F.aggregate(F.sequence(F.lit(1), most), start, add, lambda acc: F.coalesce(acc["k"], most))
     return F.when(rate > 0, counted).otherwise(F.lit(0))

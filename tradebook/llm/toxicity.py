@@ -141,7 +141,8 @@ def _one_of_copies(rows: DataFrame) -> DataFrame:
             sign = [_signature(words_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sign, pa.int64())], [*batch.schema.names, "sign"])
 
-    return settle(rows.mapInArrow(run, "text string, label int, sign bigint").dropDuplicates(["sign", "label"]))
+    return settle(rows.mapInArrow(run, "text string, label int, sign bigint").groupBy("sign", "label")
+                  .agg(F.min("text").alias("text")).select("text", "label"))
 
 
 def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Field:
