@@ -13,12 +13,15 @@ not listed pair by pair: the result is the connected component of each document.
    |A| / 5 deletions away, and so is B, and both meet in the region of C. There, with ranks i and j,
    the way A - C - B is at least i + j long, while links are at most (|A| + |B|) / 9 long.
 4. **Regions join recursively.** Small regions list the pairs in their windows. In a large one, each
-   member is held against one pivot document for its range of sizes; members that link are one component and
-   need not be compared with each other. What is left, the members of a large region in different
-   components, is joined again: dealt into bounded blocks and filtered by distance bounds.
-5. **Bounds from hash pivots.** The shingle universe is cut into 64 parts by hash. The numbers of a set's
-   shingles in them form a sketch, and the sum of their differences never exceeds |A sd B|: a
-   contraction, so a pair beyond (|A| + |B|) / 9 cannot link. Pairs that pass are compared exactly.
+   member is held against the region's most central document; members that link are one component and
+   need not be compared with each other. Members outside it are held against the most central one of
+   theirs. What is left then, the members of a large region in different components, is joined a last time:
+   dealt into bounded blocks and filtered by windows and distance bounds.
+5. **Bounds from hash pivots.** The shingle universe is cut into parts by hash, about |A| / 8 of them. The
+   numbers of a set's shingles in them form a sketch, and the sum of their differences never exceeds
+   |A sd B|: a contraction, so a pair beyond (|A| + |B|) / 9 cannot link. Unrelated sets of any size
+   lie far beyond. Sketches of different length are compared in the shorter one's parts. Pairs that pass
+   are compared exactly.
 
 The order of the shingles only decides about speed: shingles that many documents share come last (they are
 found inside the tasks of the first scan, at most ``HOT_SHINGLES``), the rest by hash. Shingles are
@@ -40,11 +43,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradebook.llm.common import only_ids, query, table, without_ids
+from tradebook.llm.common import only_ids, query, small_batches, table, without_ids
 from tradebook.session import settle
 
 WORDS = 5
-PARTS = 64
+#: Parts of a sketch, as powers of two: at least, at most.
+LEAST_PARTS, MOST_PARTS = 4, 13
 #: Shingles that are put last in the order, at most (8 bytes each are broadcast).
 HOT_SHINGLES = 1 << 17
 #: A shingle is called frequent inside a task from so many documents of one chunk on.
@@ -54,7 +58,7 @@ SMALL_REGION = 8
 #: Members of a block in the second join of large regions.
 BLOCK = 2048
 #: Shingles worked on at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -146,11 +150,25 @@ def frequent_shingles(documents: DataFrame) -> np.ndarray:
     return np.sort(rows.column("s").to_numpy().view(np.uint64))
 
 
+def parts_of(n: np.ndarray | int) -> np.ndarray | int:
+    """How many parts the sketch of a set of n shingles has: about n / 8, a power of two."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 8)).astype(np.int64), LEAST_PARTS, MOST_PARTS)
+
+
 def _sketch(h: np.ndarray) -> bytes:
-    counts = np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=PARTS)
+    bits = int(parts_of(len(h))).bit_length() - 1
+    counts = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(counts, 65535).astype("<u2").tobytes()
 
 
+def _folded(sketches: list[bytes], parts: int) -> np.ndarray:
+    """Sketches of ``parts`` parts or more as rows of ``parts`` sums."""
+    out = np.empty((len(sketches), parts), np.int32)
+    for k, sk in enumerate(sketches):
+        out[k] = np.frombuffer(sk, "<u2").reshape(parts, -1).sum(axis=1)
+    return out
+
+
 def describe(documents: DataFrame, hot: np.ndarray) -> DataFrame:
     """(id, n, digest, sketch, window) of every document; the window has the first n // 5 + 1 shingles."""
     shared = documents.sparkSession.sparkContext.broadcast(hot)
@@ -189,31 +207,21 @@ def _near(na: np.ndarray, nb: np.ndarray, way: np.ndarray | int) -> np.ndarray:
     return (4 * nb <= 5 * na) & (4 * na <= 5 * nb) & (9 * way <= na + nb)
 
 
-MEETINGS = "s bigint, a bigint, b bigint, n int, large boolean"
+MEETINGS = "s bigint, a bigint, b bigint, n int, rank int, large boolean"
 
 
 def meet(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Join the regions of a partition sorted by (s, n, id): rows (s, a, b, n, large).
+    """Join the regions of a partition sorted by (s, n, id): rows (s, a, b, n, rank, large).
 
-    Pairs of small regions, and for large ones each member b with the pivot document a of its range of
-    sizes (a = b for the pivot itself). A large region streams through: only its pivot is held.
+    Pairs (a, b) of small regions, and the members of large ones (a = b), which stream through.
     """
     carry: list[np.ndarray] | None = None
-    running: tuple[int, int, int] | None = None     # large region: s, pivot id, pivot size
+    running: int | None = None          # the large region that goes on in the next batch
 
-    def large(s: np.ndarray, d: np.ndarray, n: np.ndarray):
+    def large(s: np.ndarray, d: np.ndarray, n: np.ndarray, r: np.ndarray):
         nonlocal running
-        pivots = np.empty_like(d)
-        key, pivot, size = running if running is not None and running[0] == s[0] else (int(s[0]), int(d[0]), int(n[0]))
-        begin = 0
-        while begin < len(d):
-            end = begin + int(np.searchsorted(4 * n[begin:].astype(np.int64), 5 * size, side="right"))
-            pivots[begin:end] = pivot
-            if end < len(d):
-                pivot, size = int(d[end]), int(n[end])
-            begin = end
-        running = (key, pivot, size)
-        return s, pivots, d, n, np.ones(len(d), bool)
+        running = int(s[0])
+        return s, d, d, n, r, np.ones(len(d), bool)
 
     def small(s: np.ndarray, d: np.ndarray, n: np.ndarray, r: np.ndarray, group: np.ndarray):
         n, r, out = n.astype(np.int64), r.astype(np.int64), []
@@ -225,7 +233,8 @@ def meet(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             at = np.flatnonzero(ok)
             if len(at):
                 x, y = d[at], d[at + apart]
-                out.append((s[at], np.minimum(x, y), np.maximum(x, y), np.zeros(len(at), np.int32), np.zeros(len(at), bool)))
+                none = np.zeros(len(at), np.int32)
+                out.append((s[at], np.minimum(x, y), np.maximum(x, y), none, none, np.zeros(len(at), bool)))
         return out
 
     def work(cols: list[np.ndarray], last: bool):
@@ -234,21 +243,17 @@ def meet(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         starts = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         sizes = np.diff(np.concatenate((starts, [len(s)])))
         parts = []
-        if running is not None and running[0] != s[0]:
+        if running is not None and running != s[0]:
             running = None
         big = sizes > SMALL_REGION
         big[0] |= running is not None
         if not last:
-            if big[-1]:
-                carry = None
-            else:
+            if not big[-1]:
                 carry = [c[starts[-1]:] for c in cols]
                 starts, sizes, big = starts[:-1], sizes[:-1], big[:-1]
         for k in np.flatnonzero(big):
-            if running is not None and running[0] != s[starts[k]]:
-                running = None
             piece = slice(starts[k], starts[k] + sizes[k])
-            parts.append(large(s[piece], d[piece], n[piece]))
+            parts.append(large(s[piece], d[piece], n[piece], r[piece]))
         many = np.flatnonzero(~big & (sizes > 1))
         if len(many):
             group = np.repeat(many, sizes[many])
@@ -256,7 +261,7 @@ def meet(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             parts += small(s[at], d[at], n[at], r[at], group)
         if parts:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([p[k] for p in parts])) for k in range(5)], ["s", "a", "b", "n", "large"])
+                [pa.array(np.concatenate([p[k] for p in parts])) for k in range(6)], ["s", "a", "b", "n", "rank", "large"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -293,10 +298,14 @@ def _bounded(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), dtype="<u2").reshape(-1, PARTS).astype(np.int32)
-                for c in ("x", "y"))
+        x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
         na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
-        mask = pa.array(_near(na, nb, np.abs(x - y).sum(axis=1)))
+        keep, parts = np.zeros(batch.num_rows, bool), parts_of(np.minimum(na, nb))
+        for p in np.unique(parts).tolist():
+            at = np.flatnonzero(parts == p)
+            way = np.abs(_folded([x[k] for k in at], p) - _folded([y[k] for k in at], p)).sum(axis=1)
+            keep[at] = _near(na[at], nb[at], way)
+        mask = pa.array(keep)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
@@ -340,8 +349,23 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def star(members: DataFrame) -> DataFrame:
+    """Pairs of each member of a large region with the region's pivot document.
+
+    The pivot is the most central member, the one most of whose window lies in large regions: the same
+    one in nearly all regions of a group of near copies, so the pairs are about as many as documents.
+    """
+    share = members.groupBy("id").agg((F.count("*") / (F.floor(F.first("n") / 5) + 1)).alias("share"))
+    ranked = members.join(share, "id")
+    pivots = ranked.groupBy("s").agg(F.max(F.struct("share", (-F.col("id")).alias("back"), F.col("n").alias("pn"))).alias("p")) \
+        .select("s", (-F.col("p.back")).alias("pivot"), F.col("p.pn").alias("pn"))
+    fits = (4 * F.col("n") <= 5 * F.col("pn")) & (4 * F.col("pn") <= 5 * F.col("n"))
+    return members.join(pivots, "s").filter((F.col("id") != F.col("pivot")) & fits) \
+        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
 def _cross(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Pairs of members in different components whose sketches do not rule a link out, block by block.
+    """Pairs of members in different components that windows and sketches do not rule out, block by block.
 
     Rows come sorted by (s, u, v): at most two blocks of members at a time.
     """
@@ -349,19 +373,22 @@ def _cross(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
 
     def pairs(rows: list[tuple]) -> pa.RecordBatch:
         same = key[1] == key[2]
-        ids = np.array([r[0] for r in rows], np.int64)
-        n = np.array([r[1] for r in rows], np.int64)
-        comp = np.array([r[2] for r in rows], np.int64)
-        block = np.array([r[3] for r in rows], np.int64)
-        sk = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, PARTS).astype(np.int32)
-        order = np.argsort(n, kind="stable")
-        ids, n, comp, block, sk = ids[order], n[order], comp[order], block[order], sk[order]
-        a, b = [], []
+        rows.sort(key=lambda r: r[1])
+        ids, n, rank, comp, block = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+        parts = parts_of(n)                                     # grows with n, so later rows fold to earlier ones'
+        a, b, level, folded, first = [], [], 0, None, 0
         for k in range(len(ids) - 1):
             end = k + 1 + int(np.searchsorted(4 * n[k + 1:], 5 * n[k], side="right"))
-            other = np.flatnonzero((comp[k + 1:end] != comp[k]) & (same | (block[k + 1:end] != block[k]))) + k + 1
+            ahead = slice(k + 1, end)
+            other = np.flatnonzero((comp[ahead] != comp[k]) & (same | (block[ahead] != block[k]))
+                                   & (9 * (rank[ahead] + rank[k]) <= n[ahead] + n[k])) + k + 1
             if len(other):
-                way = np.abs(sk[other] - sk[k]).sum(axis=1)
+                if parts[k] != level:
+                    level, first = int(parts[k]), k
+                    # sizes of this level are 8 * level at most, those they can link with a quarter more
+                    last = len(ids) if level == 1 << MOST_PARTS else int(np.searchsorted(n, 10 * level, side="right"))
+                    folded = _folded([r[5] for r in rows[k:last]], level)
+                way = np.abs(folded[other - first] - folded[k - first]).sum(axis=1)
                 other = other[9 * way <= n[other] + n[k]]
                 a.append(np.minimum(ids[other], ids[k]))
                 b.append(np.maximum(ids[other], ids[k]))
@@ -379,23 +406,33 @@ def _cross(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         yield pairs(held)
 
 
-def left_over(members: DataFrame, labels: DataFrame, described: DataFrame, tested: DataFrame) -> DataFrame:
-    """The pairs of large regions that lie in different components and have not been compared."""
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of those large regions that lie in two components or more, with their component."""
     known = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    regions = known.groupBy("s").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .filter("lo < hi").select("s", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = known.join(regions, "s").withColumn("block", block) \
+    open_ = known.groupBy("s").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        .filter("lo < hi").select("s", "m")
+    return known.join(open_, "s")
+
+
+def left_over(members: DataFrame, described: DataFrame, tested: DataFrame) -> DataFrame:
+    """The pairs of unsettled members in different components that have not been compared."""
+    dealt = members.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")) \
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
         .join(described.select("id", "sketch"), "id") \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("s", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"),
-                "id", "n", "component", "block", "sketch")
+                "id", "n", "rank", "component", "block", "sketch")
     found = dealt.repartition("s", "u", "v").sortWithinPartitions("s", "u", "v").mapInArrow(_cross, "a bigint, b bigint")
     return settle(found.distinct().join(tested, ["a", "b"], "left_anti"))
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of ``documents``."""
+    with small_batches(documents.sparkSession):
+        return _near_duplicates(documents)
+
+
+def _near_duplicates(documents: DataFrame) -> DataFrame:
     bare = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     described = settle(describe(bare, frequent_shingles(bare)))
     real = described.filter("id is not null and n > 0")
@@ -406,12 +443,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     rows = reps.select("id", "n", F.posexplode("window").alias("rank", "s")).select("s", "id", "n", "rank")
     met = settle(rows.repartition("s").sortWithinPartitions("s", "n", "id").mapInArrow(meet, MEETINGS))
-    pairs = settle(met.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    members = met.filter("large").select("s", F.col("b").alias("id"), "n", "rank")
+    pairs = settle(met.filter("not large").select("a", "b").unionAll(star(members)).distinct())
     linked = links(pairs, bare, described)
     labels = components(linked)
-    members = met.filter("large").select("s", F.col("b").alias("id"), "n")
-    if not members.isEmpty():
-        more = left_over(members, labels, described, pairs)
+    rest = settle(unsettled(members, labels))
+    if not rest.isEmpty():
+        again = settle(star(rest.join(rest.groupBy("s").agg(F.min("component").alias("component")), ["s", "component"], "left_anti")
+                            .select("s", "id", "n")).join(pairs, ["a", "b"], "left_anti"))
+        linked, pairs = linked.unionAll(links(again, bare, described)), pairs.unionAll(again)
+        labels = components(linked)
+        more = left_over(unsettled(members, labels), described, pairs)
         if not more.isEmpty():
             labels = components(linked.unionAll(links(more, bare, described)))
 
