@@ -15,8 +15,8 @@ not listed pair by pair: the result is the connected component of each document.
 4. **Regions join recursively.** Small regions list the pairs in their windows. In a large one, each
    member is held against the region's most central document; members that link are one component and
    need not be compared with each other. Members outside it are held against the most central one of
-   theirs. What is left then, the members of a large region in different components, is joined a last time:
-   dealt into bounded blocks and filtered by windows and distance bounds.
+   theirs. What is left then, the members of a large region in different components, is dealt into bounded
+   blocks, filtered by windows and distance bounds and compared, the nearest pairs first, then all.
 5. **Bounds from hash pivots.** The shingle universe is cut into parts by hash, about |A| / 8 of them. The
    numbers of a set's shingles in them form a sketch, and the sum of their differences never exceeds
    |A sd B|: a contraction, so a pair beyond (|A| + |B|) / 9 cannot link. Unrelated sets of any size
@@ -57,6 +57,8 @@ HOT_IN_CHUNK = 4
 SMALL_REGION = 8
 #: Members of a block in the second join of large regions.
 BLOCK = 2048
+#: How many members of each other component a member is held against, round by round; the last takes all.
+QUOTAS = (1, 16, None)
 #: Shingles worked on at a time.
 CHUNK = 1 << 20
 
@@ -364,46 +366,61 @@ def star(members: DataFrame) -> DataFrame:
         .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
-def _cross(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+def _cross(quota: int | None):
     """Pairs of members in different components that windows and sketches do not rule out, block by block.
 
-    Rows come sorted by (s, u, v): at most two blocks of members at a time.
+    Rows come sorted by (s, u, v): at most two blocks of members at a time. A pair comes out of one region
+    only, that of its first common shingle. With a quota, each member names the nearest ``quota`` members of
+    each other component.
     """
-    key, held = None, []
-
-    def pairs(rows: list[tuple]) -> pa.RecordBatch:
+    def pairs(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
         same = key[1] == key[2]
         rows.sort(key=lambda r: r[1])
         ids, n, rank, comp, block = (np.array([r[k] for r in rows], np.int64) for k in range(5))
         parts = parts_of(n)                                     # grows with n, so later rows fold to earlier ones'
+        ahead_of = [np.array(r[6], np.int64) for r in rows]     # what stands before s in each window
         a, b, level, folded, first = [], [], 0, None, 0
         for k in range(len(ids) - 1):
             end = k + 1 + int(np.searchsorted(4 * n[k + 1:], 5 * n[k], side="right"))
-            ahead = slice(k + 1, end)
-            other = np.flatnonzero((comp[ahead] != comp[k]) & (same | (block[ahead] != block[k]))
-                                   & (9 * (rank[ahead] + rank[k]) <= n[ahead] + n[k])) + k + 1
-            if len(other):
-                if parts[k] != level:
-                    level, first = int(parts[k]), k
-                    # sizes of this level are 8 * level at most, those they can link with a quarter more
-                    last = len(ids) if level == 1 << MOST_PARTS else int(np.searchsorted(n, 10 * level, side="right"))
-                    folded = _folded([r[5] for r in rows[k:last]], level)
-                way = np.abs(folded[other - first] - folded[k - first]).sum(axis=1)
-                other = other[9 * way <= n[other] + n[k]]
-                a.append(np.minimum(ids[other], ids[k]))
-                b.append(np.maximum(ids[other], ids[k]))
+            later = slice(k + 1, end)
+            other = np.flatnonzero((comp[later] != comp[k]) & (same | (block[later] != block[k]))
+                                   & (9 * (rank[later] + rank[k]) <= n[later] + n[k])) + k + 1
+            if not len(other):
+                continue
+            if parts[k] != level:
+                level, first = int(parts[k]), k
+                # sizes of this level are 8 * level at most, those they can link with a quarter more
+                last = len(ids) if level == 1 << MOST_PARTS else int(np.searchsorted(n, 10 * level, side="right"))
+                folded = _folded([r[5] for r in rows[k:last]], level)
+            way = np.abs(folded[other - first] - folded[k - first]).sum(axis=1)
+            near = 9 * way <= n[other] + n[k]
+            other, way = other[near], way[near]
+            if quota is not None and len(other) > quota:
+                order = np.lexsort((ids[other], way, comp[other]))
+                other = other[order]
+                starts = np.flatnonzero(np.concatenate(([True], np.diff(comp[other]) != 0)))
+                place = np.arange(len(other)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(other)]))))
+                other = other[place < quota]
+            mine = set(ahead_of[k].tolist())
+            other = np.array([o for o in other.tolist() if mine.isdisjoint(ahead_of[o].tolist())], np.int64)
+            a.append(np.minimum(ids[other], ids[k]))
+            b.append(np.maximum(ids[other], ids[k]))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], ["a", "b"])
 
-    for batch in batches:
-        for s, u, v, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if (s, u, v) != key:
-                if len(held) > 1:
-                    yield pairs(held)
-                key, held = (s, u, v), []
-            held.append(tuple(row))
-    if len(held) > 1:
-        yield pairs(held)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for s, u, v, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (s, u, v) != key:
+                    if len(held) > 1:
+                        yield pairs(key, held)
+                    key, held = (s, u, v), []
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield pairs(key, held)
+
+    return run
 
 
 def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -414,15 +431,16 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(open_, "s")
 
 
-def left_over(members: DataFrame, described: DataFrame, tested: DataFrame) -> DataFrame:
-    """The pairs of unsettled members in different components that have not been compared."""
+def left_over(members: DataFrame, described: DataFrame, tested: DataFrame, quota: int | None) -> DataFrame:
+    """Pairs of unsettled members in different components that have not been compared (all without a quota)."""
     dealt = members.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")) \
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
-        .join(described.select("id", "sketch"), "id") \
+        .join(described.select("id", "sketch", "window"), "id") \
+        .withColumn("before", F.slice("window", F.lit(1), F.col("rank"))) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("s", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"),
-                "id", "n", "rank", "component", "block", "sketch")
-    found = dealt.repartition("s", "u", "v").sortWithinPartitions("s", "u", "v").mapInArrow(_cross, "a bigint, b bigint")
+                "id", "n", "rank", "component", "block", "sketch", "before")
+    found = dealt.repartition("s", "u", "v").sortWithinPartitions("s", "u", "v").mapInArrow(_cross(quota), "a bigint, b bigint")
     return settle(found.distinct().join(tested, ["a", "b"], "left_anti"))
 
 
@@ -453,9 +471,16 @@ def _near_duplicates(documents: DataFrame) -> DataFrame:
                             .select("s", "id", "n")).join(pairs, ["a", "b"], "left_anti"))
         linked, pairs = linked.unionAll(links(again, bare, described)), pairs.unionAll(again)
         labels = components(linked)
-        more = left_over(unsettled(members, labels), described, pairs)
-        if not more.isEmpty():
-            labels = components(linked.unionAll(links(more, bare, described)))
+        # the nearest pairs first: what they link need not be compared any further
+        for quota in QUOTAS:
+            rest = settle(unsettled(members, labels))
+            more = None if rest.isEmpty() else left_over(rest, described, pairs, quota)
+            if more is None or more.isEmpty():
+                if more is None or quota is None:
+                    break
+                continue
+            linked, pairs = linked.unionAll(links(more, bare, described)), pairs.unionAll(more)
+            labels = components(linked)
 
     by_copy = others.select(F.col("id").alias("_copy"), F.col("rep"))
     return described.join(by_copy, F.col("id") == F.col("_copy"), "left") \
