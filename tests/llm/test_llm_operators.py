@@ -26,6 +26,7 @@ from tradebook.llm import (
     toxicity,
 )
 from tradebook.llm.queries import CHECKS, QUERIES
+from tradebook.session import settle
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -434,6 +435,11 @@ def test_pipeline(spark):
     import corpus_pipeline
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
+    docs_now = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, columns = docs_now.count(), list(docs_now.columns)
+        docs_now = settle(stage(spark, docs_now, SF))
+        assert docs_now.columns == columns == ["doc_id", "text", "lang", "source", "n_chars"] and 0 < docs_now.count() <= before
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "text", "lang", "source", "n_chars", "copy"} <= set(out.columns) and out.count() > 0
     docs_in = spark.read.parquet(f"{SF}/documents.parquet")

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradebook.llm.common import fold, query, table, unit
 
@@ -196,11 +197,9 @@ def identify(documents: DataFrame, model: Model, prefix: str = "") -> DataFrame:
                 [*[batch.column(k) for k in keep], *[pa.array(c, f.type) for c, f in zip(columns, added, strict=True)]],
                 [*[batch.schema.names[k] for k in keep], *[f.name for f in added]])
 
-    kinds = {"string": "string", "double": "double", "bool": "boolean"}
-    schema = documents.schema
-    for f in added:
-        schema = schema.add(f.name, kinds[str(f.type)])
-    return bare.mapInArrow(run, schema)
+    kinds = {"string": T.StringType(), "double": T.DoubleType(), "bool": T.BooleanType()}
+    fields = [T.StructField(f.name, kinds[str(f.type)]) for f in added]
+    return bare.mapInArrow(run, T.StructType([*documents.schema.fields, *fields]))
 
 
 @query("op10_language_id")

@@ -184,14 +184,19 @@ def _widened(rules: list[Rule], rejected: DataFrame) -> list[Rule]:
 
 
 def judge(documents: DataFrame, rules: list[Rule], prefix: str = "_q_") -> DataFrame:
-    """``documents`` with counts, ``base_failed``, ``rule`` and ``kept``, all named with ``prefix``."""
+    """``documents`` with counts, ``base_failed``, ``rule`` and ``kept``, all named with ``prefix``.
+
+    The always-true row number in ``kept`` keeps the optimizer from moving a filter on it below the steps that
+    count: copied into one condition, those would be evaluated once for each element of their arrays.
+    """
     counted = with_counts(documents, "text", prefix)
     # the fixed rules: too few words, or more than half of the words in repeated windows
     bad = (F.col(prefix + "n_words") < 50) | (
         F.lit(100) * F.col(prefix + "n_repeat_words") > F.lit(50) * F.col(prefix + "n_words"))
     return counted.withColumn(prefix + "rule", rule_number(rules, features(prefix))) \
         .withColumn(prefix + "base_failed", bad) \
-        .withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & F.col(prefix + "rule").isNull())
+        .withColumn(prefix + "kept", ~F.col(prefix + "base_failed") & F.col(prefix + "rule").isNull()
+                    & (F.monotonically_increasing_id() >= 0))
 
 
 def learned_rules(documents: DataFrame, labels: DataFrame, label: str = "quality",
