@@ -420,6 +420,20 @@ def test_host_boilerplate(spark, block_words):
     assert got[20] == f"{top}\n{end}" and got[30] == got[31] == story[0]
 
 
+@pytest.mark.parametrize("block_words", [10 ** 6, 60])
+def test_host_runs_decide_over_articles(spark, block_words):
+    rng = random.Random(14)
+    ask, quote = sentence(rng, 12, 10 ** 6), sentence(rng, 12, 10 ** 6)
+    story = {k: sentence(rng, 30, 10 ** 6) for k in range(9)}
+    rows = [(k, "http://h.example/%d" % k, f"<article><p>{story[k]}</p><p>{ask}</p>{f'<p>{quote}</p>' if k < 3 else ''}</article>")
+            for k in range(9)]
+    rows += [(20 + k, "http://two.example/", f"<p>{story[0]}</p><p>{story[k]}</p>") for k in (1, 2)]
+    out = html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"), block_words)
+    got = {r.page_id: r.text for r in out.collect()}
+    assert all(got[k] == (f"{story[k]}\n{quote}" if k < 3 else story[k]) for k in range(9))
+    assert all(got[20 + k] == f"{story[0]}\n{story[k]}" for k in (1, 2))
+
+
 def test_suffix_ranks():
     import numpy as np
     words = np.array([3, 1, 2, 3, 1, 2, 9, 3, 1])

@@ -1,19 +1,20 @@
-"""Main text of web pages: page structure first, a host's suffix array for what structure leaves open.
+"""Main text of web pages: a host's suffix array over all blocks, page structure as the check that follows.
 
-1. Each page is read once, tag by tag, into blocks of text. A block lies in an article (``article``,
+1. Each page is read, tag by tag, into blocks of text. A block lies in an article (``article``,
    ``main``, ``role=main`` or a container named like one), in chrome (menus, headers, footers, sidebars,
-   notices, adverts, forms, comments, hidden parts) or in neither. Where a page has an article, the
-   article's blocks are its text, and are final.
-2. Pages without one keep the blocks that are open. Their boilerplate is found by the host: the words of
-   all pages of a host outside articles, chrome included, with marks between blocks, are concatenated
-   and sorted as suffixes. Runs of ``MIN_RUN`` words or more that occur on two or more different
-   pages are boilerplate; what of an open block they do not cover stays.
-
-A hot host is dealt into bounded blocks of pages, each with a suffix array of its own, sorted by prefix
-doubling until prefixes are ``MIN_RUN`` long. A block hands on each distinct prefix once, with the first
-and last page (by a hash of what the page says, so that exact copies are one page); prefixes are
-merged over the blocks by a grouping and come back to the blocks that hold them. So repeats between
-blocks are found as well as those inside, no group is unbounded, and articles are never shuffled.
+   notices, adverts, forms, comments, hidden parts) or in neither.
+2. The words of all blocks of all pages of a host, articles included, with marks between blocks, are
+   concatenated and sorted as suffixes. Runs of ``MIN_RUN`` words that occur on more than ``SHARE`` of the
+   host's different pages, and on ``MIN_PAGES`` at least, are boilerplate.
+3. The structure's check follows: chrome goes, and open blocks where the page has an article. Of other
+   open blocks the words that no run covers stay; an article's block goes if runs cover it whole and
+   the host has ``ARTICLE_PAGES`` different pages.
+
+A hot host is dealt into bounded blocks of pages, by a hash of what the page says (exact copies are one
+page and meet in one block), each with a suffix array of its own, sorted by prefix doubling until prefixes
+are ``MIN_RUN`` long. A run on more than a share of all pages is on more than that share in one block at
+least, so each block hands on only its own common runs; those of hosts with several blocks are then
+counted over all pages of the host. No group is unbounded, and texts are shuffled once.
 
 Null or empty html: empty text. Null urls share one host. Repeated rows are pages of their own with
 the same text. Empty tables give empty results; other columns are left aside.
@@ -37,6 +38,13 @@ from tradebook.session import settle
 MIN_RUN = 8
 #: Words of one suffix array, about.
 BLOCK_WORDS = 1_000_000
+#: Characters of html for each word, about: hosts are dealt into blocks before their pages are read.
+WORD_CHARS = 6
+#: Boilerplate is on more than this share of a host's different pages, and on so many at least.
+SHARE = 0.5
+MIN_PAGES = 3
+#: Hosts with fewer different pages say nothing against the blocks of an article.
+ARTICLE_PAGES = 8
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|title)\b"
@@ -151,34 +159,38 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
     return out
 
 
-PARSED = "page_id bigint, url string, host string, text string, open array<string>, outer string"
+STREAMS = "host string, says bigint, stream string"
 
 
-def _parse(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    for batch in batches:
-        texts, opened, outer = [], [], []
-        for page in batch.column("html"):
-            blocks = blocks_of(page.as_py() or "")
-            main = [t for z, t in blocks if z == "main"]
-            left = [t for z, t in blocks if z == "open"]
-            texts.append("\n".join(main))
-            opened.append(None if main or not left else left)
-            outer.append("\n".join(t for z, t in blocks if z != "main" and (main or z == "chrome")))
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in ("page_id", "url", "host")], pa.array(texts, pa.string()),
-             pa.array(opened, pa.list_(pa.string())), pa.array(outer, pa.string())],
-            ["page_id", "url", "host", "text", "open", "outer"])
+def judged(page: str) -> list[tuple[str, str]]:
+    """(zone, text) of each block after the structure's check: open blocks are chrome where there is an article."""
+    blocks = blocks_of(page)
+    if any(z == "main" for z, _ in blocks):
+        return [("chrome" if z == "open" else z, t) for z, t in blocks]
+    return blocks
 
 
-def _stream(opened: list[str] | None, outer: str) -> list[str]:
-    """The words of a page outside articles, open blocks first, a line feed before and after each block."""
+def _stream(blocks: list[tuple[str, str]]) -> list[str]:
+    """The words of all blocks of a page, a line feed before and after each block."""
     out = []
-    for block in [*(opened or []), *(outer.split("\n") if outer else [])]:
+    for _, block in blocks:
         out.append("\n")
         out += block.split(" ")
     return [*out, "\n"] if out else out
 
 
+def _says(stream: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(stream).encode()) >> 1
+
+
+def _streams(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    for batch in batches:
+        streams = [_stream(judged(page.as_py())) for page in batch.column("html")]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("host"), pa.array([_says(s) for s in streams], pa.int64()),
+             pa.array([" ".join(s) for s in streams], pa.string())], ["host", "says", "stream"])
+
+
 def suffix_ranks(words: np.ndarray, run: int = MIN_RUN) -> np.ndarray:
     """Rank of each suffix among all, by its first ``run`` words, by prefix doubling.
 
@@ -209,31 +221,35 @@ def _array_of(streams: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     return suffix_ranks(words), np.array(page)
 
 
-def _keys(streams: list[list[str]], ranks: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first position of each distinct run, its 64-bit key); runs that reach over a page's end are left out."""
-    flat = [w for s in streams for w in (*s, None)]
-    first = np.unique(ranks, return_index=True)[1]
-    first = first[first + MIN_RUN <= len(flat)]
-    first = first[page[first] == page[first + MIN_RUN - 1]]
-    first = np.array([p for p in first.tolist() if None not in flat[p:p + MIN_RUN]], np.int64)
-    keys = np.array([xxhash.xxh3_64_intdigest(" ".join(flat[p:p + MIN_RUN]).encode()) for p in first.tolist()], np.uint64)
-    return first, keys.view(np.int64) if len(keys) else np.zeros(0, np.int64)
+def _key(words: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(words).encode()) - (1 << 63)
 
 
-def _distinct_runs(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Rows sorted by (host, part): for each part its distinct runs with the first and last page."""
+def _common_runs(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Rows sorted by (host, part): the runs on more than ``SHARE`` of a part's pages; a null run has the number of pages."""
     for (host, part), rows in _parts(batches, ("host", "part")):
-        streams = [_stream(r["open"], r["outer"]) for r in rows]
-        says = np.array([xxhash.xxh3_64_intdigest(" ".join(s).encode()) >> 1 for s in streams], np.int64)
-        ranks, page = _array_of(streams)
-        first, keys = _keys(streams, ranks, page)
-        order = np.argsort(ranks, kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], np.diff(ranks[order]) > 0)))
-        lo, hi = (f.reduceat(says[page[order]], starts) for f in (np.minimum, np.maximum))
-        at = ranks[first]
+        pages = {r["says"]: r["stream"].split(" ") for r in rows if r["stream"]}       # exact copies are one page
+        lone = rows[0]["parts"] == 1
+        need = max(int(SHARE * len(pages)) + 1, MIN_PAGES if lone else 1)
+        runs: list[int | None] = [None]
+        counts = [len(pages)]
+        if len(pages) >= need:
+            streams = list(pages.values())
+            ranks, page = _array_of(streams)
+            often = np.flatnonzero(np.bincount(ranks)[ranks] >= need)
+            pairs = np.unique(ranks[often] * len(streams) + page[often]) // len(streams)
+            common, n = np.unique(pairs, return_counts=True)
+            first = np.full(int(ranks.max()) + 1, -1, np.int64)
+            first[ranks[often]] = often
+            flat = [w for s in streams for w in (*s, None)]
+            for p, c in zip(first[common[n >= need]].tolist(), n[n >= need].tolist(), strict=True):
+                run = flat[p:p + MIN_RUN]
+                if len(run) == MIN_RUN and None not in run:
+                    runs.append(_key(run))
+                    counts.append(c)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([host] * len(first), pa.string()), pa.array(np.full(len(first), part, np.int32)), pa.array(keys),
-             pa.array(lo[at]), pa.array(hi[at])], ["host", "part", "run", "lo", "hi"])
+            [pa.array([host] * len(runs), pa.string()), pa.array([lone] * len(runs), pa.bool_()),
+             pa.array(runs, pa.int64()), pa.array(counts, pa.int64())], ["host", "lone", "run", "pages"])
 
 
 def _parts(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]):
@@ -251,34 +267,86 @@ def _parts(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]):
         yield current, held
 
 
-def _unique_runs(key: tuple, pages: pa.Table, repeated: pa.Table) -> pa.Table:
-    """The text of open pages of one part: their blocks without the words that repeated runs cover."""
-    rows = pages.to_pylist()
-    streams = [_stream(r["open"], r["outer"]) for r in rows]
-    ranks, page = _array_of(streams)
-    first, keys = _keys(streams, ranks, page)
-    again = np.zeros(int(ranks.max()) + 2 if len(ranks) else 1, bool)
-    again[ranks[first[np.isin(keys, repeated.column("run").to_numpy())]]] = True
-    hit = again[ranks]
-    covered = np.zeros(len(ranks) + MIN_RUN, np.int64)
-    at = np.flatnonzero(hit)
-    np.add.at(covered, at, 1)
-    np.add.at(covered, at + MIN_RUN, -1)
-    covered = np.cumsum(covered)[:len(ranks)] > 0
-    ids, urls, texts, begin = [], [], [], 0
-    for r, s in zip(rows, streams, strict=True):
-        if r["open"]:
-            p, kept = begin, []
-            for block in r["open"]:
-                words = block.split(" ")
-                p += 1
-                kept.append(" ".join(w for k, w in enumerate(words) if not covered[p + k]))
-                p += len(words)
-            ids.append(r["page_id"])
-            urls.append(r["url"])
-            texts.append("\n".join(k for k in kept if k))
-        begin += len(s) + 1
-    return pa.table({"page_id": pa.array(ids, pa.int64()), "url": pa.array(urls, pa.string()), "text": pa.array(texts, pa.string())})
+def _hits(stream: list[str], runs: set[int]) -> list[int]:
+    """Positions at which one of the runs begins."""
+    return [p for p in range(len(stream) - MIN_RUN + 1) if _key(stream[p:p + MIN_RUN]) in runs] if runs else []
+
+
+def _runs_of_rows(batch: pa.RecordBatch) -> Iterable[set[int]]:
+    """The runs of each row's host, one set for neighbours of the same host."""
+    host, runs = None, set()
+    hosts = batch.column("host").to_pylist()
+    for k, h in enumerate(hosts):
+        if k == 0 or h != host:
+            host, runs = h, set(batch.column("runs")[k].as_py() or ())
+        yield runs
+
+
+def _recount(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """(host, run, says) of each run of the host's list that a page holds."""
+    for batch in batches:
+        hosts, found, says = [], [], []
+        for host, page, runs in zip(batch.column("host").to_pylist(), batch.column("html"), _runs_of_rows(batch), strict=True):
+            stream = _stream(judged(page.as_py()))
+            held = {_key(stream[p:p + MIN_RUN]) for p in _hits(stream, runs)}
+            hosts += [host] * len(held)
+            found += held
+            says += [_says(stream)] * len(held)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(says, pa.int64())],
+                                         ["host", "run", "says"])
+
+
+def text_of(page: str, runs: set[int], host_pages: int) -> str:
+    """What the host's boilerplate runs leave of a page, checked by its structure.
+
+    Chrome goes. An open block loses the words that runs cover. An article's block goes if runs cover it
+    whole and the host has ``ARTICLE_PAGES`` different pages; an article that would lose every block stays.
+    """
+    blocks = judged(page)
+    stream = _stream(blocks)
+    covered = bytearray(len(stream))
+    for p in _hits(stream, runs):
+        covered[p:p + MIN_RUN] = b"\1" * MIN_RUN
+    kept, article, at = [], [], 0
+    for zone, block in blocks:
+        words = block.split(" ")
+        left = [w for w, c in zip(words, covered[at + 1:at + 1 + len(words)], strict=True) if not c]
+        at += 1 + len(words)
+        if zone == "open":
+            kept.append(" ".join(left))
+        elif zone == "main":
+            article.append(block)
+            kept.append(block if left or host_pages < ARTICLE_PAGES else "")
+    kept = [k for k in kept if k]
+    return "\n".join(kept or article)
+
+
+def _cut(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    for batch in batches:
+        texts = [text_of(page.as_py(), runs, n or 0) for page, runs, n in zip(
+            batch.column("html"), _runs_of_rows(batch), batch.column("pages").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())],
+                                         ["page_id", "url", "text"])
+
+
+def boilerplate(bare: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(host, runs, pages): the keys of each host's boilerplate runs and its different pages, as a written table."""
+    size = F.ceil(F.sum(F.length("html")) / F.lit(block_words * WORD_CHARS)).cast("int")
+    # a row for each hot host only: no more than there are blocks
+    hot = F.broadcast(settle(bare.groupBy("host").agg(size.alias("parts")).filter("parts > 1")))
+    dealt = bare.select("host", "html").mapInArrow(_streams, STREAMS).join(hot, "host", "left") \
+        .withColumn("parts", F.coalesce("parts", F.lit(1))) \
+        .withColumn("part", F.pmod(F.xxhash64("says"), F.col("parts")).cast("int"))
+    found = settle(dealt.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(
+        _common_runs, "host string, lone boolean, run bigint, pages bigint"))
+    sure = found.filter("lone and run is not null").select("host", "run")
+    asked = found.filter("not lone and run is not null").groupBy("host").agg(F.collect_set("run").alias("runs"))
+    total = found.filter("run is null").groupBy("host").agg(F.sum("pages").alias("pages"))
+    counted = bare.select("host", "html").join(settle(asked), "host").mapInArrow(_recount, "host string, run bigint, says bigint") \
+        .distinct().groupBy("host", "run").agg(F.count("*").alias("n"))
+    merged = counted.join(total, "host").filter((F.col("n") > F.col("pages") * SHARE) & (F.col("n") >= MIN_PAGES))
+    runs = sure.unionByName(merged.select("host", "run")).groupBy("host").agg(F.collect_list("run").alias("runs"))
+    return settle(runs.join(total, "host"))
 
 
 def extract_text(pages: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -286,22 +354,8 @@ def extract_text(pages: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     bare = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
                         host.alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    parsed = settle(bare.mapInArrow(_parse, PARSED))
-    streams = parsed.filter("open is not null or outer <> ''").select("page_id", "url", "host", "open", "outer")
-    size = F.size(F.split("outer", " ")) + F.aggregate(F.coalesce("open", F.array().cast("array<string>")), F.lit(0),
-                                                       lambda n, b: n + F.size(F.split(b, " ")))
-    parts = streams.groupBy("host").agg(F.ceil(F.sum(size) / F.lit(block_words)).cast("int").alias("parts"))
-    dealt = streams.join(parts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int")) \
-        .drop("parts")
-    runs = dealt.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(
-        _distinct_runs, "host string, part int, run bigint, lo bigint, hi bigint")
-    runs = settle(runs)
-    twice = runs.groupBy("host", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi") \
-        .select("host", "run")
-    back = runs.join(twice, ["host", "run"]).select("host", "part", "run")
-    opened = dealt.groupBy("host", "part").cogroup(back.groupBy("host", "part")).applyInArrow(
-        _unique_runs, "page_id bigint, url string, text string")
-    return parsed.filter("open is null").select("page_id", "url", "text").unionByName(opened)
+    return bare.join(boilerplate(bare, block_words), "host", "left").mapInArrow(
+        _cut, "page_id bigint, url string, text string")
 
 
 @query("op2_html_text")
