@@ -195,6 +195,35 @@ def test_decontaminate_cuts_spans_and_drops_covered_documents(spark):
     assert decontamination.decontaminate(docs(spark, texts), bench.limit(0)).count() == len(texts)
 
 
+@pytest.mark.parametrize("shard_bytes", [10 ** 6, 150])
+def test_decontaminate_with_shards(spark, shard_bytes):
+    rng = random.Random(15)
+    items = [sentence(rng, 12, 10 ** 6) for _ in range(6)]
+    split = items[0].split()
+    texts = [" ".join([sentence(rng, 16, 10 ** 6), *items[:4]]),                       # covered by several items together
+             " ".join([sentence(rng, 30, 10 ** 6), *items[1:3]])]
+    # each item's words come together when another one is cut
+    texts += [" ".join([sentence(rng, 60, 10 ** 6), *split[:6], item, *split[6:]]) for item in items[1:]]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert decontamination.dealt_items(bench, shard_bytes)[1] == (1 if shard_bytes == 10 ** 6 else 4)
+    frame = docs(spark, [*texts, None, "", texts[1]])
+    out = {r.doc_id: r for r in decontamination.decontaminate(frame, bench, shard_bytes=shard_bytes).collect()}
+    assert set(out) == set(range(1, 10))
+    assert out[1].text == " ".join(texts[1].split()[:30]) == out[9].text and out[7].text is None and out[8].text == ""
+    assert all(out[k].text == " ".join(texts[k].split()[:60]) and out[k].n_chars == len(out[k].text) for k in range(2, 7))
+
+
+@pytest.mark.parametrize("shard_bytes", [10 ** 6, 150])
+def test_matches_of_rows_with_the_same_id(spark, shard_bytes):
+    rng = random.Random(16)
+    items = [sentence(rng, 12, 10 ** 6) for _ in range(6)]
+    rows = [(None, items[0]), (None, f"a b {items[1]}"), (5, items[2]), (5, items[2])]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    found = decontamination.find_matches(spark.createDataFrame(rows, "doc_id bigint, text string"), bench, shard_bytes=shard_bytes)
+    assert sorted((str(r.doc_id), r.n_words, r["spans"], r["items"]) for r in found.collect()) == [
+        ("5", 12, [[0, 12]], ["2"]), ("5", 12, [[0, 12]], ["2"]), ("None", 12, [[0, 12]], ["0"]), ("None", 14, [[2, 14]], ["1"])]
+
+
 # --- near duplicates
 
 def brute_components(texts):

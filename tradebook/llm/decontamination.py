@@ -6,7 +6,8 @@ an item. Where that run reaches the window length, its last words are a window o
 
 The automaton is broadcast. Items are dealt into shards of at most ``SHARD_BYTES`` of text, one
 automaton and one scan of the documents each, so that what is broadcast stays bounded when the
-benchmark grows. Texts are read whole; nothing of a document is shuffled with one shard.
+benchmark grows. Texts are read whole; nothing of a document is shuffled with one shard. With several, each
+row gets a number of its own, and what is found, kept and cut is the same as with one.
 
 Null texts have no words; items without an id or without words match nothing; repeated items count
 once. Documents without words are never contaminated. Empty tables give empty results.
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradebook.llm.common import query, table
+from tradebook.session import settle
 
 #: Text of the items that one automaton holds, at most (one longer item is a shard of its own).
 SHARD_BYTES = 8_000_000
@@ -165,26 +167,39 @@ class Automaton:
         return longest
 
 
-def automata(benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> Iterable[Automaton]:
-    """One automaton for each shard of the items, in turn; only one shard's items are on the driver at a time."""
+def dealt_items(benchmark: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
+    """The distinct items (i, t) and the number of shards they are dealt into."""
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")) \
         .filter("i is not null and t is not null").distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    return items, max(1, -(-total // shard_bytes))
+
+
+def automata(items: DataFrame, shards: int, window: int = WINDOW) -> Iterable[Automaton]:
+    """One automaton for each shard of the items, in turn; only one shard's items are on the driver at a time."""
     for k in range(shards):
         part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == k)
         rows = [(r["i"], words_of(bytes(r["t"]))) for r in part.orderBy("i", "t").collect()]
         yield Automaton([r for r in rows if r[1]], window)
 
 
+def _numbered(documents: DataFrame) -> DataFrame:
+    """``documents`` as a written table with a row number of its own for each row, ``_dc_row``."""
+    return settle(documents.withColumn("_dc_row", F.monotonically_increasing_id()))
+
+
 MATCHES = "n_words bigint, spans array<array<int>>, items array<string>"
 
 
 def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                  shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_words, spans, items) of every document; spans are [start, end) in words."""
+    items, shards = dealt_items(benchmark, shard_bytes)
+    if shards > 1:
+        documents = _numbered(documents.select("doc_id", "text"))
+    key = "doc_id" if shards == 1 else "_dc_row"
     found = []
-    for automaton in automata(benchmark, window, shard_bytes):
+    for automaton in automata(items, shards, window):
         shared = documents.sparkSession.sparkContext.broadcast(automaton)
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterable[pa.RecordBatch]:
@@ -198,20 +213,21 @@ def find_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
                     spans.append(at)
                     items.append(sorted({a.names[k] for k in which}))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-                     pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+                    [batch.column(key), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))),
+                     pa.array(items, pa.list_(pa.string()))], [key, "n_words", "spans", "items"])
 
-        bare = documents.select("doc_id", F.col("text").cast("binary").alias("t"))
-        kind = bare.schema["doc_id"].dataType.simpleString()
-        found.append(bare.mapInArrow(run, f"doc_id {kind}, {MATCHES}"))
-    if len(found) == 1:
+        bare = documents.select(key, F.col("text").cast("binary").alias("t"))
+        kind = bare.schema[key].dataType.simpleString()
+        found.append(bare.mapInArrow(run, f"{key} {kind}, {MATCHES}"))
+    if shards == 1:
         return found[0]
     every = found[0]
     for part in found[1:]:
         every = every.unionAll(part)
-    return every.groupBy("doc_id").agg(
+    merged = every.groupBy(key).agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return documents.select(key, "doc_id").join(merged, key).drop(key)
 
 
 def hit_words() -> Column:
@@ -241,10 +257,83 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     match; documents of which they cover more than ``max_coverage`` go. ``n_chars`` follows the text
     where there is such a column. Texts without matches stay byte for byte.
     """
-    for automaton in automata(benchmark, window, shard_bytes):
-        shared = documents.sparkSession.sparkContext.broadcast(automaton)
-        documents = documents.mapInArrow(_cutter(shared, max_coverage), documents.schema)
-    return documents
+    items, shards = dealt_items(benchmark, shard_bytes)
+    if shards > 1:
+        return _in_rounds(documents, items, shards, window, max_coverage)
+    shared = documents.sparkSession.sparkContext.broadcast(next(iter(automata(items, shards, window))))
+    return documents.mapInArrow(_cutter(shared, max_coverage), documents.schema)
+
+
+def _in_rounds(documents: DataFrame, items: DataFrame, shards: int, window: int, max_coverage: float) -> DataFrame:
+    """The same with several shards: the spans of all shards are found on the same text, and then cut at once.
+
+    Coverage is decided in the first round; texts that a round changed go into the next, until no shard matches.
+    """
+    columns = documents.columns
+    whole = _numbered(documents)
+    left, changed = whole.select("_dc_row", "text"), []
+    while True:
+        hits = None
+        for automaton in automata(items, shards, window):
+            shared = documents.sparkSession.sparkContext.broadcast(automaton)
+            part = settle(left.mapInArrow(_spans_of(shared), "_dc_row bigint, spans array<array<int>>"))
+            hits = part if hits is None else hits.unionAll(part)
+        spans = hits.groupBy("_dc_row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        share = max_coverage if not changed else float("inf")
+        cut = settle(left.join(spans, "_dc_row").mapInArrow(_cut_all(share), "_dc_row bigint, _dc_kept boolean, _dc_text string"))
+        if cut.isEmpty():
+            break
+        changed.append(cut.withColumn("_dc_round", F.lit(len(changed))))
+        left = cut.filter("_dc_kept").select("_dc_row", F.col("_dc_text").alias("text"))
+    if not changed:
+        return whole.select(columns)
+    every = changed[0]
+    for part in changed[1:]:
+        every = every.unionAll(part)
+    last = every.groupBy("_dc_row").agg(F.max_by(F.struct("_dc_kept", "_dc_text"), "_dc_round").alias("_dc_now"))
+    out = whole.join(last, "_dc_row", "left").filter("_dc_now is null or _dc_now._dc_kept") \
+        .withColumn("text", F.coalesce("_dc_now._dc_text", "text"))
+    if "n_chars" in columns:
+        kind = documents.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("_dc_now").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return out.select(columns)
+
+
+def _spans_of(shared) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        automaton = shared.value
+        for batch in batches:
+            found = [automaton.match(words_of((t.as_py() or "").encode()))[0] for t in batch.column("text")]
+            out = pa.RecordBatch.from_arrays([batch.column("_dc_row"), pa.array(found, pa.list_(pa.list_(pa.int32())))],
+                                             ["_dc_row", "spans"])
+            yield out.filter(pa.array([bool(s) for s in found], pa.bool_()))
+
+    return run
+
+
+def merged_spans(spans: list[list[int]]) -> list[list[int]]:
+    """Sorted spans, with those that overlap or touch made one."""
+    out: list[list[int]] = []
+    for start, end in spans:
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end])
+    return out
+
+
+def _cut_all(max_coverage: float) -> Callable:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            kept, texts = [], []
+            for t, s in zip(batch.column("text"), batch.column("spans"), strict=True):
+                data, spans = t.as_py().encode(), merged_spans(s.as_py())
+                kept.append(sum(e - b for b, e in spans) <= max_coverage * len(words_of(data)))
+                texts.append(cut_spans(data, spans).decode() if kept[-1] else None)
+            yield pa.RecordBatch.from_arrays([batch.column("_dc_row"), pa.array(kept, pa.bool_()), pa.array(texts, pa.string())],
+                                             ["_dc_row", "_dc_kept", "_dc_text"])
+
+    return run
 
 
 def _cutter(shared, max_coverage: float) -> Callable:
