@@ -305,6 +305,18 @@ def test_poisson_mixing(spark):
     assert {r.source for r in flat} == {"big", "small", None} and all(abs(r["count"] - 2000) < 250 for r in flat)
 
 
+@needs_data
+def test_mixing_query_replicates_whole_documents(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(mixing, "settle", lambda df: written.append(settle(df)) or written[-1], raising=False)
+    out = mixing.op9(spark, SF)
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    assert written and written[0].columns == [*documents.columns, "copies", "copy"]
+    whole = written[0].select("doc_id", "text", "lang", "source", "n_chars")
+    assert whole.join(documents, documents.columns, "left_anti").filter("lang is not null and source is not null").isEmpty()
+    assert out.exceptAll(written[0].select(out.columns)).isEmpty() and out.count() == written[0].count()
+
+
 def test_poisson_inverse(spark):
     import math
     rates = [0.0, 0.01, 0.7, 3.0, 40.0, 1500.0]

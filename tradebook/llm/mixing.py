@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradebook.llm.common import query, table, unit
+from tradebook.session import settle
 
 #: Production parameters of the query and the stage.
 TEMPERATURE, SEED = 0.5, "mix-1"
@@ -99,7 +100,8 @@ SELECT doc_id, source, copies, unnest(range(0, copies))::INTEGER AS copy FROM k
 
 @query("op9_mix_sources", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "copies", "copy")
+    # whole documents are replicated, shuffled and written; the check compares which copies there are
+    return settle(mix(table(spark, sf_dir, "documents"))).select("doc_id", "source", "copies", "copy")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
