@@ -475,6 +475,19 @@ def test_host_runs_decide_over_articles(spark, block_words):
     assert all(got[20 + k] == f"{story[0]}\n{story[k]}" for k in (1, 2))
 
 
+def test_articles_in_wrappers():
+    def text(page):
+        return html_text.text_of(page, set(), 0)
+    nav, story = "<nav>Menu</nav>", "<article><p>Story told</p><div class='share'>Share</div></article>"
+    assert text(f"{nav}<div class='layout has-sidebar'>{story}</div>") == "Story told"
+    assert text(f"<div class='page no-sidebar'>{nav}<p>Plain</p></div>") == "Plain"
+    assert text(f"<form>{nav}{story}<footer>End</footer></form>") == text(f"<div class='sidebar'>{story}</div>") == "Story told"
+    assert text(f"<form>{nav}<div>Told without article</div><div hidden>No</div></form>") == "Told without article"
+    assert text(f"<p>The page itself, long</p><div class='related'><article>Card</article></div>") == "The page itself, long"
+    assert text(f"{story}<form><article>Other</article></form>") == "Story told"
+    assert text(f"<div hidden>{story}</div><aside>{story}</aside>") == ""
+
+
 def test_suffix_ranks():
     import numpy as np
     words = np.array([3, 1, 2, 3, 1, 2, 9, 3, 1])

@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +69,7 @@ _CHROME_NAMES = re.compile(
     r"footer|masthead|toolbar|widgets?|skip|copyright|disclaimer|hidden|sr")
 _HEAD_NAMES = frozenset("header topbar".split())
 _MAIN_NAMES = re.compile(r"(?:main|article|post|entry|story|page)[-_]?(?:content|body|text)|articlebody|main|article|content|post|entry|story")
+_NAME_MODIFIERS = frozenset("has with without no".split())
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -75,16 +78,18 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _kind(tag: str, attrs: dict[str, str], inside_main: bool) -> str | None:
-    """"chrome", "main" or None for an element that changes nothing."""
+    """"chrome", "wrap" (chrome that may stand around a whole page), "main" or None for an element that changes nothing."""
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
-    parts = [p for n in names for p in _NAME_PARTS.split(n) if p]
-    if tag in _CHROME_TAGS or attrs.get("role", "").lower() in _CHROME_ROLES or "hidden" in attrs \
+    parts = [p for n in names for before, p in pairwise(["", *filter(None, _NAME_PARTS.split(n))]) if before not in _NAME_MODIFIERS]
+    if tag in _CHROME_TAGS - {"form"} or attrs.get("role", "").lower() in _CHROME_ROLES or "hidden" in attrs \
             or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
         return "chrome"
+    if tag == "form":
+        return "wrap"
     if tag in ("body", "html", "article", "main") and not any(p.startswith("comment") for p in parts):
         return "main" if tag in ("article", "main") else None
     if any(_CHROME_NAMES.fullmatch(p) for p in parts):
-        return "chrome"
+        return "wrap"
     if not inside_main and (tag == "header" or any(p in _HEAD_NAMES for p in parts)):
         return "chrome"
     if attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "") == "articleBody" \
@@ -94,14 +99,24 @@ def _kind(tag: str, attrs: dict[str, str], inside_main: bool) -> str | None:
 
 
 def blocks_of(page: str) -> list[tuple[str, str]]:
-    """(zone, text) of each block in page order; zones are main, chrome and open."""
+    """(zone, text) of each block in page order; zones are main, chrome, open, wrapped (in forms and what is named like
+    chrome) and inner (an article or main element in such a wrapper)."""
     out: list[tuple[str, str]] = []
     frames: list[list] = []            # elements that change the zone: [tag, kind, open elements of the same tag inside]
     held: list[str] = []
 
     def zone() -> str:
         kinds = [f[1] for f in frames]
-        return "chrome" if "chrome" in kinds else "main" if "main" in kinds else "open"
+        if "chrome" in kinds:
+            return "chrome"
+        if "wrap" not in kinds:
+            return "main" if "main" in kinds else "open"
+        if "main" in kinds[:kinds.index("wrap")]:
+            return "chrome"
+        last = len(kinds) - kinds[::-1].index("wrap")
+        if any(f[0] in ("article", "main") and f[1] == "main" for f in frames[last:]):
+            return "inner"
+        return "wrapped" if "main" not in kinds[:last] else "chrome"
 
     now = "open"
 
@@ -143,7 +158,7 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
                     break
             now = zone()
         elif tag not in _VOID:
-            kind = _kind(tag, _attributes(m["attrs"]), now == "main")
+            kind = _kind(tag, _attributes(m["attrs"]), now in ("main", "inner"))
             if kind:
                 flush()
                 frames.append([tag, kind, 0])
@@ -163,11 +178,18 @@ STREAMS = "host string, says bigint, stream string"
 
 
 def judged(page: str) -> list[tuple[str, str]]:
-    """(zone, text) of each block after the structure's check: open blocks are chrome where there is an article."""
+    """(zone, text) of each block after the structure's check: main, open or chrome.
+
+    Open blocks are chrome where there is an article. Without one, an article in a wrapper is the page's if
+    it holds more than the open blocks; where all blocks are in wrappers, those are open.
+    """
     blocks = blocks_of(page)
-    if any(z == "main" for z, _ in blocks):
-        return [("chrome" if z == "open" else z, t) for z, t in blocks]
-    return blocks
+    size = Counter()
+    for z, t in blocks:
+        size[z] += len(t)
+    taken = {"main": "main"} if size["main"] else {"inner": "main"} if size["inner"] > size["open"] \
+        else {"open": "open"} if size["open"] else {"wrapped": "open"}
+    return [(taken.get(z, "chrome"), t) for z, t in blocks]
 
 
 def _stream(blocks: list[tuple[str, str]]) -> list[str]:
