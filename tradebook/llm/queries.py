@@ -6,6 +6,7 @@ from tradebook.llm import (  # noqa: F401
     html_text,
     jaccard_join,
     language_id,
+    license_templates,
     mixing,
     quality_classifier,
     quality_rules,
