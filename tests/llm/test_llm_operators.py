@@ -51,7 +51,7 @@ def sentence(rng, n, vocabulary=400):
 def test_query_matches_sql(spark, name):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     cur = con.execute(CHECKS[name])

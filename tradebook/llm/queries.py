@@ -3,6 +3,7 @@
 from tradebook.llm import (  # noqa: F401
     chat,
     decontamination,
+    hard_negatives,
     html_text,
     jaccard_join,
     language_id,
@@ -10,6 +11,7 @@ from tradebook.llm import (  # noqa: F401
     mixing,
     quality_classifier,
     quality_rules,
+    sharded_lloyd,
     token_counts,
     toxicity,
 )
