@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+#: Paths written by settle inside open scratch_tables blocks, the innermost last.
+_SETTLED: list[list[str]] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -60,5 +66,34 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, "settled")
+    if _SETTLED:
+        _SETTLED[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove the tables that settle writes inside the block when it ends.
+
+    Yields a function that marks the table settled last to stay (it then belongs to the block around, if
+    any). What a block returns may read kept tables only.
+    """
+    mine: list[str] = []
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(mine[-1])
+        return df
+
+    _SETTLED.append(mine)
+    try:
+        yield keep
+    finally:
+        _SETTLED.pop()
+        if _SETTLED:
+            _SETTLED[-1].extend(kept)
+        for path in mine:
+            if path not in kept:
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
