@@ -12,11 +12,6 @@ from tradebook.plans.inputs import TABLES
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-# One query per family; tools/check.py runs all of them.
-SAMPLE = ["count_by_state", "validate_business", "top_results", "extract_cascade", "limit_rate", "alerts_with_dedup",
-          "match_pattern", "consecutive_errors", "cache_lookup", "evict_lfu", "name_mentions", "stream_lockouts", "combine_chunks_by_name", "check_source_files",
-          "check_csv_schema", "log_files", "catalog_profile", "stream_metrics", "stream_expire_ttl", "stream_expire_alerts",
-          "blocked_domains", "addresses_for_names", "enhance_queries", "score_results", "cap_tiers", "from_contact_pages"]
 
 
 def test_every_query_is_well_named():
@@ -26,7 +21,7 @@ def test_every_query_is_well_named():
 
 
 @needs_data
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(catalog.CHECKS))
 def test_query_matches_check(spark, name):
     import duckdb
     con = duckdb.connect()

@@ -1,22 +1,44 @@
 """Streams over several micro-batches give the batch result."""
 
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tradebook.operators import keyed, limits
+from tradebook.plans.scale import spaced
 from tradebook.streaming import flows, stateful
 
 BASE = 1704067200
 
 
-def write_parts(spark, path, df, by="t", parts=4):
-    """Time-ordered files, so that micro-batches arrive in order."""
-    lo, hi = df.agg(F.min(by), F.max(by)).first()
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Many small micro-batches: a task for each partition is most of their time."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def write_parts(spark, path, df, by="t", parts=4, late=0, end=True):
+    """Files that arrive one a micro-batch; with ``late`` rows come up to so many seconds late, in any order.
+
+    With ``end`` the last file holds one row far in the future, which moves the watermark past all others.
+    """
+    arrives = F.col(by) + (F.abs(F.xxhash64("event_id")) % late if late else F.lit(0))
+    timed = df.withColumn("_a", arrives)
+    lo, hi = timed.agg(F.min("_a"), F.max("_a")).first()
     width = (hi - lo) // parts + 1
+    stamped = timed.withColumn("ts", F.timestamp_seconds(F.col(by) + BASE))
     for k in range(parts):
-        df.filter((F.col(by) >= lo + k * width) & (F.col(by) < lo + (k + 1) * width)) \
-            .withColumn("ts", F.timestamp_seconds(F.col(by) + BASE)).coalesce(1).write.parquet(f"{path}/p{k}")
+        stamped.filter((F.col("_a") >= lo + k * width) & (F.col("_a") < lo + (k + 1) * width)) \
+            .orderBy(F.rand(k)).drop("_a").coalesce(1).write.parquet(f"{path}/p{k}")
+        time.sleep(0.02)        # files are read in order of their age
+    if end:
+        last = df.orderBy(F.desc(by)).limit(1).withColumns({"event_id": F.lit(-1).cast("bigint"), by: F.col(by) + 10 * 86400})
+        last.withColumn("ts", F.timestamp_seconds(F.col(by) + BASE)).coalesce(1).write.parquet(f"{path}/p{parts}")
 
 
 def stream(spark, path, df):
@@ -37,42 +59,90 @@ def make(spark, n, seed, span, names, values):
                                  "event_id bigint, t bigint, a string, b string")
 
 
-def test_rate_limit_and_lockouts(spark, tmp_path):
+# 0: files in order of time; 250: rows up to 250 of the 300 seconds late that the watermark allows
+LATE = pytest.mark.parametrize("late", [0, 250])
+
+
+@LATE
+def test_rate_limits(spark, tmp_path, late):
     df = make(spark, 600, 1, 2000, ["hot", "hot", "d1"], ["scrape", "other"]).withColumnsRenamed({"a": "domain", "b": "rule"})
-    write_parts(spark, f"{tmp_path}/r", df)
+    write_parts(spark, f"{tmp_path}/r", df, parts=6, late=late)
     out = flows.run_available(stateful.limit_rate_stream(stream(spark, f"{tmp_path}/r", df)))
     assert rows(out, "t") == rows(limits.limit_rate(df))
     out = flows.run_available(stateful.limit_sliding_stream(stream(spark, f"{tmp_path}/r", df), "domain", 5))
     assert rows(out, "t") == rows(limits.limit_sliding(df, "domain", 5))
 
+
+@LATE
+def test_lockouts(spark, tmp_path, late):
     tries = make(spark, 500, 2, 9000, ["u1", "u2"], ["y", "n", "n", "n"]).select(
         "event_id", "t", F.col("a").alias("username"), (F.col("b") == "y").alias("success"))
-    write_parts(spark, f"{tmp_path}/l", tries)
+    write_parts(spark, f"{tmp_path}/l", tries, late=late)
     out = flows.run_available(stateful.lockouts_stream(stream(spark, f"{tmp_path}/l", tries)))
     assert rows(out, "t") == rows(limits.lockouts(tries))
 
 
-def test_alerts_and_patterns(spark, tmp_path):
+@LATE
+def test_alerts(spark, tmp_path, late):
     ev = make(spark, 600, 3, 4000, ["m1", "m2"], ["error", "info"]).withColumnsRenamed({"a": "message", "b": "severity"})
-    write_parts(spark, f"{tmp_path}/a", ev)
+    write_parts(spark, f"{tmp_path}/a", ev, late=late)
     out = flows.run_available(stateful.alerts_stream(stream(spark, f"{tmp_path}/a", ev)))
     assert rows(out, "t") == rows(limits.alerts_with_dedup(ev))
+    out = flows.run_available(stateful.alerts_stream(stream(spark, f"{tmp_path}/a", ev), 3, 60, 200))
+    expect = rows(limits.alerts_with_dedup(ev, 3, 60, expiry=200, chunk_seconds=500))
+    assert rows(out, "t") == expect and expect != rows(limits.alerts_with_dedup(ev, 3, 60))
 
+
+@LATE
+def test_patterns(spark, tmp_path, late):
     pt = make(spark, 600, 4, 4000, ["n1", "n2"], ["A", "B", "C"]).withColumnsRenamed({"a": "node_id", "b": "type"})
-    write_parts(spark, f"{tmp_path}/p", pt)
+    write_parts(spark, f"{tmp_path}/p", pt, late=late)
     out = flows.run_available(stateful.match_pattern_stream(stream(spark, f"{tmp_path}/p", pt), ["A", "B"], 20, "node_id"))
     assert rows(out, "start_t", "end_t") == rows(limits.match_pattern(pt, ["A", "B"], 20, "node_id"))
 
 
+@LATE
+def test_cooldowns(spark, tmp_path, late):
+    raised = make(spark, 400, 8, 4000, ["r1", "r2", "r2"], ["w", "c"]).withColumnsRenamed({"a": "rule_name", "b": "severity"}) \
+        .dropDuplicates(["rule_name", "t"]).withColumn("message", F.concat("rule_name", F.lit(" fired")))
+    write_parts(spark, f"{tmp_path}/c", raised, late=late)
+    out = flows.run_available(stateful.cooldown_stream(stream(spark, f"{tmp_path}/c", raised), 100))
+    assert rows(out.select("rule_name", "t"), "t") == rows(spaced(raised, ["rule_name"], "t", "event_id", 100).select("rule_name", "t"))
+
+
+def test_forgotten_state_makes_no_difference(spark, tmp_path):
+    """Bursts far apart: a key's state is cleared between them and decisions stay those of the batch."""
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(k, (k // 60) * 5000 + rnd.randrange(40), "d", "scrape") for k in range(240)],
+                               "event_id bigint, t bigint, domain string, rule string")
+    write_parts(spark, f"{tmp_path}/r", df, parts=4)
+    out = flows.run_available(stateful.limit_rate_stream(stream(spark, f"{tmp_path}/r", df)))
+    assert rows(out, "t") == rows(limits.limit_rate(df))
+
+
+def test_repeated_alerts_of_one_second(spark):
+    """Expiring counts with many rows a second, against the steps row by row."""
+    rnd = random.Random(10)
+    data = [(k, rnd.randrange(60) * 20, "m", rnd.choice(["error", "info"])) for k in range(900)]
+    ev = spark.createDataFrame(data, "event_id bigint, t bigint, message string, severity string")
+    state, expect = limits.alert_start(), []
+    for k, t, m, s in sorted(data, key=lambda r: (r[1], r[0])):
+        count, notified = limits.alert_step(state, t, s, 4, 50, 70)
+        if count is not None:
+            expect.append((k, t, m, s, count, notified))
+    got = limits.alerts_with_dedup(ev, 4, 50, chunk_seconds=100, expiry=70)
+    assert sorted(map(tuple, got.collect())) == sorted(expect)
+
+
 def test_dedup_and_snapshots(spark, tmp_path):
     df = make(spark, 200, 5, 900, ["x", "Y "], ["1", "2"]).withColumnsRenamed({"a": "business_name", "b": "address"})
-    write_parts(spark, f"{tmp_path}/d", df)
+    write_parts(spark, f"{tmp_path}/d", df, end=False)
     reader = spark.readStream.schema(df.withColumn("ts", F.timestamp_seconds("t")).schema).option("recursiveFileLookup", True)
     out = flows.run_available(flows.dedup_stream(reader.parquet(f"{tmp_path}/d")).select("business_key"))
     assert sorted(r[0] for r in out.collect()) == ["x|1", "x|2", "y|1", "y|2"]
 
     log = make(spark, 100, 6, 400, ["k1", "k2"], ["SET", "GET"]).withColumnsRenamed({"a": "cache_key", "b": "type"})
-    write_parts(spark, f"{tmp_path}/s", log)
+    write_parts(spark, f"{tmp_path}/s", log, end=False)
     table = spark.createDataFrame([("k1", 1), ("k2", 2), ("k3", 3)], "cache_key string, v int")
     flows.snapshot_on_batch(stream(spark, f"{tmp_path}/s", log), lambda: table, f"{tmp_path}/snap", f"{tmp_path}/ck").awaitTermination()
     snap = spark.read.parquet(f"{tmp_path}/snap/*").distinct()
@@ -83,7 +153,7 @@ def test_dedup_and_snapshots(spark, tmp_path):
 
 def test_priority_routing(spark, tmp_path):
     log = make(spark, 60, 7, 400, ["k"], ["ERROR", "WARNING", "GET"]).withColumnsRenamed({"a": "cache_key", "b": "type"})
-    write_parts(spark, f"{tmp_path}/s", log)
+    write_parts(spark, f"{tmp_path}/s", log, end=False)
     flows.route_by_priority(stream(spark, f"{tmp_path}/s", log), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").groupBy("type", "priority").count().collect()
     assert {(r["type"], r["priority"]) for r in got} == {("ERROR", "HIGH"), ("WARNING", "MEDIUM"), ("GET", "LOW")}

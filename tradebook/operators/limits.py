@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradebook.operators.keyed import with_rule
-from tradebook.plans.scale import CHUNK, sorted_fold, sorted_groups, spaced, with_chunk, with_sessions
+from tradebook.plans.scale import CHUNK, first_rows, sorted_fold, sorted_groups, spaced, with_chunk, with_sessions
 
 # --- steps ----------------------------------------------------------------------------------
 
@@ -75,15 +75,24 @@ def lockout_step(state: dict, t, rows: int, lead: int, success: bool, later_lock
 
 
 def alert_start() -> dict:
-    return {"count": 0, "notified": {}}
+    return {"count": 0, "stamps": [], "notified": {}}
 
 
-def alert_step(state: dict, t, severity: str, threshold: int, window) -> tuple[int | None, bool]:
-    """(count, notified) of a recorded alert, (None, False) for a skipped duplicate."""
+def alert_step(state: dict, t, severity: str, threshold: int, window, expiry=None) -> tuple[int | None, bool]:
+    """(count, notified) of a recorded alert, (None, False) for a skipped duplicate.
+
+    With ``expiry``, alerts and notifications of ``expiry`` seconds ago or more are forgotten first.
+    """
+    if expiry is not None:
+        state["stamps"] = [s for s in state["stamps"] if s > t - expiry]
+        state["notified"] = {k: s for k, s in state["notified"].items() if s > t - expiry}
+        state["count"] = len(state["stamps"])
     last = state["notified"].get(severity)
     if last is not None and t - last < window:
         return None, False
     state["count"] += 1
+    if expiry is not None:
+        state["stamps"].append(t)
     notify = state["count"] >= threshold
     if notify:
         state["notified"][severity] = t
@@ -209,16 +218,21 @@ def failed_attempts(decided: DataFrame, as_of: int, window: int = 1800, duration
         "username", F.coalesce("n", F.lit(0)).alias("failed_attempts"), locked.alias("locked"))
 
 
-def alerts_with_dedup(events: DataFrame, threshold: int = 5, window: int = 300,
-                      chunk_seconds: int = 3600) -> DataFrame:
+def alerts_with_dedup(events: DataFrame, threshold: int = 5, window: int = 300, chunk_seconds: int = 3600,
+                      expiry: int | None = None) -> DataFrame:
     """Recorded alerts (event_id, t, message, severity) with their running count and notifications.
 
+    With ``expiry`` (seconds) alerts and notifications that old no longer count: a message's count is that of
+    its alerts recorded less than ``expiry`` seconds ago. Without it counts never fall.
+
     The first ``threshold - 1`` alerts of a message are recorded silently; from then on every
     recorded alert is a notification and keeps its (severity, message) quiet for ``window``
     seconds. That makes the rest a greedy spacing per (message, severity), so a message that holds
     most rows is reduced to its distinct times before anything is shuffled.
     """
     rows = events.select("event_id", "t", "message", "severity")
+    if expiry is not None:
+        return _expiring_alerts(rows, threshold, window, expiry, chunk_seconds)
     at = F.struct("t", "event_id")
     order = Window.partitionBy("message").orderBy("t", "event_id")
     silent = threshold - 1
@@ -239,6 +253,24 @@ def alerts_with_dedup(events: DataFrame, threshold: int = 5, window: int = 300,
                         F.lit(False).alias("notified")).unionByName(loud)
 
 
+def _expiring_alerts(rows: DataFrame, threshold: int, window: int, expiry: int, chunk_seconds: int) -> DataFrame:
+    """Alerts folded along each message, cut where a message was quiet for ``expiry`` seconds.
+
+    Of one (message, severity, second) only the first ``threshold`` rows can be recorded: one of them is a
+    notification or a duplicate of one, and all after it are duplicates.
+    """
+    keys = ["message", "severity", "t"]
+    few = first_rows(rows, keys, ["event_id"], max(threshold, 1)) if window > 0 else rows
+    runs = with_sessions(few, ["message"], "t", expiry, chunk_seconds)
+
+    def step(state: dict, t, event_id, severity) -> tuple:
+        return alert_step(state, t, severity, threshold, window, expiry)
+
+    folded = sorted_fold(runs, ["message", "_session"], ["t", "event_id"], ["t", "event_id", "severity"],
+                         alert_start, step, "count bigint, notified boolean")
+    return folded.filter(F.col("count").isNotNull()).select("event_id", "t", "message", "severity", "count", "notified")
+
+
 class _PatternChunk:
     """What a stretch of one key's fitting events does to any pattern window it is entered with.
 

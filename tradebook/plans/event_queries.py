@@ -150,6 +150,21 @@ def _(i):
     return _alerts(i)
 
 
+EXPIRING_SQL = """WITH RECURSIVE a AS (SELECT event_id, t, message, severity, row_number() OVER (PARTITION BY message ORDER BY t, event_id) AS rn FROM @op_events),
+    steps AS (SELECT event_id, t, message, severity, rn, [t] AS stamps, map(CAST([] AS VARCHAR[]), CAST([] AS BIGINT[])) AS notified_at, CAST(1 AS BIGINT) AS count, true AS kept, false AS notified FROM a WHERE rn = 1
+      UNION ALL SELECT r.event_id, r.t, r.message, r.severity, r.rn, CASE WHEN dup THEN alive ELSE list_append(alive, r.t) END,
+        CASE WHEN NOT dup AND len(alive) + 1 >= 3 THEN map_concat(s.notified_at, map([r.severity], [r.t])) ELSE s.notified_at END,
+        CAST(len(alive) + 1 AS BIGINT), NOT dup, NOT dup AND len(alive) + 1 >= 3
+      FROM steps s JOIN a r ON r.message = s.message AND r.rn = s.rn + 1,
+        LATERAL (SELECT list_filter(s.stamps, lambda x: x > r.t - 300) AS alive, coalesce(r.t - s.notified_at[r.severity] < 60, false) AS dup) d)
+    SELECT event_id, t, message, severity, count, notified FROM steps WHERE kept"""
+
+
+@query("alerts_expiring", EXPIRING_SQL)
+def _(i):
+    return L.alerts_with_dedup(i.op_events, threshold=3, window=60, expiry=300)
+
+
 @query("alert_summary", alert_check("""SELECT severity, count(a.event_id) AS current, count(a.event_id) FILTER (t >= 9000 - 3600) AS last_hour, count(a.event_id) FILTER (t >= 9000 - 86400) AS last_day
   FROM (VALUES ('error'), ('warning'), ('info'), ('total')) v(severity) LEFT JOIN (SELECT event_id, t, severity AS sev FROM ALERTS) a ON severity = 'total' OR sev = severity GROUP BY severity"""))
 def _(i):

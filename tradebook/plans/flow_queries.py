@@ -9,6 +9,7 @@ from tradebook.operators import records as R
 from tradebook.plans.event_queries import (
     ALERT_SQL,
     ENRICHED,
+    EXPIRING_SQL,
     METRICS,
     RATE_SQL,
     SLIDE_SQL,
@@ -92,7 +93,7 @@ def _(i):
 def _(i):
     path = scratch(i.spark, "errors")
     S.write_error_report(Q.validate_input(i.businesses), path)
-    return S._csv(i.spark, path).groupBy("id").agg(F.count(F.lit(1)).alias("errors"))
+    return i.spark.read.option("escape", '"').csv(path, header=True).groupBy("id").agg(F.count(F.lit(1)).alias("errors"))
 
 
 @query("write_json_report", "SELECT count(*) AS total_items, count(*) FILTER (verified) AS verified FROM @businesses")
@@ -194,11 +195,14 @@ def _stream(i, sql: str):
 EPOCH = 1704067200  # event time 0 of the derived views
 
 
-def _timed(i, view: str, delay: str | None = "10 minutes", ended: bool = False):
+def _timed(i, view: str, delay: str | None = "10 minutes", ended: bool | dict = False):
+    """A view as a stream; ``ended`` adds its end, with the given values where a query filters rows: Spark
+    filters before it takes the watermark."""
     from tradebook.plans.inputs import VIEWS
     out = _stream(i, VIEWS[view])
     if ended:
         last = getattr(i, view).orderBy(F.desc("t"), "event_id").limit(1)
+        last = last.withColumns({c: F.lit(v).cast(last.schema[c].dataType) for c, v in (ended if isinstance(ended, dict) else {}).items()})
         out = W.with_end(out, last.withColumn("t", F.col("t") + 10 * 86400).withColumn("event_id", F.col("event_id") * 0 - 1))
     out = out.withColumn("ts", F.timestamp_seconds(F.col("t") + EPOCH))
     return out.withWatermark("ts", delay) if delay else out
@@ -218,27 +222,32 @@ def _(i):
 
 @query("stream_limit_rate", RATE_SQL)
 def _(i):
-    return _run(Z.limit_rate_stream(_timed(i, "requests")))
+    return _run(Z.limit_rate_stream(_timed(i, "requests", ended=True)))
 
 
 @query("stream_limit_sliding", SLIDE_SQL.replace("SELECT event_id, t, domain, decision FROM steps", "SELECT event_id, t, domain, decision = 'admitted' AS allowed FROM steps"))
 def _(i):
-    return _run(Z.limit_sliding_stream(_timed(i, "requests"), "domain"))
+    return _run(Z.limit_sliding_stream(_timed(i, "requests", ended=True), "domain"))
 
 
 @query("stream_lockouts", lockout_sql("@attempts"))
 def _(i):
-    return _run(Z.lockouts_stream(_timed(i, "attempts")))
+    return _run(Z.lockouts_stream(_timed(i, "attempts", ended=True)))
 
 
 @query("stream_alerts", ALERT_SQL)
 def _(i):
-    return _run(Z.alerts_stream(_timed(i, "op_events")))
+    return _run(Z.alerts_stream(_timed(i, "op_events", ended=True)))
+
+
+@query("stream_alerts_expiring", EXPIRING_SQL)
+def _(i):
+    return _run(Z.alerts_stream(_timed(i, "op_events", ended=True), threshold=3, window=60, expiry=300))
 
 
 @query("stream_match_pattern", pattern_sql(["WARNING", "ERROR", "SET"], 30, "node_id"))
 def _(i):
-    return _run(Z.match_pattern_stream(_timed(i, "op_events"), ["WARNING", "ERROR", "SET"], 30, "node_id"), "start_t", "end_t") \
+    return _run(Z.match_pattern_stream(_timed(i, "op_events", ended={"type": "WARNING"}), ["WARNING", "ERROR", "SET"], 30, "node_id"), "start_t", "end_t") \
         .select("node_id", "start_t", "end_t", F.array_join("event_ids", ",").alias("ids"))
 
 
@@ -283,5 +292,5 @@ def _(i):
   steps AS (SELECT t, rule_name, rn, t AS fired, true AS kept FROM b WHERE rn = 1 UNION ALL SELECT r.t, r.rule_name, r.rn, CASE WHEN r.t - s.fired < 300 THEN s.fired ELSE r.t END, r.t - s.fired >= 300 FROM steps s JOIN b r ON r.rule_name = s.rule_name AND r.rn = s.rn + 1)
   SELECT rule_name, t FROM steps WHERE kept""")
 def _(i):
-    raised = _timed(i, "op_events").filter("latency_ms > 60").withColumn("rule_name", F.col("severity"))
+    raised = _timed(i, "op_events", ended={"latency_ms": 100}).filter("latency_ms > 60").withColumn("rule_name", F.col("severity"))
     return _run(Z.cooldown_stream(raised)).select("rule_name", "t")

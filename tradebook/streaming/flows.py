@@ -43,7 +43,8 @@ def with_end(stream: DataFrame, last: DataFrame) -> DataFrame:
     """The stream followed by ``last``, rows far in the future.
 
     A bounded run ends with the watermark behind the youngest row; the extra rows move it past everything
-    before them, so that all windows and timers of the run come out. They go in before ``withWatermark``.
+    before them, so that all windows and timers of the run come out. They go in before ``withWatermark``, and
+    must pass the filters behind it, which Spark applies first.
     """
     path = scratch(stream.sparkSession, "stream-end")
     last.write.parquet(path)

@@ -1,9 +1,12 @@
-"""Streaming forms of the sequential decisions: the same steps as the batch runs, row by row.
+"""Streaming forms of the sequential decisions: the same steps as the batch runs, in event time.
 
 Streams need a watermarked TIMESTAMP column ``ts`` beside the columns of the batch form; seconds
-are taken from it. Rows of one micro-batch are put in (ts, event_id) order per key; rows behind the
-watermark are dropped by Spark. State is cleared by an event-time timer once the watermark has
-passed everything it could still influence.
+are taken from it. A decision depends on all earlier rows of its key, and rows come late and in any
+order. So a row waits until the watermark has passed its stretch (``SETTLE_SECONDS``): then every
+row of the stretch is known, and a timer decides them in (t, event_id) order. Rows behind the watermark
+are dropped by Spark. Waiting rows lie in state by stretch and micro-batch, so a task holds one stretch of
+one key at a time, whatever the key's size. State is cleared by a timer once the watermark has passed
+everything it could still influence.
 """
 
 from __future__ import annotations
@@ -22,38 +25,73 @@ from tradebook.operators.keyed import with_rule
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Rows of a key that are decided together, in seconds of event time: a decision comes that much later at most.
+#: A sixth of the rule's memory where that is more.
+SETTLE_SECONDS = 60
+
 
 class _Fold(StatefulProcessor):
-    def __init__(self, keys: Sequence[str], inputs: Sequence[str], names: Sequence[str], start: Callable[[], dict],
-                 step: Callable[..., tuple], memory: int | None):
-        self.keys, self.inputs, self.names = list(keys), list(inputs), list(names)
-        self.start, self.step, self.memory = start, step, memory
+    """Steps along each key in event time.
+
+    ``whole`` tells which inputs are whole numbers (a null among them makes pandas use floats).
+    """
+
+    def __init__(self, keys: Sequence[str], inputs: Sequence[str], whole: Sequence[bool], names: Sequence[str],
+                 start: Callable[[], dict], step: Callable[..., tuple], memory: int | None, settle: int):
+        self.keys, self.inputs, self.whole, self.names = list(keys), list(inputs), list(whole), list(names)
+        self.start, self.step, self.memory, self.settle = start, step, memory, settle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "last_t bigint, body string")
+        self.state = handle.getValueState("state", "forget_at bigint, body string")
+        self.parts = handle.getMapState("parts", "stretch bigint", "n int")
+        self.waiting = handle.getMapState("waiting", "stretch bigint, part int", "body string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["t", "event_id"], kind="stable")
-        last, state = None, self.start()
-        if self.state.exists():
-            last, body = self.state.get()
-            state = json.loads(body)
-        out = []
-        for row in zip(*[pdf[c].tolist() for c in self.inputs], strict=True):
-            out.append(tuple(key) + row + tuple(self.step(state, *row)))
-        latest = int(pdf["t"].iloc[-1])
-        last = latest if last is None else max(int(last), latest)
-        self.state.update((last, json.dumps(state)))
-        if self.memory is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer((last + self.memory + 1) * 1000)
-        yield pd.DataFrame(out, columns=self.names)
+        for frame in rows:
+            for stretch, some in frame.groupby(frame["t"] // self.settle, sort=False):
+                self._wait(int(stretch), some)
+        yield pd.DataFrame([], columns=self.names)
+
+    def _wait(self, stretch: int, some: pd.DataFrame) -> None:
+        columns = [[None if pd.isna(v) else int(v) if whole else v for v in some[c].tolist()]
+                   for c, whole in zip(self.inputs, self.whole, strict=True)]
+        known = self.parts.getValue((stretch,))
+        n = int(known[0]) if known else 0
+        self.waiting.updateValue((stretch, n), (json.dumps(list(zip(*columns, strict=True))),))
+        self.parts.updateValue((stretch,), (n + 1,))
+        if not n:
+            self.handle.registerTimer((stretch + 1) * self.settle * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        yield pd.DataFrame([], columns=self.names)
+        # timers come in order of time: all earlier stretches of the key are decided
+        at = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        stretch = at // self.settle - 1
+        known, held, out = self.parts.getValue((stretch,)), self.state.get(), []
+        if known:
+            out = self._decide(key, stretch, int(known[0]), held)
+        elif held and int(held[0]) <= at:
+            self.state.clear()
+        yield pd.DataFrame(out, columns=self.names)
+
+    def _decide(self, key, stretch: int, parts: int, held: tuple | None) -> list[tuple]:
+        rows = []
+        for part in range(parts):
+            rows += json.loads(self.waiting.getValue((stretch, part))[0])
+            self.waiting.removeKey((stretch, part))
+        self.parts.removeKey((stretch,))
+        rows.sort(key=lambda r: (r[0], r[1]))           # inputs begin with t and event_id
+        forget, state = (int(held[0]), json.loads(held[1])) if held else (0, self.start())
+        out = [(*key, *row, *self.step(state, *row)) for row in rows]
+        if self.memory is not None:
+            # counted in steps of the memory, so that a busy key has one such timer at a time
+            step = max(self.memory // self.settle, 1) * self.settle
+            due = ((rows[-1][0] + self.memory) // step + 2) * step
+            if due != forget:
+                forget = due
+                self.handle.registerTimer(due * 1000)
+        self.state.update((forget, json.dumps(state)))
+        return out
 
     def close(self) -> None:
         pass
@@ -61,14 +99,15 @@ class _Fold(StatefulProcessor):
 
 def _fold_stream(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], start, step, outputs: str,
                  memory: int | None) -> DataFrame:
-    spark = df.sparkSession
+    spark, settle = df.sparkSession, max(SETTLE_SECONDS, (memory or 0) // 6)
     if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = df.withColumn("t", F.unix_seconds("ts"))
     schema = T.StructType([rows.schema[c] for c in (*keys, *inputs)] + list(T._parse_datatype_string(outputs).fields))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    whole = [isinstance(rows.schema[c].dataType, T.IntegralType) for c in inputs]
     return rows.select(*keys, "ts", *inputs).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Fold(keys, inputs, schema.fieldNames(), start, step, memory),
+        statefulProcessor=_Fold(keys, inputs, whole, schema.fieldNames(), start, step, memory, settle),
         outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
@@ -108,13 +147,17 @@ def lockouts_stream(attempts: DataFrame, max_failed: int = 5, window: int = 1800
     return out.select("event_id", "t", "username", "success", "outcome")
 
 
-def alerts_stream(events: DataFrame, threshold: int = 5, window: int = 300) -> DataFrame:
-    """Recorded alerts, as alerts_with_dedup; a message's count never expires."""
+def alerts_stream(events: DataFrame, threshold: int = 5, window: int = 300, expiry: int | None = None) -> DataFrame:
+    """Recorded alerts, as alerts_with_dedup.
+
+    With ``expiry`` an alert counts for so many seconds and a message that stays quiet that long is forgotten;
+    without it a message's count never expires, and neither does its state.
+    """
     def step(state, t, event_id, severity):
-        return L.alert_step(state, t, severity, threshold, window)
+        return L.alert_step(state, t, severity, threshold, window, expiry)
 
     out = _fold_stream(events, ["message"], ["t", "event_id", "severity"], L.alert_start, step,
-                       "count bigint, notified boolean", None)
+                       "count bigint, notified boolean", expiry)
     return out.filter(F.col("count").isNotNull()).select("event_id", "t", "message", "severity", "count", "notified")
 
 
