@@ -265,15 +265,75 @@ def duplicate_texts():
     return texts
 
 
-@pytest.mark.parametrize("small", [(8, 2048), (1, 4)])
-def test_components_against_brute_force(spark, monkeypatch, small):
+def chained_groups():
+    """Groups of near copies whose members reach other groups only from their outer side."""
+    rng = random.Random(77)
+    texts = []
+    for _ in range(4):
+        base = sentence(rng, 100, 10 ** 6).split()
+        for step in range(6):                                    # each centre is a third of a link or more from the last
+            for k in range(rng.randrange(2, 5)):
+                base[(step * 17 + k * 3) % 100] = f"m{rng.randrange(10 ** 6)}"
+            texts += [edited(rng, base, rng.randrange(4)) for _ in range(rng.randrange(3, 14))]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("small,make", [((8, 2048), duplicate_texts), ((1, 4), chained_groups)])
+def test_components_against_brute_force(spark, monkeypatch, small, make):
     monkeypatch.setattr(jaccard_join, "SMALL_REGION", small[0])
     monkeypatch.setattr(jaccard_join, "BLOCK", small[1])
-    texts = duplicate_texts()
+    texts = make()
     got = jaccard_join.near_duplicates(docs(spark, texts, component_id="clash", n="x")).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(texts)
 
 
+def grouped(rows):
+    """Components of (id, text) rows where rows of one id are one document."""
+    parts = brute_components([t for _, t in rows])
+    label = {}
+    for (i, _), (_, n, c) in zip(rows, parts, strict=True):
+        if i is not None and n:
+            label.setdefault(c, set()).add(i)
+    found = [set(v) for v in label.values()] + [{i} for i, _ in rows if i is not None]
+    merged = []
+    for g in found:
+        for other in [m for m in merged if m & g]:
+            merged.remove(other)
+            g = g | other
+        merged.append(g)
+    out = [(str(i), n, None if i is None else min(next(g for g in merged if i in g)))
+           for (i, _), (_, n, _) in zip(rows, parts, strict=True)]
+    return sorted(map(str, out))
+
+
+def test_rows_that_share_an_id(spark, monkeypatch):
+    rng = random.Random(31)
+    x, y, z = (sentence(rng, 60, 10 ** 6) for _ in range(3))
+    near = edited(rng, y.split(), 2)
+    cases = [[(1, x), (2, x), (2, y), (3, y)], [(1, x), (2, y), (5, x), (5, y)], [(1, x), (4, x), (4, y), (9, near)],
+             [(1, x), (1, x), (1, x)], [(None, x), (2, x), (None, y), (3, None), (3, x)], [(7, x), (7, ""), (6, ""), (5, z)],
+             [(1, x), (7, x), (7, "")]]
+    crowd = [(100 + k, edited(rng, z.split(), rng.randrange(3))) for k in range(30)]
+    cases.append([*crowd, (3, crowd[4][1]), (3, x), (2, edited(rng, x.split(), 1)), *crowd[:5]])
+    # all cases in one table, each with ids and words of its own
+    rows = [(None if i is None else 1000 * k + i, t and re.sub(r"\b(?=\w)", f"c{k}", t)) for k, case in enumerate(cases) for i, t in case]
+    monkeypatch.setattr(jaccard_join, "SMALL_REGION", 2)
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(str((str(r.doc_id), r.n_shingles, r.component_id)) for r in got) == grouped(rows)
+
+
+def test_pairs_of_like_members_stay_few(spark):
+    """Like members that are all single name one other each: links, not all pairs."""
+    sketch = jaccard_join._sketch(jaccard_join.shingles(sentence(random.Random(1), 60, 10 ** 6).encode()))
+    for m in (100, 400):
+        rows = spark.range(m).select(
+            F.lit(1).cast("bigint").alias("g"), F.lit(0).cast("bigint").alias("h"), "id", F.lit(56).alias("n"), F.lit(56).alias("lo"),
+            F.lit(56).alias("hi"), F.lit(0).alias("slack"), F.lit(0).alias("r"), F.lit(0).alias("apart"),
+            F.col("id").alias("component"), F.lit(m).alias("m"), F.lit(sketch).alias("sketch"))
+        assert jaccard_join._crossed(rows, 1).count() < m
+
+
 def test_near_duplicate_stage(spark):
     text = sentence(random.Random(2), 40, 10 ** 6)
     frame = spark.createDataFrame([(5, text, "en", "a", 1), (3, text.upper(), "en", "b", 1), (3, text.upper(), "en", "b", 1),

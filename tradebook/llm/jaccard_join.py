@@ -15,8 +15,13 @@ not listed pair by pair: the result is the connected component of each document.
 4. **Regions join recursively.** Small regions list the pairs in their windows. In a large one, each
    member is held against the region's most central document; members that link are one component and
    need not be compared with each other. Members outside it are held against the most central one of
-   theirs. What is left then, the members of a large region in different components, is dealt into bounded
-   blocks, filtered by windows and distance bounds and compared, the nearest pairs first, then all.
+   theirs. Now every member has a leader: a central document it links with, at an exactly known distance r, or
+   itself. The leaders of a region stand for its members and form a region of their own, far smaller,
+   which is joined the same way: by the triangle inequality A and B with leaders P and Q can only link if
+   |P sd Q| <= r(A) + r(B) + (|A| + |B|) / 9. Leaders further apart settle all their members at once. Those
+   close by, but not linked, are the last regions: their members far enough out to reach the other side are
+   compared. Compared are only members of different components, the nearest pairs first: what they
+   link need not be compared any further. Members travel in bounded blocks.
 5. **Bounds from hash pivots.** The shingle universe is cut into parts by hash, about |A| / 8 of them. The
    numbers of a set's shingles in them form a sketch, and the sum of their differences never exceeds
    |A sd B|: a contraction, so a pair beyond (|A| + |B|) / 9 cannot link. Unrelated sets of any size
@@ -29,13 +34,13 @@ found inside the tasks of the first scan, at most ``HOT_SHINGLES``), the rest by
 
 Null texts and texts without words have an empty set and link with nothing. Fewer than five words are
 one shingle. Rows with a null id are linked with nothing and have a null component. Ids are whole
-numbers; rows that share an id are one document, which links where any of its texts does. Empty tables
-give empty results.
+numbers; rows that share an id are one document, which links where any of its texts does (``n_shingles`` is
+that of the row). Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradebook.llm.common import only_ids, query, small_batches, table, without_ids
-from tradebook.session import settle
+from tradebook.session import scratch_tables, settle
 
 WORDS = 5
 #: Parts of a sketch, as powers of two: at least, at most.
@@ -57,8 +62,8 @@ HOT_IN_CHUNK = 4
 SMALL_REGION = 8
 #: Members of a block in the second join of large regions.
 BLOCK = 2048
-#: How many members of each other component a member is held against, round by round; the last takes all.
-QUOTAS = (1, 16, None)
+#: How many of the nearest members of other components a member is held against, round by round; the last takes all.
+QUOTAS = (1, 8, None)
 #: Shingles worked on at a time.
 CHUNK = 1 << 20
 
@@ -276,18 +281,19 @@ def meet(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         yield from work(carry, True)
 
 
-def _link_rows(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Pairs whose sets, sorted 64-bit hashes as binaries, link."""
+def _apart(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """The distance |A sd B| of pairs, from their sets as binaries of sorted hashes, and whether they link."""
     for batch in batches:
-        keep = []
+        away, near = [], []
         for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
             p, q = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
             both = np.concatenate((p, q))
             both.sort(kind="stable")
             common = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(9 * common >= 4 * (len(p) + len(q)))
-        mask = pa.array(keep, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
+            away.append(len(both) - 2 * common)
+            near.append(9 * common >= 4 * len(both))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a"), batch.column("b"), pa.array(away, pa.int64()), pa.array(near, pa.bool_())], ["a", "b", "d", "near"])
 
 
 def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -296,38 +302,53 @@ def _set_rows(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
 
 
 def _bounded(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """Pairs whose sketches do not rule a link out."""
+    """Pairs whose sketches do not rule out that they, or members they stand for, link."""
     for batch in batches:
         if not batch.num_rows:
             continue
         x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
-        na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+        na, nb, ra, rb, la, lb, ha, hb = (batch.column(c).to_numpy().astype(np.int64)
+                                          for c in ("na", "nb", "ra", "rb", "la", "lb", "ha", "hb"))
+        fits = (4 * la <= 5 * hb) & (4 * lb <= 5 * ha)
         keep, parts = np.zeros(batch.num_rows, bool), parts_of(np.minimum(na, nb))
-        for p in np.unique(parts).tolist():
-            at = np.flatnonzero(parts == p)
+        for p in np.unique(parts[fits]).tolist():
+            at = np.flatnonzero(fits & (parts == p))
             way = np.abs(_folded([x[k] for k in at], p) - _folded([y[k] for k in at], p)).sum(axis=1)
-            keep[at] = _near(na[at], nb[at], way)
+            keep[at] = 9 * (way - ra[at] - rb[at]) <= ha[at] + hb[at]
         mask = pa.array(keep)
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
-def _passing(pairs: DataFrame, described: DataFrame) -> DataFrame:
-    """The distinct pairs that sizes and sketches allow."""
+def _passing(pairs: DataFrame, described: DataFrame, leaders: DataFrame | None) -> DataFrame:
+    """The pairs that sizes and sketches allow; with ``leaders`` (leader, r, lo, hi) for any members of theirs."""
     side = described.select("id", "n", "sketch")
-    wide = pairs.join(side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x")), "a") \
-        .join(side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y")), "b")
-    return wide.select("a", "b", "na", "nb", "x", "y").mapInArrow(_bounded, "a bigint, b bigint")
+    if leaders is None:
+        side = side.withColumns({"r": F.lit(0).cast("bigint"), "lo": F.col("n"), "hi": F.col("n")})
+    else:
+        side = side.join(leaders.withColumnRenamed("leader", "id"), "id")
+
+    def named(v: str, sketch: str) -> DataFrame:
+        return side.select(F.col("id").alias(v), F.col("n").alias("n" + v), F.col("sketch").alias(sketch),
+                           F.col("r").alias("r" + v), F.col("lo").alias("l" + v), F.col("hi").alias("h" + v))
+
+    wide = pairs.join(named("a", "x"), "a").join(named("b", "y"), "b")
+    return wide.select("a", "b", "na", "nb", "ra", "rb", "la", "lb", "ha", "hb", "x", "y").mapInArrow(_bounded, "a bigint, b bigint")
 
 
-def links(pairs: DataFrame, documents: DataFrame, described: DataFrame) -> DataFrame:
-    """The pairs that link, decided on the whole sets of the documents that pairs name."""
-    passing = settle(_passing(pairs, described))
+def tests(pairs: DataFrame, documents: DataFrame, described: DataFrame, leaders: DataFrame | None = None) -> DataFrame:
+    """(a, b, d, near) of the pairs that sketches let pass, decided on the whole sets; written.
+
+    Documents of several texts are as near as their nearest texts.
+    """
+    passing = settle(_passing(pairs, described, leaders).distinct())
     ids = settle(passing.select(F.col("a").alias("id")).unionAll(passing.select("b")).distinct())
     chosen = only_ids(documents.select(F.col("doc_id"), "text"), ids, "doc_id")
-    sets = _texts(chosen).mapInArrow(_set_rows, "id bigint, x binary")
+    # one shuffle of the sets serves both sides
+    sets = _texts(chosen).mapInArrow(_set_rows, "id bigint, x binary").distinct()
     held = passing.join(sets.select(F.col("id").alias("b"), F.col("x").alias("y")), "b") \
         .join(sets.select(F.col("id").alias("a"), "x"), "a")
-    return settle(held.select("a", "b", "x", "y").mapInArrow(_link_rows, "a bigint, b bigint"))
+    apart = held.select("a", "b", "x", "y").mapInArrow(_apart, "a bigint, b bigint, d bigint, near boolean")
+    return settle(apart.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("near").alias("near")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -337,6 +358,8 @@ def components(edges: DataFrame) -> DataFrame:
     the rounds grow with the logarithm of a component's diameter. Rounds are written tables.
     """
     both = settle(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if both.isEmpty():
+        return both.select(F.col("a").alias("id"), F.col("b").alias("component"))
     labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
     while True:
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")) \
@@ -351,58 +374,68 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def star(members: DataFrame) -> DataFrame:
-    """Pairs of each member of a large region with the region's pivot document.
+def star(members: DataFrame, several: DataFrame | None) -> DataFrame:
+    """(id, pivot) for each member of a large region and the region's pivot document.
 
     The pivot is the most central member, the one most of whose window lies in large regions: the same
     one in nearly all regions of a group of near copies, so the pairs are about as many as documents.
+    Documents of several texts are no points of the metric space and so no pivots.
     """
     share = members.groupBy("id").agg((F.count("*") / (F.floor(F.first("n") / 5) + 1)).alias("share"))
     ranked = members.join(share, "id")
-    pivots = ranked.groupBy("s").agg(F.max(F.struct("share", (-F.col("id")).alias("back"), F.col("n").alias("pn"))).alias("p")) \
+    points = ranked if several is None else without_ids(ranked, several, "id")
+    pivots = points.groupBy("s").agg(F.max(F.struct("share", (-F.col("id")).alias("back"), F.col("n").alias("pn"))).alias("p")) \
         .select("s", (-F.col("p.back")).alias("pivot"), F.col("p.pn").alias("pn"))
     fits = (4 * F.col("n") <= 5 * F.col("pn")) & (4 * F.col("pn") <= 5 * F.col("n"))
-    return members.join(pivots, "s").filter((F.col("id") != F.col("pivot")) & fits) \
-        .select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    return members.join(pivots, "s").filter((F.col("id") != F.col("pivot")) & fits).select("id", "pivot").distinct()
+
+
+def _ordered(stars: DataFrame) -> DataFrame:
+    return stars.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def leading(stars: DataFrame, tested: DataFrame, several: DataFrame | None) -> DataFrame:
+    """(id, leader, r): of the pivots that a member links with the one with most links, and the distance."""
+    held = tested.filter("near").select("a", "b", "d")
+    linked = stars.withColumns({"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")}).join(held, ["a", "b"])
+    if several is not None:
+        linked = without_ids(linked, several, "id")
+    many = linked.groupBy("pivot").agg(F.count("*").alias("links"))
+    best = linked.join(many, "pivot").groupBy("id").agg(F.max(F.struct("links", (-F.col("pivot")).alias("back"), "d")).alias("m"))
+    return best.select("id", (-F.col("m.back")).alias("leader"), F.col("m.d").alias("r"))
 
 
 def _cross(quota: int | None):
-    """Pairs of members in different components that windows and sketches do not rule out, block by block.
+    """Pairs of different components that distances and sketches do not rule out, block by block.
 
-    Rows come sorted by (s, u, v): at most two blocks of members at a time. A pair comes out of one region
-    only, that of its first common shingle. With a quota, each member names the nearest ``quota`` members of
-    each other component.
+    Rows come sorted by (g, h, u, v): at most two blocks of members at a time. A member stands for texts of
+    ``lo`` to ``hi`` shingles up to ``slack`` away from it; it is itself ``r`` away from its leader, and the
+    leaders of the two sides are ``apart``. With a quota, each member names the nearest ``quota`` others.
     """
     def pairs(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
-        same = key[1] == key[2]
-        rows.sort(key=lambda r: r[1])
-        ids, n, rank, comp, block = (np.array([r[k] for r in rows], np.int64) for k in range(5))
+        same = key[2] == key[3]
+        rows.sort(key=lambda r: (r[1], r[0]))
+        ids, n, lo, hi, slack, r, apart, comp, block = (np.array([row[k] for row in rows], np.int64) for k in range(9))
         parts = parts_of(n)                                     # grows with n, so later rows fold to earlier ones'
-        ahead_of = [np.array(r[6], np.int64) for r in rows]     # what stands before s in each window
         a, b, level, folded, first = [], [], 0, None, 0
         for k in range(len(ids) - 1):
-            end = k + 1 + int(np.searchsorted(4 * n[k + 1:], 5 * n[k], side="right"))
-            later = slice(k + 1, end)
+            if parts[k] != level:
+                level, first = int(parts[k]), k
+                # own sizes of this level are 8 * level at most; two leaders and two members lie (5 / 4) ** 3 apart at most
+                last = len(ids) if level == 1 << MOST_PARTS else int(np.searchsorted(n, 16 * level, side="right"))
+                folded = _folded([row[9] for row in rows[k:last]], level)
+            later = slice(k + 1, first + len(folded))
+            sum_of = hi[later] + hi[k]
             other = np.flatnonzero((comp[later] != comp[k]) & (same | (block[later] != block[k]))
-                                   & (9 * (rank[later] + rank[k]) <= n[later] + n[k])) + k + 1
+                                   & (4 * lo[later] <= 5 * hi[k]) & (4 * lo[k] <= 5 * hi[later])
+                                   & (9 * (apart[k] - r[later] - r[k]) <= sum_of)) + k + 1
             if not len(other):
                 continue
-            if parts[k] != level:
-                level, first = int(parts[k]), k
-                # sizes of this level are 8 * level at most, those they can link with a quarter more
-                last = len(ids) if level == 1 << MOST_PARTS else int(np.searchsorted(n, 10 * level, side="right"))
-                folded = _folded([r[5] for r in rows[k:last]], level)
             way = np.abs(folded[other - first] - folded[k - first]).sum(axis=1)
-            near = 9 * way <= n[other] + n[k]
+            near = 9 * (way - slack[other] - slack[k]) <= hi[other] + hi[k]
             other, way = other[near], way[near]
             if quota is not None and len(other) > quota:
-                order = np.lexsort((ids[other], way, comp[other]))
-                other = other[order]
-                starts = np.flatnonzero(np.concatenate(([True], np.diff(comp[other]) != 0)))
-                place = np.arange(len(other)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(other)]))))
-                other = other[place < quota]
-            mine = set(ahead_of[k].tolist())
-            other = np.array([o for o in other.tolist() if mine.isdisjoint(ahead_of[o].tolist())], np.int64)
+                other = other[np.lexsort((ids[other], way))[:quota]]
             a.append(np.minimum(ids[other], ids[k]))
             b.append(np.maximum(ids[other], ids[k]))
         return pa.RecordBatch.from_arrays(
@@ -411,11 +444,11 @@ def _cross(quota: int | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for s, u, v, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (s, u, v) != key:
+            for g, h, u, v, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (g, h, u, v) != key:
                     if len(held) > 1:
                         yield pairs(key, held)
-                    key, held = (s, u, v), []
+                    key, held = (g, h, u, v), []
                 held.append(tuple(row))
         if len(held) > 1:
             yield pairs(key, held)
@@ -423,71 +456,170 @@ def _cross(quota: int | None):
     return run
 
 
-def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of those large regions that lie in two components or more, with their component."""
-    known = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = known.groupBy("s").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")) \
-        .filter("lo < hi").select("s", "m")
-    return known.join(open_, "s")
-
-
-def left_over(members: DataFrame, described: DataFrame, tested: DataFrame, quota: int | None) -> DataFrame:
-    """Pairs of unsettled members in different components that have not been compared (all without a quota)."""
-    dealt = members.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")) \
+def _crossed(rows: DataFrame, quota: int | None) -> DataFrame:
+    """Pairs out of the groups (g, h) of ``rows``, each of ``m`` members, dealt into bounded blocks."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")) \
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
-        .join(described.select("id", "sketch", "window"), "id") \
-        .withColumn("before", F.slice("window", F.lit(1), F.col("rank"))) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("s", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"),
-                "id", "n", "rank", "component", "block", "sketch", "before")
-    found = dealt.repartition("s", "u", "v").sortWithinPartitions("s", "u", "v").mapInArrow(_cross(quota), "a bigint, b bigint")
-    return settle(found.distinct().join(tested, ["a", "b"], "left_anti"))
+        .select("g", "h", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"),
+                "id", "n", "lo", "hi", "slack", "r", "apart", "component", "block", "sketch")
+    return dealt.repartition("g", "h", "u", "v").sortWithinPartitions("g", "h", "u", "v") \
+        .mapInArrow(_cross(quota), "a bigint, b bigint")
+
+
+def _several_components(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of groups that hold two components or more, with the group's size ``m``."""
+    open_ = rows.groupBy(*keys).agg(F.count("*").alias("m"), F.min("component").alias("_lo"), F.max("component").alias("_hi")) \
+        .filter("_lo < _hi").select(*keys, "m")
+    return rows.join(open_, keys)
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, id_: str = "id") -> DataFrame:
+    known = labels.select(F.col("id").alias(id_), F.col("component").alias("_c"))
+    return rows.join(known, id_, "left").withColumn("component", F.coalesce("_c", id_)).drop("_c")
+
+
+class _Join:
+    """What is known while regions are joined: tested pairs, links and components."""
+
+    def __init__(self, documents: DataFrame, described: DataFrame, edges: DataFrame):
+        self.documents, self.described, self.edges = documents, described, edges
+        self.tested, self.labels = None, components(edges)
+
+    def test(self, pairs: DataFrame, leaders: DataFrame | None = None) -> None:
+        found = tests(pairs, self.documents, self.described, leaders)
+        self.tested = found if self.tested is None else self.tested.unionAll(found)
+        if not found.filter("near").isEmpty():
+            self.edges = self.edges.unionAll(found.filter("near").select("a", "b"))
+            self.labels = components(self.edges)
+
+    def rounds(self, rows: Callable[[], DataFrame], found: Callable[[DataFrame, int | None], DataFrame],
+               leaders: DataFrame | None = None) -> None:
+        """Test the pairs that ``found`` names among ``rows``, the nearest first, until all are known or linked."""
+        tried = None
+        for quota in QUOTAS:
+            rest = settle(rows())
+            if rest.isEmpty():
+                return
+            more = found(rest, quota).distinct().join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
+            more = settle(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
+            if not more.isEmpty():
+                tried = more if tried is None else tried.unionAll(more)
+                self.test(more, leaders)
+
+
+def _join_leaders(join: _Join, members: DataFrame, points: DataFrame, leaders: DataFrame) -> None:
+    """Test the leaders that meet in a region and whose members may link."""
+    led = members.select("s", "id").join(leaders.select("id", "leader"), "id").select("s", "leader").distinct()
+    led = settle(_several_components(_labelled(led, join.labels, "leader"), ["s"]).select("s", F.col("leader").alias("id")))
+    reach = settle(leaders.groupBy("leader").agg(F.max("r").alias("r"), F.min("n").alias("lo"), F.max("n").alias("hi")))
+    wide = reach.select(F.col("leader").alias("id"), F.col("r").alias("slack"), "lo", "hi").join(points, "id")
+
+    def rows() -> DataFrame:
+        return _several_components(_labelled(led, join.labels), ["s"])
+
+    def found(rest: DataFrame, quota: int | None) -> DataFrame:
+        few = rest.filter(F.col("m") <= SMALL_REGION)
+        x, y = (few.select("s", F.col("id").alias(v), F.col("component").alias("c" + v)) for v in ("a", "b"))
+        pairs = x.join(y, "s").filter("a < b and ca <> cb").select("a", "b")        # at most SMALL_REGION rows a key
+        many = rest.filter(F.col("m") > SMALL_REGION).join(wide, "id").select(
+            F.col("s").alias("g"), F.lit(0).cast("bigint").alias("h"), "*", F.lit(0).alias("r"), F.lit(0).alias("apart"))
+        return pairs.unionAll(_crossed(many, quota))
+
+    join.rounds(rows, found, reach)
+
+
+def _join_followers(join: _Join, points: DataFrame, leaders: DataFrame) -> None:
+    """Test members of leaders that do not link but lie near enough for members to."""
+    reach = leaders.groupBy("leader").agg(F.max("r").alias("r"), F.max("n").alias("hi"))
+    x, y = (reach.select(F.col("leader").alias(v), F.col("r").alias("r" + v), F.col("hi").alias("h" + v)) for v in ("a", "b"))
+    close = join.tested.filter("not near").groupBy("a", "b").agg(F.min("d").alias("d")).join(x, "a").join(y, "b") \
+        .filter("ra + rb > 0 and 9 * (d - ra - rb) <= ha + hb")
+    close = _labelled(_labelled(close, join.labels, "a").withColumnRenamed("component", "ca"), join.labels, "b") \
+        .filter("ca <> component").drop("ca", "component")
+    close = settle(close)
+    if close.isEmpty():
+        return
+    own = leaders.select("id", "leader", "r")
+    sides = close.select(F.col("a").alias("leader"), F.col("a").alias("g"), F.col("b").alias("h"), "d", F.col("rb").alias("_r"), F.col("hb").alias("_h")) \
+        .unionAll(close.select("b", "a", "b", "d", "ra", "ha"))
+    out = settle(sides.join(own, "leader").join(points.select("id", "n").distinct(), "id")
+                 .filter("9 * (d - r - _r) <= n + _h").select("g", "h", "id", "r", F.col("d").alias("apart")).distinct())
+
+    def rows() -> DataFrame:
+        return _several_components(_labelled(out, join.labels), ["g", "h"])
+
+    def found(rest: DataFrame, quota: int | None) -> DataFrame:
+        return _crossed(rest.join(points, "id").select("*", F.col("n").alias("lo"), F.col("n").alias("hi"), F.lit(0).alias("slack")), quota)
+
+    join.rounds(rows, found)
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of ``documents``."""
-    with small_batches(documents.sparkSession):
-        return _near_duplicates(documents)
+    """(doc_id, n_shingles, component_id), one row for each row of ``documents``; written."""
+    spark = documents.sparkSession
+    with small_batches(spark), scratch_tables(spark) as keep:
+        return keep(settle(_near_duplicates(documents)))
 
 
 def _near_duplicates(documents: DataFrame) -> DataFrame:
     bare = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     described = settle(describe(bare, frequent_shingles(bare)))
     real = described.filter("id is not null and n > 0")
-    copied = settle(real.groupBy("digest").agg(F.min("id").alias("rep"), F.max("id").alias("last")).filter("rep < last")
+    worded = F.when(F.col("n") > 0, F.col("digest"))
+    repeated = settle(described.filter("id is not null").groupBy("id").agg(
+        F.count("*").alias("c"), (F.min(worded) < F.max(worded)).alias("differ")).filter("c > 1").select("id", "differ"))
+    once = repeated.isEmpty()                       # no id comes twice
+    copied = settle(real.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("c")).filter("c > 1")
                     .select("digest", "rep"))
-    others = settle(real.select("id", "digest").join(copied, "digest").filter("id <> rep").select("id", "rep"))
-    reps = without_ids(real, others, "id")
+    others = settle(real.select("id", "digest").join(copied, "digest").filter("id <> rep").select("id", "rep", "digest").distinct())
+    # one text stands for all its copies: rows are told apart by their id, or by id and text where ids repeat
+    reps = without_ids(real, others, "id") if once else \
+        real.join(others.select("id", "digest"), ["id", "digest"], "left_anti").dropDuplicates(["id", "digest"])
+    several = None if once else settle(repeated.filter("differ").select("id"))
+    if several is not None and several.isEmpty():
+        several = None
+    none = documents.sparkSession.createDataFrame([], "a bigint, b bigint")
+    edges = none
+    if several is not None:
+        texts = real.select("id", "digest").distinct().join(several, "id").join(copied, "digest", "left") \
+            .select("id", F.coalesce("rep", "id").alias("rep"))
+        edges = none.unionAll(texts.join(texts.groupBy("id").agg(F.min("rep").alias("lo")), "id")
+                                     .filter("lo < rep").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct())
 
     rows = reps.select("id", "n", F.posexplode("window").alias("rank", "s")).select("s", "id", "n", "rank")
     met = settle(rows.repartition("s").sortWithinPartitions("s", "n", "id").mapInArrow(meet, MEETINGS))
     members = met.filter("large").select("s", F.col("b").alias("id"), "n", "rank")
-    pairs = settle(met.filter("not large").select("a", "b").unionAll(star(members)).distinct())
-    linked = links(pairs, bare, described)
-    labels = components(linked)
-    rest = settle(unsettled(members, labels))
-    if not rest.isEmpty():
-        again = settle(star(rest.join(rest.groupBy("s").agg(F.min("component").alias("component")), ["s", "component"], "left_anti")
-                            .select("s", "id", "n")).join(pairs, ["a", "b"], "left_anti"))
-        linked, pairs = linked.unionAll(links(again, bare, described)), pairs.unionAll(again)
-        labels = components(linked)
-        # the nearest pairs first: what they link need not be compared any further
-        for quota in QUOTAS:
-            rest = settle(unsettled(members, labels))
-            more = None if rest.isEmpty() else left_over(rest, described, pairs, quota)
-            if more is None or more.isEmpty():
-                if more is None or quota is None:
-                    break
-                continue
-            linked, pairs = linked.unionAll(links(more, bare, described)), pairs.unionAll(more)
-            labels = components(linked)
+    points = reps.select("id", "n", "sketch")
 
-    by_copy = others.select(F.col("id").alias("_copy"), F.col("rep"))
-    return described.join(by_copy, F.col("id") == F.col("_copy"), "left") \
+    join = _Join(bare, points, settle(edges))
+    stars = settle(star(members, several))
+    pairs = settle(met.filter("not large").select("a", "b").unionAll(_ordered(stars)).distinct())
+    join.test(pairs)
+    rest = settle(_several_components(_labelled(members, join.labels), ["s"]))
+    if not rest.isEmpty():
+        outer = rest.join(rest.groupBy("s").agg(F.min("component").alias("component")), ["s", "component"], "left_anti")
+        second = settle(star(outer.select("s", "id", "n"), several))
+        join.test(settle(_ordered(second).join(pairs, ["a", "b"], "left_anti")))
+        led = leading(stars.unionAll(second).distinct(), join.tested, several)
+        leaders = settle(members.select("id", "n").distinct().join(led, "id", "left").select(
+            "id", "n", F.coalesce("leader", "id").alias("leader"), F.coalesce("r", F.lit(0)).cast("bigint").alias("r")))
+        _join_leaders(join, members, points, leaders)
+        _join_followers(join, points, leaders)
+
+    by_copy = others.select(F.col("id").alias("_copy"), F.col("rep"), F.col("digest").alias("_text"))
+    is_copy = F.col("id") == F.col("_copy")
+    out = described.join(by_copy, is_copy if once else is_copy & (F.col("digest") == F.col("_text")), "left") \
         .withColumn("rep", F.coalesce("rep", "id")) \
-        .join(labels.withColumnRenamed("id", "rep"), "rep", "left") \
+        .join(join.labels.withColumnRenamed("id", "rep"), "rep", "left") \
         .select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"),
                 F.coalesce("component", "rep").alias("component_id"))
+    if once:
+        return out
+    # a row without words goes with the other rows of its id
+    least = out.join(repeated.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id") \
+        .agg(F.min("component_id").alias("_least"))
+    return out.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_least", "component_id").alias("component_id"))
 
 
 _WORDS_SQL = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', " \
@@ -517,8 +649,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that share an id one stays.
     """
-    gone = settle(near_duplicates(docs).filter("doc_id <> component_id").select("doc_id"))
-    kept = without_ids(docs, gone, "doc_id")
-    repeated = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
-    return kept if repeated.isEmpty() else kept.filter("doc_id is null").unionAll(
-        kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    with scratch_tables(spark) as keep:
+        gone = keep(settle(near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")))
+        kept = without_ids(docs, gone, "doc_id")
+        repeated = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1")
+        return kept if repeated.isEmpty() else kept.filter("doc_id is null").unionAll(
+            kept.filter("doc_id is not null").dropDuplicates(["doc_id"]))
