@@ -1,8 +1,9 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tradebook.functions import checks as K
 from tradebook.functions import rules as R
-from tradebook.operators import keyed, quality, ranking, records
+from tradebook.operators import keyed, mentions, quality, ranking, records
 
 COLS = "id bigint, business_name string, address string, state string, zip_code string, created_at string"
 
@@ -88,12 +89,14 @@ def test_hot_business_keeps_all_results(spark):
     assert [(r["pos"], r["total_results"]) for r in top.orderBy("pos").collect()] == [(0, 500), (1, 500), (2, 500)]
 
 
-def test_name_mentions_equals_brute_force(spark):
-    names = ["acme 1", "acme 12", "me", "Joe's", "é", "in the middle", "x" * 40]
-    texts = ["ACME 123", "some joe's acme 1", "home", "café", "word in  the middle", "in the middle", "x" * 50, "", "acme\n1"]
+@pytest.mark.parametrize("letters", [10 ** 6, 12])
+def test_name_mentions_equals_brute_force(spark, letters):
+    names = ["acme 1", "ACME 1", "acme 12", "me", "Joe's", "é", "in the middle", "x" * 40, "", None]
+    texts = [None, "ACME 123", "some joe's acme 1", "home", "café", "word in  the middle", "in the middle", "x" * 50, "", "acme\n1"]
     t = spark.createDataFrame(list(enumerate(texts)), "k int, body string")
     n = spark.createDataFrame([(x,) for x in names], "business_name string")
-    got = {(r["k"], r["business_name"]) for r in ranking.name_mentions(t, "k", "body", n).collect()}
+    names, texts = names[:-2], [b or "" for b in texts]
+    got = {(r["k"], r["business_name"]) for r in mentions.name_mentions(t, "k", "body", n, letters=letters).collect()}
     assert got == {(k, x) for k, b in enumerate(texts) for x in names if x.lower() in b.lower()}
 
 
@@ -117,3 +120,24 @@ def test_trim_cache_between_sizes(spark):
     df = spark.range(100).select(F.col("id").cast("string").alias("cache_key"), F.col("id").alias("expires_at"))
     assert keyed.trim_cache(df, 10, max_size=50, threshold=95).count() == 90
     assert keyed.trim_cache(df, 10, max_size=50, threshold=60).agg(F.min("expires_at")).first()[0] == 50
+
+
+def test_restore_from_a_chain(spark):
+    """A full snapshot and two increments: deleted, rewritten and late keys at every time."""
+    def table(*rows):
+        return spark.createDataFrame(list(rows), "cache_key string, v int")
+
+    def log(*rows):
+        return spark.createDataFrame([(k, t, kind) for k, t, kind in rows], "cache_key string, t bigint, type string")
+
+    chain = keyed.full_snapshot(table(("a", 1), ("b", 1), ("c", None)), 10) \
+        .unionByName(keyed.snapshot_increment(table(("a", 2), ("c", None)), log(("a", 12, "SET"), ("b", 15, "DELETE"), ("x", 9, "SET")), 20, 10)) \
+        .unionByName(keyed.snapshot_increment(table(("b", 3), ("d", 3)), log(("b", 25, "SET"), ("d", 26, "SET"), ("a", 27, "DELETE"), ("c", 28, "DELETE"), ("c", 28, "GET")), 30, 20))
+
+    def at(t):
+        return sorted((r["cache_key"], r["v"]) for r in keyed.restore_chain(chain, t).collect())
+
+    assert at(9) == [] and at(10) == at(19) == [("a", 1), ("b", 1), ("c", None)]
+    assert at(20) == [("a", 2), ("c", None)] and at(30) == at(99) == [("b", 3), ("d", 3)]
+    assert keyed.restore_chain(chain, 30).columns == ["cache_key", "v"]
+    assert keyed.snapshot_increment(table(("a", 2)), log(), 40, 30).count() == 0

@@ -9,15 +9,18 @@ from functools import reduce
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradebook import fixed
 from tradebook.functions.address import extract_address
 from tradebook.functions.base import blank, contains_any, let, text
 from tradebook.functions.text import format_address
 from tradebook.operators.markup import has_class_rule, literals, parse, select
-from tradebook.operators.ranking import name_mentions
+from tradebook.operators.mentions import with_mentions
+from tradebook.session import settle
 
 FOUND = ("struct<raw_address:string,street:string,city:string,state:string,zip_code:string,"
          "confidence:double,source:string>")
@@ -25,6 +28,8 @@ _SCRIPT = r"(?is)<script\b[^>]*\btype\s*=\s*[\"']?application/ld\+json[\"']?[^>]
 _NEXT = r"(?is)<script\b[^>]*\bid\s*=\s*[\"']?__NEXT_DATA__[\"']?[^>]*>(.*?)</script\s*>"
 # An opening tag with its attributes; a quoted value may hold ">".
 _TAG = "(?is)<%s(?=[\\s/\"'>])(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>?)"
+#: Ids of linked pages are broadcast up to so many (8 bytes each), and joined by a shuffle beyond.
+BROADCAST_IDS = 1_000_000
 _BEFORE = "[\\s\"'/]"       # what may stand before an attribute's name
 
 
@@ -93,25 +98,27 @@ def meta_address(html: Column, word_boundary: bool = True) -> Column:
     return F.coalesce(*options)
 
 
-def text_address(html: Column, name: Column, word_boundary: bool = True) -> Column:
-    """Address within two lines of a line that contains the business name."""
-    def near(lines: Column) -> Column:
-        low = F.lower(name)
-        spots = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda k: F.lower(lines[k]).contains(low))
+def _near_name(lines: Column, name: Column, word_boundary: bool) -> Column:
+    """The first address within two lines of a line that contains the name."""
+    low = F.lower(name)
+    spots = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda k: F.lower(lines[k]).contains(low))
 
-        def context(k: Column) -> Column:
-            start = F.greatest(k - 2, F.lit(0))
-            stop = F.least(k + 3, F.size(lines))
-            return F.array_join(F.slice(lines, start + 1, stop - start), " ")
+    def context(k: Column) -> Column:
+        start = F.greatest(k - 2, F.lit(0))
+        stop = F.least(k + 3, F.size(lines))
+        return F.array_join(F.slice(lines, start + 1, stop - start), " ")
 
-        hits = F.filter(F.transform(spots, lambda k: let(context(k), lambda t: let(
-            extract_address(t, word_boundary),
-            lambda p: F.when(p.isNotNull(), _found(t, p, 0.75, "text_content"))))), lambda h: h.isNotNull())
-        return F.try_element_at(hits, F.lit(1))
+    hits = F.filter(F.transform(spots, lambda k: let(context(k), lambda t: let(
+        extract_address(t, word_boundary),
+        lambda p: F.when(p.isNotNull(), _found(t, p, 0.75, "text_content"))))), lambda h: h.isNotNull())
+    return F.try_element_at(hits, F.lit(1))
 
+
+def text_address(html: Column, name: Column, word_boundary: bool = True) -> Column:
+    """Address within two lines of a line that contains the business name."""
     # Cheap test first: most pages do not mention the name at all, and only texts are decoded that may.
     may = ~blank(name) & (F.lower(html).contains(F.lower(name)) | html.contains("&"))
-    return F.when(may, let(F.split(page_text(F.when(may, html)), "\n"), near))
+    return F.when(may, let(F.split(page_text(F.when(may, html)), "\n"), lambda lines: _near_name(lines, name, word_boundary)))
 
 
 def _rows(pages: DataFrame, found: Column, keep: Sequence[str]) -> DataFrame:
@@ -130,21 +137,24 @@ def from_text(pages: DataFrame, names: DataFrame | None = None, word_boundary: b
     """Addresses near the business name.
 
     Pages carry the wanted ``business_name``; or ``names`` is given and every page is paired with
-    the names it mentions.
+    the names its markup mentions, found where the page is read: no markup is shuffled.
     """
-    if names is not None:
-        pairs = name_mentions(pages, "page_id", "html", names)
-        pages = pages.join(pairs, "page_id")
-    return _rows(pages, text_address(F.col("html"), F.col("business_name"), word_boundary),
-                 ["page_id", "business_name"])
+    if names is None:
+        return _rows(pages, text_address(F.col("html"), F.col("business_name"), word_boundary), ["page_id", "business_name"])
+    named = names.filter(~blank("business_name"))
+    paired = with_mentions(pages, "html", named, "business_name", "_names", ["page_id", "html"])
+    found = paired.select("page_id", "_names", F.split(page_text(F.col("html")), "\n").alias("_lines")) \
+        .select("page_id", F.explode(F.transform("_names", lambda n: F.struct(
+            n.alias("business_name"), _near_name(F.col("_lines"), n, word_boundary).alias("f")))).alias("_m"))
+    return found.filter(F.col("_m.f").isNotNull()).select("page_id", "_m.business_name", "_m.f.*").distinct()
 
 
-def contact_links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, link): resolved links that look like contact pages, in document order.
+def _with_contact_links(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``_links``: resolved links that look like contact pages, in document order.
 
-    Only pages that hold a telling word, or a coded character, send their markup to the parser.
+    Only pages that hold a telling word, or a coded character, are parsed; others have a null.
     """
-    wanted = re.compile(fixed.CONTACT_HREF)
+    wanted, names = re.compile(fixed.CONTACT_HREF), [*pages.columns, "_links"]
 
     def resolved(base: str, href: str) -> str | None:
         try:
@@ -152,16 +162,29 @@ def contact_links(pages: DataFrame) -> DataFrame:
         except ValueError:
             return None
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            links = [[resolved(u, n.attrs["href"]) for n in parse(h).walk() if n.tag == "a" and wanted.search(n.attrs.get("href", ""))]
-                     for u, h in zip(pdf["url"], pdf["html"], strict=True)]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "links": links})
+    def links_of(url: str | None, html: str) -> list:
+        found = [resolved(url or "", n.attrs["href"]) for n in parse(html).walk() if n.tag == "a" and wanted.search(n.attrs.get("href", ""))]
+        return [x for x in found if x is not None]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in batches:
+            likely, urls, htmls = (batch.column(c) for c in ("_likely", "url", "html"))
+            links = [links_of(u.as_py(), h.as_py()) if ok.as_py() else None for ok, u, h in zip(likely, urls, htmls, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(links, pa.list_(pa.string()))], names)
 
     html = F.col("html")
-    likely = pages.filter(html.rlike(fixed.CONTACT_HREF) | _coded_attribute(html)).select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html")
-    return likely.mapInPandas(run, "page_id bigint, links array<string>") \
-        .select("page_id", F.posexplode("links").alias("pos", "link")).filter(F.col("link").isNotNull())
+    likely = F.coalesce(html.rlike(fixed.CONTACT_HREF) | _coded_attribute(html), F.lit(False))
+    schema = T.StructType([*pages.schema.fields, T.StructField("_links", T.ArrayType(T.StringType()))])
+    return pages.withColumn("_likely", likely).mapInArrow(run, schema)
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    return found.select("page_id", F.posexplode("_links").alias("pos", "link"))
+
+
+def contact_links(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, link): resolved links that look like contact pages, in document order."""
+    return _listed(_with_contact_links(pages.select("page_id", "url", "html")))
 
 
 def _element_texts(pages: DataFrame) -> DataFrame:
@@ -226,9 +249,10 @@ def extract_cascade(pages: DataFrame, strategies: Sequence[Strategy] | None = No
     """First strategy with a confident address per page.
 
     Pages carry ``business_name``. The default order is structured data, meta tags, contact page,
-    page text. What a page says itself is read in one scan (its text only where it mentions the name);
-    only pages that structured data and meta tags leave open have their links resolved. Own ``strategies`` (pages -> rows with page_id and the address
-    fields) replace the default ones and are tried in order on what is still open.
+    page text. Pages are scanned once for structured data and meta tags; only those that these leave open have
+    their links resolved and their text searched, and only pages that such links lead to are parsed for
+    addresses. Own ``strategies`` (pages -> rows with page_id and the address fields) replace the default
+    ones and are tried in order on what is still open.
     """
     if strategies is not None:
         done, left = None, pages.select("page_id", "business_name")
@@ -243,15 +267,22 @@ def extract_cascade(pages: DataFrame, strategies: Sequence[Strategy] | None = No
     html = F.col("html")
     early = F.coalesce(*[F.when(f["confidence"] > threshold, f) for f in (
         json_ld_address(html), meta_address(html, word_boundary))])
-    staged = pages.select("page_id", "url", "business_name", "html", early.alias("_early"),
-                          text_address(html, F.col("business_name"), word_boundary).alias("_late"))
-    # only pages that the first two strategies leave open have their links resolved
-    links = contact_links(pages.select("page_id", "url", "html", early.alias("_early")).filter(F.col("_early").isNull()))
-    contact = _linked_addresses(links, pages, word_boundary)
+    # the markup of pages that are settled is null from here on: neither read nor parsed any further
+    open_ = pages.select("page_id", "url", "business_name", "html", early.alias("_early")) \
+        .select("page_id", "url", "business_name", "_early", F.when(F.col("_early").isNull(), html).alias("html"))
+    read = settle(_with_contact_links(open_).select(
+        "page_id", "business_name", "_early", "_links",
+        text_address(html, F.col("business_name"), word_boundary).alias("_late")))
+    links = _listed(read)
+    linked = settle(pages.select("page_id", "url").join(links.select(F.col("link").alias("url")).distinct(), "url")
+                    .select("page_id").distinct())
+    few = linked.count() <= BROADCAST_IDS
+    asked = pages.select("page_id", "url", "html").join(F.broadcast(linked) if few else linked, "page_id", "left_semi")
+    contact = _linked_addresses(links, asked, word_boundary)
     contact = contact.select("page_id", F.struct(*[c for c in contact.columns if c != "page_id"]).alias("_contact"))
-    read = staged.select("page_id", "business_name", "_early", "_late")
     best = F.coalesce(F.col("_early"), *[F.when(F.col(c)["confidence"] > threshold, F.col(c)) for c in ("_contact", "_late")])
-    return read.join(contact, "page_id", "left").select("page_id", "business_name", best.alias("_f")) \
+    return read.select("page_id", "business_name", "_early", "_late").join(contact, "page_id", "left") \
+        .select("page_id", "business_name", best.alias("_f")) \
         .filter(F.col("_f").isNotNull()).select("page_id", "business_name", "_f.*")
 
 

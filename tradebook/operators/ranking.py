@@ -177,41 +177,3 @@ def fill_results(names: DataFrame, results: DataFrame, row: str = "row_id") -> D
     """Every input row with its found address, '' where nothing was found."""
     picked = results.select(row, F.col("address").alias("_found"))
     return names.join(picked, row, "left").withColumn("address", text("_found")).drop("_found")
-
-
-def _pieces(c: Column, n: int) -> Column:
-    """All runs of ``n`` characters of a text, found in one pass by a look-ahead."""
-    return F.regexp_extract_all(c, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))
-
-
-def name_mentions(texts: DataFrame, key: str, body: str, names: DataFrame, name: str = "business_name",
-                  gram: int = 5) -> DataFrame:
-    """Distinct (key, name) pairs where the text contains the name, ignoring case.
-
-    Exact without comparing every text with every name: a name is filed under the one of its
-    ``gram``-letter pieces that the fewest names share, texts are looked up by their pieces, and
-    the few candidates are verified against the whole text. Names shorter than ``gram`` are filed
-    under themselves and looked up by pieces of their length. Only keys and hashed pieces are
-    shuffled, never texts.
-    """
-    low = names.select(F.col(name).alias("_name"), F.lower(name).alias("_low")) \
-        .filter(F.length("_low") > 0).distinct()
-    filed = low.filter(F.length("_low") >= gram).select(
-        "_name", "_low", F.explode(F.array_distinct(_pieces(F.col("_low"), gram))).alias("_piece"))
-    shared = filed.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
-    chosen = filed.join(shared, "_piece").groupBy("_name", "_low").agg(
-        F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"))
-    short = low.filter(F.length("_low") < gram).withColumn("_piece", F.col("_low"))
-
-    bodies = texts.select(key, F.lower(body).alias("_text"))
-
-    def looked_up(pieces: Column, among: DataFrame) -> DataFrame:
-        there = bodies.select(key, F.explode(F.array_distinct(pieces)).alias("_p")) \
-            .select(key, F.xxhash64("_p").alias("_h"))
-        return there.join(among.withColumn("_h", F.xxhash64("_piece")), "_h").select(key, "_name", "_low")
-
-    t = F.col("_text")
-    small = F.concat(*[_pieces(t, n) for n in range(1, gram)])
-    candidates = looked_up(_pieces(t, gram), chosen).unionByName(looked_up(small, short)).distinct()
-    return candidates.join(bodies, key).filter(t.contains(F.col("_low"))) \
-        .select(key, F.col("_name").alias(name)).distinct()

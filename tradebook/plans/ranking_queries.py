@@ -141,7 +141,8 @@ def _(i):
 @query("name_mentions", f"""SELECT page_id, business_name FROM @pages_biz JOIN (SELECT DISTINCT business_name FROM {_NAMES} UNION SELECT DISTINCT lower(c_mktsegment)[1:4] FROM customer) n ON contains(lower(html), lower(business_name))""")
 def _(i):
     short = i.customer.select(F.substring(F.lower("c_mktsegment"), 1, 4).alias("business_name")).distinct()
-    return G.name_mentions(i.pages_biz, "page_id", "html", _names(i).select("business_name").unionByName(short))
+    from tradebook.operators.mentions import name_mentions
+    return name_mentions(i.pages_biz, "page_id", "html", _names(i).select("business_name").unionByName(short))
 
 
 # --- model hooks, membership, end-to-end ----------------------------------------------------
