@@ -90,6 +90,35 @@ def restore_snapshot(current: DataFrame, snapshot: DataFrame, key: str = "cache_
     return current.join(snapshot.select(key), key, "left_anti").unionByName(snapshot.select(*current.columns))
 
 
+def full_snapshot(table: DataFrame, at: int) -> DataFrame:
+    """All rows as the snapshot of time ``at``: the first link of a chain."""
+    return table.withColumns({"snapshot_at": F.lit(at).cast("bigint"), "deleted": F.lit(False)})
+
+
+def snapshot_increment(table: DataFrame, events: DataFrame, at: int, since: int, key: str = "cache_key") -> DataFrame:
+    """The snapshot of time ``at`` of the keys written or deleted after ``since``, up to ``at``.
+
+    A changed key that the table no longer holds leaves a tombstone (``deleted``), so a chain of increments
+    forgets it as well. Nothing changed: no rows.
+    """
+    keys = changed_keys(events.filter(F.col("t") <= at), since).withColumnRenamed("cache_key", key)
+    rows = full_snapshot(table, at).withColumn("_here", F.lit(True))
+    return keys.join(rows, key, "left").select(
+        *table.columns, F.lit(at).cast("bigint").alias("snapshot_at"), F.col("_here").isNull().alias("deleted"))
+
+
+def restore_chain(snapshots: DataFrame, at: int, key: str = "cache_key") -> DataFrame:
+    """The table at time ``at``: of every key the row of its last snapshot up to then, unless deleted.
+
+    ``snapshots`` holds a full snapshot and the increments after it, in any order; later ones than ``at`` are
+    not read where they are partitioned by ``snapshot_at``. Each task merges its own rows of a key first.
+    """
+    values = [c for c in snapshots.columns if c not in ("snapshot_at", "deleted")]
+    last = snapshots.filter(F.col("snapshot_at") <= at).groupBy(key).agg(
+        F.max_by(F.struct("deleted", *values), "snapshot_at").alias("_last"))
+    return last.filter(~F.col("_last.deleted")).select(*[F.col(f"_last.{c}").alias(c) for c in values])
+
+
 def changed_keys(events: DataFrame, since: int | Column | None = None) -> DataFrame:
     """Keys written or deleted after ``since``."""
     writes = events.filter(F.col("type").isin("SET", "DELETE") & F.col("cache_key").isNotNull())
@@ -99,7 +128,10 @@ def changed_keys(events: DataFrame, since: int | Column | None = None) -> DataFr
 
 
 def incremental_snapshot(table: DataFrame, events: DataFrame, since: int | Column | None = None) -> DataFrame:
-    """Rows of the changed keys; the whole table when nothing changed. Deleted keys are not in it."""
+    """Rows of the changed keys; the whole table when nothing changed.
+
+    Deleted keys are not in it: ``snapshot_increment`` keeps their tombstones.
+    """
     keys = changed_keys(events, since)
     n = keys.agg(F.count(F.lit(1)).alias("n")).scalar()
     flagged = table.join(keys.withColumn("_changed", F.lit(True)), "cache_key", "left")

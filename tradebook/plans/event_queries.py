@@ -354,6 +354,28 @@ def _(i):
     return K.incremental_snapshot(i.entries, i.op_events, F.lit(10**15))
 
 
+@query("restore_chain", """WITH times AS (SELECT unnest([max(t) // 3, 2 * max(t) // 3, max(t)]) AS at_t FROM @op_events),
+  writes AS (SELECT at_t, cache_key, t, latency_ms, type, row_number() OVER (PARTITION BY at_t, cache_key ORDER BY t DESC, event_id DESC) AS rn FROM times JOIN @op_events ON t <= at_t WHERE type IN ('SET', 'DELETE') AND cache_key IS NOT NULL)
+  SELECT cache_key, t, latency_ms, at_t FROM writes WHERE rn = 1 AND type = 'SET'""")
+def _(i):
+    """A full snapshot and two increments of the cache, restored at each of the three times."""
+    from tradebook.session import settle
+    end = i.op_events.agg(F.max("t")).collect()[0][0]
+    times = [end // 3, 2 * end // 3, end]
+
+    def cache(at):
+        writes = i.op_events.filter((F.col("t") <= at) & F.col("type").isin("SET", "DELETE") & F.col("cache_key").isNotNull())
+        last = writes.groupBy("cache_key").agg(F.max(F.struct("t", "event_id", "type", "latency_ms")).alias("w"))
+        return last.filter("w.type = 'SET'").select("cache_key", "w.t", "w.latency_ms")
+
+    chain = K.full_snapshot(cache(times[0]), times[0])
+    for since, at in zip(times, times[1:]):
+        chain = chain.unionByName(K.snapshot_increment(cache(at), i.op_events, at, since))
+    chain = settle(chain)
+    first, *more = [K.restore_chain(chain, at).withColumn("at_t", F.lit(at).cast("bigint")) for at in times]
+    return first.unionAll(more[0]).unionAll(more[1])
+
+
 @query("expire_ttl", "SELECT * FROM @entries WHERE ttl IS NULL OR 9950 < last_access + ttl")
 def _(i):
     return K.expire_ttl(i.entries, 9950)
