@@ -1,7 +1,10 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tradebook.sources import files, tables
+from tradebook.sources import files, json_check, tables
 
 
 def put(path, text):
@@ -50,11 +53,62 @@ def test_files_are_matched_by_name(spark, tmp_path):
     assert [(r["row_id"], r["business_name"], r["n"]) for r in names] == [(1, "A", "1"), (2, "B", "2"), (3, "C", "3"), (4, "D", "4")]
 
 
-def test_large_json_is_checked_by_token(spark, tmp_path):
-    put(tmp_path / "big.json", '{"a": "' + "x" * 17_000_000 + '"}')
-    put(tmp_path / "cut.json", '{"a": "' + "x" * 17_000_000)
-    got = {r["path"][-8:]: r["issue"] for r in files.check_json_files(spark, f"{tmp_path}/*.json").collect()}
-    assert got == {"big.json": None, "cut.json": "Invalid JSON"}
+def plain_root(text):
+    def no_constant(x):
+        return float(x)
+    try:
+        data = json.loads(text, parse_constant=no_constant)
+    except json.JSONDecodeError:
+        return None, 0
+    pairs = json.loads(text, object_pairs_hook=lambda p: ("members", len(p)))
+    if isinstance(data, dict):
+        return "{", pairs[1]
+    return ("[", len(data)) if isinstance(data, list) else ("v", 0)
+
+
+def random_json(rng, depth=0):
+    kind = rng.randrange(8 if depth < 4 else 4)
+    if kind < 4:
+        return rng.choice(['1', '-2.5e3', 'true', 'null', '"a,b"', '"x\\"y,"', '"\\u00e9 ,, é"', '""', 'NaN', '" [1,2} "'])
+    blank = rng.choice(["", " ", "\n"])
+    if kind < 6:
+        return "[" + ("," + blank).join(random_json(rng, depth + 1) for _ in range(rng.randrange(5))) + blank + "]"
+    return "{" + ",".join(f'"k{k},"{blank}:{random_json(rng, depth + 1)}' for k in range(rng.randrange(4))) + "}"
+
+
+def test_json_summaries_against_the_parser():
+    """Whole and damaged texts, cut into chunks at every comma."""
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = random_json(rng)
+        if rng.random() < 0.6:
+            at = rng.randrange(len(text) + 1)
+            text = text[:at] + rng.choice(["", ",", "]", "}", "{", "[", '"', ":", "1", "\\", "\t", "x", " 2"]) + text[at + rng.randrange(2):]
+        cuts, chunks = rng.random(), []
+        for k, piece in enumerate(text.split(",")):
+            if not k or rng.random() < cuts:
+                chunks.append(piece if not k else "," + piece)
+            else:
+                chunks[-1] += "," + piece
+        got = json_check.fold([json_check.reduce_chunk(c, inside) for inside in (False, True)] for c in chunks)
+        assert got == plain_root(text), (text, chunks)
+
+
+def test_json_files_of_many_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(json_check, "CHUNK_BYTES", 1000)
+    rows = ",".join('{"a": [1, 2, {"b": "x,y"}], "c": "%d"}' % k for k in range(2000))
+    texts = {"whole": f"[{rows}]", "cut": f"[{rows}", "trail": '{"a":1} trailing garbage', "comma": "[1,2],", "none": "", "deep": "[" * 400 + "]" * 400,
+             "open": '{"a": "' + "x," * 5000, "long": '{"a": "' + "x," * 5000 + '"}', "twice": "[1][2]", "mark": "\ufeff[1]", "late": f"[{rows}] x"}
+    for name, text in texts.items():
+        put(tmp_path / f"{name}.json", text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")           # files of several blocks
+    try:
+        got = {r["path"].rsplit("/", 1)[1][:-5]: (r["root"], r["items"]) for r in json_check.json_roots(spark, f"{tmp_path}/*.json").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {k for k, v in got.items() if v[0]} == {"whole", "deep", "long"}
+    assert got["whole"] == ("[", 2000) and got["long"] == ("{", 1) and got["deep"] == ("[", 1)
 
 
 def test_folder_must_be_shared_on_a_cluster(spark, monkeypatch):

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from tradebook.functions.base import blank, strip
 from tradebook.operators.quality import error_table
 from tradebook.operators.records import with_missing_columns
+from tradebook.sources.json_check import json_roots
 
-#: Bytes from which a JSON file is checked token by token.
-PARSE_LIMIT = 16_000_000
 LOG_SCHEMA = ("timestamp string, level string, name string, message string, "
               "metadata struct<function:string,execution_time:double,error:string>, exception string, _corrupt string")
 
@@ -101,18 +100,17 @@ def check_source_files(spark: SparkSession, path: str, kind: str, max_mb: float
 
 
 def check_json_files(spark: SparkSession, path: str, max_items: int = 1000) -> DataFrame:
-    """(path, issue) per JSON file: well-formed, an object or array at the root, not too many items."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    head = F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1)
-    n_list, n_keys = F.json_array_length("value"), F.array_size(F.json_object_keys("value"))
-    # parsing into a value has a size limit, walking through the tokens of a large file has none
-    large = F.octet_length("value") >= PARSE_LIMIT
-    broken = F.when(large, n_list.isNull() & n_keys.isNull()).otherwise(F.try_parse_json("value").isNull())
-    issue = F.when(broken, "Invalid JSON") \
-        .when(~head.isin("{", "["), "Root must be an object or array") \
-        .when((head == "{") & (n_keys > max_items), F.format_string("Too many items in object (%d)", n_keys)) \
-        .when((head == "[") & (n_list > max_items), F.format_string("Too many items in array (%d)", n_list))
-    return files.select("path", issue.alias("issue"))
+    """(path, issue) per JSON file: well-formed, an object or array at the root, not too many items.
+
+    Files of any size are read in pieces (``json_check``). Repeated keys of an object count each; NaN and
+    Infinity pass.
+    """
+    root, items = F.col("root"), F.col("items")
+    issue = F.when(root.isNull(), "Invalid JSON") \
+        .when(root == "v", "Root must be an object or array") \
+        .when((root == "{") & (items > max_items), F.format_string("Too many items in object (%d)", items)) \
+        .when((root == "[") & (items > max_items), F.format_string("Too many items in array (%d)", items))
+    return json_roots(spark, path).select("path", issue.alias("issue"))
 
 
 def check_csv_schema(spark: SparkSession, path: str) -> DataFrame:
