@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tradebook.llm import decontamination, jaccard_join, language_id, mixing, quality_rules
-from tradebook.session import settle
+from tradebook.session import scratch_tables, settle
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of ``docs``.
 STAGES = [
@@ -21,8 +21,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table."""
+    """All stages over the whole ``documents`` table; only the last stage's rows stay in the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
-    return docs
+    with scratch_tables(spark) as last:
+        for _, stage in STAGES:
+            with scratch_tables(spark) as keep:
+                docs = keep(settle(stage(spark, docs, sf_dir)))
+        return last(docs)
