@@ -1,5 +1,7 @@
+from pyspark.sql import functions as F
+
+from tradebook.operators import markup
 from tradebook.operators import pages as P
-from tradebook.operators.markup import parse, select
 
 HOME = '<html><body><a class=x href="/shop">s</a><a href="Contact-us.html?x=1&amp;y=2">Contact</a></body></html>'
 CONTACT = '<body><div class="contact-info box"><b>123 Main St,</b><br> Troy, NY 12180</div></body>'
@@ -55,14 +57,31 @@ def test_selectors(spark):
     assert directory == {0: "1 Elm St"}
 
 
-def test_selector_kinds():
-    root = parse('<ul id=u><li class="a b"><b>x</b></li><li data-k="vw">y</li></ul>')
+def test_selector_kinds(spark):
+    page = frame(spark, ("u", '<ul id=u><li class="a b"><b>x</b></li><li data-k="vw">y</li></ul>'))
+    parsed = markup.with_elements(page, F.lit(True), ["page_id"])
+
     def texts(s):
-        return [n.joined_text() for n in select(root, s)]
+        return parsed.select(F.transform(markup.selected(s), markup.joined_text)).first()[0]
     assert texts("ul > li.b") == ["x"] and texts("ul b") == ["x"] and texts("ul > b") == []
     assert texts("[data-k*='v']") == ["y"] and texts("#u li") == ["x", "y"] and texts("li[data-k]") == ["y"]
 
 
+def test_element_table(spark):
+    """Intervals, texts and links of damaged markup; pages that are not asked for stay as nulls."""
+    html = '<div a=1 a=2>t<p>u<br>v</div>w</p><script>no</script><b>  x\n y </b><a href="/z?q=1">l<li>m'
+    page = frame(spark, ("https://h.example/d/", html), ("v", None), ("w", ""))
+    rows = markup.with_elements(page, F.col("page_id") < 2, ["page_id"]).orderBy("page_id").collect()
+    nodes = {n["pre"]: n for n in rows[0]["nodes"]}
+    assert [(n["tag"], n["last"], n["up"]) for n in nodes.values()] \
+        == [("div", 2, -1), ("p", 2, 0), ("br", 2, 1), ("script", 3, -1), ("b", 4, -1), ("a", 6, -1), ("li", 6, 5)]
+    assert nodes[0]["attrs"] == {"a": "1"} and nodes[5]["link"] == "https://h.example/z?q=1"
+    assert (rows[1]["nodes"], rows[2]["nodes"]) == (None, None)
+    shown = markup.with_elements(page.filter("page_id = 0"), F.lit(True), ["page_id"]).select(
+        F.transform("nodes", markup.shown_text), F.transform("nodes", markup.joined_text)).first()
+    assert shown[0] == ["t\nu\nv", "u\nv", "", "no", "x y", "l\nm", "m"] and shown[1][0] == "tuv" and shown[1][4] == "x\n y"
+
+
 def test_class_patterns(spark):
     df = frame(spark, ("a", '<footer><address>1 St <i>NY</i></address></footer><div id="my-location">L</div>'))
     got = {(r["pattern"], r["text"]) for r in P.from_class_patterns(df).collect()}

@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import html as html_module
 import re
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
-from urllib.parse import urljoin
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tradebook import fixed
 from tradebook.functions.address import extract_address
-from tradebook.functions.base import blank, contains_any, let, text
+from tradebook.functions.base import blank, contains_any, let, strip, text, words
 from tradebook.functions.text import format_address
-from tradebook.operators.markup import has_class_rule, literals, parse, select
+from tradebook.operators.markup import (
+    attribute,
+    has_class_rule,
+    inside,
+    joined_text,
+    literals,
+    selected,
+    shown_text,
+    strings,
+    with_elements,
+)
 from tradebook.operators.mentions import with_mentions
 from tradebook.session import settle
 
@@ -149,33 +156,15 @@ def from_text(pages: DataFrame, names: DataFrame | None = None, word_boundary: b
     return found.filter(F.col("_m.f").isNotNull()).select("page_id", "_m.business_name", "_m.f.*").distinct()
 
 
-def _with_contact_links(pages: DataFrame) -> DataFrame:
-    """``pages`` with ``_links``: resolved links that look like contact pages, in document order.
+def _with_contact_links(pages: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """``keep`` with ``_links``: resolved links that look like contact pages, in document order.
 
-    Only pages that hold a telling word, or a coded character, are parsed; others have a null.
+    Only pages that hold a telling word, or a coded character, are parsed.
     """
-    wanted, names = re.compile(fixed.CONTACT_HREF), [*pages.columns, "_links"]
-
-    def resolved(base: str, href: str) -> str | None:
-        try:
-            return urljoin(base, href)
-        except ValueError:
-            return None
-
-    def links_of(url: str | None, html: str) -> list:
-        found = [resolved(url or "", n.attrs["href"]) for n in parse(html).walk() if n.tag == "a" and wanted.search(n.attrs.get("href", ""))]
-        return [x for x in found if x is not None]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
-            likely, urls, htmls = (batch.column(c) for c in ("_likely", "url", "html"))
-            links = [links_of(u.as_py(), h.as_py()) if ok.as_py() else None for ok, u, h in zip(likely, urls, htmls, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(links, pa.list_(pa.string()))], names)
-
     html = F.col("html")
-    likely = F.coalesce(html.rlike(fixed.CONTACT_HREF) | _coded_attribute(html), F.lit(False))
-    schema = T.StructType([*pages.schema.fields, T.StructField("_links", T.ArrayType(T.StringType()))])
-    return pages.withColumn("_likely", likely).mapInArrow(run, schema)
+    parsed = with_elements(pages, html.rlike(fixed.CONTACT_HREF) | _coded_attribute(html), keep, ["a"], texts=False)
+    links = F.filter("nodes", lambda n: attribute(n, "href").rlike(fixed.CONTACT_HREF) & n["link"].isNotNull())
+    return parsed.select(*keep, F.transform(links, lambda n: n["link"]).alias("_links"))
 
 
 def _listed(found: DataFrame) -> DataFrame:
@@ -184,7 +173,7 @@ def _listed(found: DataFrame) -> DataFrame:
 
 def contact_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, link): resolved links that look like contact pages, in document order."""
-    return _listed(_with_contact_links(pages.select("page_id", "url", "html")))
+    return _listed(_with_contact_links(pages, ["page_id"]))
 
 
 def _element_texts(pages: DataFrame) -> DataFrame:
@@ -192,19 +181,11 @@ def _element_texts(pages: DataFrame) -> DataFrame:
 
     Pages without a fitting class attribute keep their row but send no markup to Python.
     """
-    wanted = re.compile(fixed.CONTACT_CLASS)
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            texts = [[n.joined_text() for n in parse(h).walk() if n.tag in ("address", "div", "p")
-                      and any(wanted.search(c) for c in n.attrs.get("class", "").split())] if h else []
-                     for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "texts": texts})
-
     html = F.col("html")
     may = F.lower(html).contains("class") & html.rlike(fixed.CONTACT_CLASS) | _coded_attribute(html)
-    return pages.select("page_id", "url", F.when(may, html).alias("html")).mapInPandas(
-        run, "page_id bigint, url string, texts array<string>")
+    parsed = with_elements(pages, may, ["page_id", "url"], ["address", "div", "p"])
+    named = F.filter("nodes", lambda n: F.coalesce(F.exists(words(attribute(n, "class")), lambda c: c.rlike(fixed.CONTACT_CLASS)), F.lit(False)))
+    return parsed.select("page_id", "url", F.transform(named, joined_text).alias("texts"))
 
 
 def _coded_attribute(html: Column) -> Column:
@@ -270,7 +251,7 @@ def extract_cascade(pages: DataFrame, strategies: Sequence[Strategy] | None = No
     # the markup of pages that are settled is null from here on: neither read nor parsed any further
     open_ = pages.select("page_id", "url", "business_name", "html", early.alias("_early")) \
         .select("page_id", "url", "business_name", "_early", F.when(F.col("_early").isNull(), html).alias("html"))
-    read = settle(_with_contact_links(open_).select(
+    read = settle(_with_contact_links(open_, ["page_id", "business_name", "_early", "html"]).select(
         "page_id", "business_name", "_early", "_links",
         text_address(html, F.col("business_name"), word_boundary).alias("_late")))
     links = _listed(read)
@@ -304,26 +285,19 @@ def from_selectors(pages: DataFrame, selectors: Sequence[str] = tuple(fixed.REVI
     """First usable text of ordered selectors as a one-line address.
 
     Per matching element: its address attributes, its text when longer than five characters, then
-    the texts of the elements inside. Parsing yields the ordered raw candidates; the choice is
-    made by Column expressions.
+    the texts of the elements inside.
     """
-    def candidates(html: str) -> list[str]:
-        root, out = parse(html), []
-        for s in selectors:
-            for node in select(root, s):
-                out += [node.attrs[a] for a in attributes if node.attrs.get(a)]
-                shown = [node.shown_text()]
-                if nested:
-                    shown += [n.shown_text() for n in node.walk()]
-                out += [t for t in shown if len(t) > 5]
-        return out
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"page_id": pdf["page_id"], "texts": [candidates(h) for h in pdf["html"]]})
-
-    likely = pages.filter(_may_match(F.col("html"), selectors)).select("page_id", "html")
-    raw = likely.mapInPandas(run, "page_id bigint, texts array<string>")
+    def long(found: Column) -> Column:
+        return F.filter(found, lambda t: F.length(t) > 5)
+
+    def candidates(node: Column) -> Column:
+        given = F.filter(F.array(*[attribute(node, a) for a in attributes]).cast("array<string>"), lambda v: v != "")
+        shown = long(F.array(shown_text(node)))
+        return F.concat(given, shown, long(F.transform(inside(node), shown_text))) if nested else F.concat(given, shown)
+
+    parsed = with_elements(pages.filter(_may_match(F.col("html"), selectors)), F.lit(True), ["page_id"])
+    hits = parsed.select("page_id", "nodes", "pieces", F.concat(*[selected(s) for s in selectors]).alias("_hits"))
+    raw = hits.select("page_id", F.flatten(F.transform("_hits", candidates)).alias("texts"))
     first = F.try_element_at(F.filter(F.transform("texts", format_address), lambda a: a != ""), F.lit(1))
     return raw.filter(F.size("texts") > 0).select("page_id", first.alias("address")) \
         .filter(F.col("address").isNotNull())
@@ -331,24 +305,18 @@ def from_selectors(pages: DataFrame, selectors: Sequence[str] = tuple(fixed.REVI
 
 def from_class_patterns(pages: DataFrame) -> DataFrame:
     """(page_id, pattern, text): texts matched by the fixed address patterns, blank ones left out."""
-    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for pid, html in zip(pdf["page_id"], pdf["html"], strict=True):
-                nodes = list(parse(html).walk())
-                for k, rule in enumerate(fixed.ADDRESS_CLASS_PATTERNS):
-                    bits = [s.strip() for n in nodes if has_class_rule(n, rule) for s in n.strings()]
-                    line = " ".join(b for b in bits if b)
-                    if line:
-                        rows.append((pid, k, line))
-            yield pd.DataFrame(rows, columns=["page_id", "pattern", "text"])
+    def line(rule: tuple) -> Column:
+        hits = F.filter("nodes", lambda n: has_class_rule(n, rule))
+        bits = F.transform(F.flatten(F.transform(hits, strings)), strip)
+        return F.array_join(F.filter(bits, lambda b: b != ""), " ")
 
     low, may = F.lower("html"), _coded_attribute(F.col("html")) | F.lower("html").contains("<address")
     for rule in fixed.ADDRESS_CLASS_PATTERNS:
         if rule[3]:
             may = may | low.contains(rule[3].lower())
-    return pages.filter(may).select("page_id", "html").mapInPandas(
-        run, "page_id bigint, pattern int, text string")
+    parsed = with_elements(pages.filter(may), F.lit(True), ["page_id"])
+    lines = F.array(*[line(rule) for rule in fixed.ADDRESS_CLASS_PATTERNS])
+    return parsed.select("page_id", F.posexplode(lines).alias("pattern", "text")).filter("text <> ''")
 
 
 def _has_tag(html: Column, tag: str, pattern: str) -> Column:
