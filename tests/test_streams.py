@@ -59,33 +59,30 @@ def make(spark, n, seed, span, names, values):
                                  "event_id bigint, t bigint, a string, b string")
 
 
-# 0: files in order of time; 250: rows up to 250 of the 300 seconds late that the watermark allows
-LATE = pytest.mark.parametrize("late", [0, 250])
+#: Rows come up to 250 of the 300 seconds late that the watermark allows; the stream queries run in order.
+LATE = 250
 
 
-@LATE
-def test_rate_limits(spark, tmp_path, late):
+def test_rate_limits(spark, tmp_path):
     df = make(spark, 600, 1, 2000, ["hot", "hot", "d1"], ["scrape", "other"]).withColumnsRenamed({"a": "domain", "b": "rule"})
-    write_parts(spark, f"{tmp_path}/r", df, parts=6, late=late)
+    write_parts(spark, f"{tmp_path}/r", df, parts=6, late=LATE)
     out = flows.run_available(stateful.limit_rate_stream(stream(spark, f"{tmp_path}/r", df)))
     assert rows(out, "t") == rows(limits.limit_rate(df))
     out = flows.run_available(stateful.limit_sliding_stream(stream(spark, f"{tmp_path}/r", df), "domain", 5))
     assert rows(out, "t") == rows(limits.limit_sliding(df, "domain", 5))
 
 
-@LATE
-def test_lockouts(spark, tmp_path, late):
+def test_lockouts(spark, tmp_path):
     tries = make(spark, 500, 2, 9000, ["u1", "u2"], ["y", "n", "n", "n"]).select(
         "event_id", "t", F.col("a").alias("username"), (F.col("b") == "y").alias("success"))
-    write_parts(spark, f"{tmp_path}/l", tries, late=late)
+    write_parts(spark, f"{tmp_path}/l", tries, late=LATE)
     out = flows.run_available(stateful.lockouts_stream(stream(spark, f"{tmp_path}/l", tries)))
     assert rows(out, "t") == rows(limits.lockouts(tries))
 
 
-@LATE
-def test_alerts(spark, tmp_path, late):
+def test_alerts(spark, tmp_path):
     ev = make(spark, 600, 3, 4000, ["m1", "m2"], ["error", "info"]).withColumnsRenamed({"a": "message", "b": "severity"})
-    write_parts(spark, f"{tmp_path}/a", ev, late=late)
+    write_parts(spark, f"{tmp_path}/a", ev, late=LATE)
     out = flows.run_available(stateful.alerts_stream(stream(spark, f"{tmp_path}/a", ev)))
     assert rows(out, "t") == rows(limits.alerts_with_dedup(ev))
     out = flows.run_available(stateful.alerts_stream(stream(spark, f"{tmp_path}/a", ev), 3, 60, 200))
@@ -93,19 +90,17 @@ def test_alerts(spark, tmp_path, late):
     assert rows(out, "t") == expect and expect != rows(limits.alerts_with_dedup(ev, 3, 60))
 
 
-@LATE
-def test_patterns(spark, tmp_path, late):
+def test_patterns(spark, tmp_path):
     pt = make(spark, 600, 4, 4000, ["n1", "n2"], ["A", "B", "C"]).withColumnsRenamed({"a": "node_id", "b": "type"})
-    write_parts(spark, f"{tmp_path}/p", pt, late=late)
+    write_parts(spark, f"{tmp_path}/p", pt, late=LATE)
     out = flows.run_available(stateful.match_pattern_stream(stream(spark, f"{tmp_path}/p", pt), ["A", "B"], 20, "node_id"))
     assert rows(out, "start_t", "end_t") == rows(limits.match_pattern(pt, ["A", "B"], 20, "node_id"))
 
 
-@LATE
-def test_cooldowns(spark, tmp_path, late):
+def test_cooldowns(spark, tmp_path):
     raised = make(spark, 400, 8, 4000, ["r1", "r2", "r2"], ["w", "c"]).withColumnsRenamed({"a": "rule_name", "b": "severity"}) \
         .dropDuplicates(["rule_name", "t"]).withColumn("message", F.concat("rule_name", F.lit(" fired")))
-    write_parts(spark, f"{tmp_path}/c", raised, late=late)
+    write_parts(spark, f"{tmp_path}/c", raised, late=LATE)
     out = flows.run_available(stateful.cooldown_stream(stream(spark, f"{tmp_path}/c", raised), 100))
     assert rows(out.select("rule_name", "t"), "t") == rows(spaced(raised, ["rule_name"], "t", "event_id", 100).select("rule_name", "t"))
 
