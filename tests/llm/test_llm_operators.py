@@ -548,6 +548,22 @@ def test_articles_in_wrappers():
     assert text(f"<div hidden>{story}</div><aside>{story}</aside>") == ""
 
 
+def test_doubtful_names_are_left_to_the_host(spark):
+    """Only a part of a name sounds like chrome: the text stays, unless the host repeats it."""
+    names = ["share-prices", "social-history", "related-work", "menu-of-options", "hidden-gems", "widget-assembly", "banner-year"]
+    for n in names:
+        page = f"<article><h1>T</h1><section class='{n}'><p>Real article words here</p></section></article>"
+        assert html_text.text_of(page, set(), 0) == "T\nReal article words here"
+        assert html_text.text_of(f"<div class='{n}'><p>Plain words</p></div>", set(), 0) == "Plain words"
+    assert html_text.text_of("<article><p>Told</p><div class='x share'>Share</div><div id=sidebar><p>No</p></div></article>", set(), 0) == "Told"
+    rng = random.Random(15)
+    plea = sentence(rng, 12, 10 ** 6)
+    rows = [(k, f"http://h.example/{k}", f"<article><p>{sentence(rng, 30, 10 ** 6)}</p><div class='share-box'><p>{plea}</p></div>"
+             f"<div class='share-prices'><p>{sentence(rng, 20, 10 ** 6)}</p></div></article>") for k in range(4)]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == 4 and all(plea not in r.text and len(r.text.split()) == 50 for r in got)
+
+
 def test_suffix_ranks():
     import numpy as np
     words = np.array([3, 1, 2, 3, 1, 2, 9, 3, 1])

@@ -78,7 +78,8 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _kind(tag: str, attrs: dict[str, str], inside_main: bool) -> str | None:
-    """"chrome", "wrap" (chrome that may stand around a whole page), "main" or None for an element that changes nothing."""
+    """"chrome", "wrap" (chrome that may stand around a whole page), "main", "doubt" (only a part of a name sounds like
+    chrome: the host's runs decide) or None for an element that changes nothing."""
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
     parts = [p for n in names for before, p in pairwise(["", *filter(None, _NAME_PARTS.split(n))]) if before not in _NAME_MODIFIERS]
     if tag in _CHROME_TAGS - {"form"} or attrs.get("role", "").lower() in _CHROME_ROLES or "hidden" in attrs \
@@ -88,25 +89,28 @@ def _kind(tag: str, attrs: dict[str, str], inside_main: bool) -> str | None:
         return "wrap"
     if tag in ("body", "html", "article", "main") and not any(p.startswith("comment") for p in parts):
         return "main" if tag in ("article", "main") else None
-    if any(_CHROME_NAMES.fullmatch(p) for p in parts):
+    if any(_CHROME_NAMES.fullmatch(n) for n in names):
         return "wrap"
-    if not inside_main and (tag == "header" or any(p in _HEAD_NAMES for p in parts)):
+    if not inside_main and (tag == "header" or any(n in _HEAD_NAMES for n in names)):
         return "chrome"
     if attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "") == "articleBody" \
             or tag in ("div", "section", "td") and any(_MAIN_NAMES.fullmatch(n) for n in names):
         return "main"
-    return None
+    return "doubt" if any(_CHROME_NAMES.fullmatch(p) or p in _HEAD_NAMES for p in parts) else None
 
 
 def blocks_of(page: str) -> list[tuple[str, str]]:
     """(zone, text) of each block in page order; zones are main, chrome, open, wrapped (in forms and what is named like
-    chrome) and inner (an article or main element in such a wrapper)."""
+    chrome) and inner (an article or main element in such a wrapper), with a "?" inside an element of doubtful name."""
     out: list[tuple[str, str]] = []
     frames: list[list] = []            # elements that change the zone: [tag, kind, open elements of the same tag inside]
     held: list[str] = []
 
     def zone() -> str:
-        kinds = [f[1] for f in frames]
+        return certain() + ("?" if any(f[1] == "doubt" for f in frames) else "")
+
+    def certain() -> str:
+        kinds = [f[1] for f in frames if f[1] != "doubt"]
         if "chrome" in kinds:
             return "chrome"
         if "wrap" not in kinds:
@@ -114,7 +118,7 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
         if "main" in kinds[:kinds.index("wrap")]:
             return "chrome"
         last = len(kinds) - kinds[::-1].index("wrap")
-        if any(f[0] in ("article", "main") and f[1] == "main" for f in frames[last:]):
+        if any(f[0] in ("article", "main") and f[1] == "main" for f in [f for f in frames if f[1] != "doubt"][last:]):
             return "inner"
         return "wrapped" if "main" not in kinds[:last] else "chrome"
 
@@ -158,7 +162,7 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
                     break
             now = zone()
         elif tag not in _VOID:
-            kind = _kind(tag, _attributes(m["attrs"]), now in ("main", "inner"))
+            kind = _kind(tag, _attributes(m["attrs"]), now.rstrip("?") in ("main", "inner"))
             if kind:
                 flush()
                 frames.append([tag, kind, 0])
@@ -178,7 +182,7 @@ STREAMS = "host string, says bigint, stream string"
 
 
 def judged(page: str) -> list[tuple[str, str]]:
-    """(zone, text) of each block after the structure's check: main, open or chrome.
+    """(zone, text) of each block after the structure's check: main, main? (of doubtful name), open or chrome.
 
     Open blocks are chrome where there is an article. Without one, an article in a wrapper is the page's if
     it holds more than the open blocks; where all blocks are in wrappers, those are open.
@@ -186,10 +190,12 @@ def judged(page: str) -> list[tuple[str, str]]:
     blocks = blocks_of(page)
     size = Counter()
     for z, t in blocks:
-        size[z] += len(t)
+        size[z.rstrip("?")] += len(t)
     taken = {"main": "main"} if size["main"] else {"inner": "main"} if size["inner"] > size["open"] \
         else {"open": "open"} if size["open"] else {"wrapped": "open"}
-    return [(taken.get(z, "chrome"), t) for z, t in blocks]
+    judged_as = {z + mark: taken.get(z, "chrome") + (mark if taken.get(z) == "main" else "")
+                 for z in ("main", "inner", "open", "wrapped", "chrome") for mark in ("", "?")}
+    return [(judged_as[z], t) for z, t in blocks]
 
 
 def _stream(blocks: list[tuple[str, str]]) -> list[str]:
@@ -322,7 +328,8 @@ def text_of(page: str, runs: set[int], host_pages: int) -> str:
     """What the host's boilerplate runs leave of a page, checked by its structure.
 
     Chrome goes. An open block loses the words that runs cover. An article's block goes if runs cover it
-    whole and the host has ``ARTICLE_PAGES`` different pages; an article that would lose every block stays.
+    whole and the host has ``ARTICLE_PAGES`` different pages (``MIN_PAGES`` are enough for a block of doubtful
+    name); an article that would lose every block stays.
     """
     blocks = judged(page)
     stream = _stream(blocks)
@@ -336,9 +343,9 @@ def text_of(page: str, runs: set[int], host_pages: int) -> str:
         at += 1 + len(words)
         if zone == "open":
             kept.append(" ".join(left))
-        elif zone == "main":
+        elif zone != "chrome":
             article.append(block)
-            kept.append(block if left or host_pages < ARTICLE_PAGES else "")
+            kept.append(block if left or host_pages < (MIN_PAGES if zone == "main?" else ARTICLE_PAGES) else "")
     kept = [k for k in kept if k]
     return "\n".join(kept or article)
 
