@@ -37,10 +37,11 @@ def with_repeat_words(df: DataFrame, word_array: str, name: str) -> DataFrame:
     """Adds how many words lie in a three-word window found twice or more in the array.
 
     Every window becomes one long: its hash, with the lowest bits replaced by its position. Sorted,
-    equal windows are neighbours; the marked positions, back in text order, cover min(3, distance
-    to the next) words each. Linear space, n log n time. Two different windows meet with a chance of
-    2 to the power of bits(n) - 64 (for 20,000 words: 2^-49). The steps are columns of their own, so
-    that nothing is evaluated once for each element that needs evaluating once for each row.
+    equal windows are neighbours, so all repeated ones are found, and by chance a few others. The windows
+    found are then sorted as texts (words hold no blanks, so three of them with blanks between are one
+    window only), which leaves just the repeated ones: the count is exact at any length. Their positions, back in
+    text order, cover min(3, distance to the next) words each. Linear space, n log n time. The steps are
+    columns of their own, so that nothing is evaluated once for each element that needs evaluating once for each row.
     """
     w, bits, ordered = F.col(word_array), F.col("_st_bits"), F.col("_st_packed")
     n = F.size(w)
@@ -56,10 +57,15 @@ def with_repeat_words(df: DataFrame, word_array: str, name: str) -> DataFrame:
                 F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")))))) \
         .withColumn("_st_marked", F.filter(ordered, lambda x, k: equal(x, F.get(ordered, k + 1))
                                            | equal(x, F.get(ordered, k - 1)))) \
-        .withColumn("_st_at", F.sort_array(F.transform("_st_marked", lambda x: x.bitwiseAND(F.col("_st_mask"))))) \
+        .withColumn("_st_at", F.transform("_st_marked", lambda x: x.bitwiseAND(F.col("_st_mask")).cast("int"))) \
+        .withColumn("_st_texts", F.sort_array(F.transform("_st_at", lambda p: F.struct(F.concat_ws(
+            " ", F.get(w, p), F.get(w, p + 1), F.get(w, p + 2)).alias("t"), p.cast("long").alias("p"))))) \
+        .withColumn("_st_at", F.sort_array(F.transform(F.filter("_st_texts", lambda x, k: F.coalesce(
+            (x["t"] == F.get("_st_texts", k + 1)["t"]), F.lit(False)) | F.coalesce(
+            (x["t"] == F.get("_st_texts", k - 1)["t"]), F.lit(False))), lambda x: x["p"]))) \
         .withColumn(name, F.aggregate(F.transform("_st_at", lambda p, k: F.least(F.lit(3).cast("long"), F.coalesce(
             F.get("_st_at", k + 1) - p, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda acc, x: acc + x)) \
-        .drop("_st_bits", "_st_mask", "_st_packed", "_st_marked", "_st_at")
+        .drop("_st_bits", "_st_mask", "_st_packed", "_st_marked", "_st_texts", "_st_at")
 
 
 def with_counts(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
