@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradebook.operators import keyed, limits, nodes
+from tradebook.plans import scale
 
 RULES = {"default": (3, 10, 25), "tight": (1, 5, 0)}
 
@@ -136,3 +137,30 @@ def test_lookup_on_a_hot_key(spark):
         assert {r["event_id"]: r["hit"] for r in got.collect()} == expected
     again = keyed.cache_lookup(df.repartition(5, F.rand(3)), chunk_seconds=17)
     assert {r["event_id"]: r["hit"] for r in again.collect()} == expected
+
+
+def test_dense_hours_are_cut_by_rows(spark):
+    """Nearly all rows in one key and hour: pieces are bounded, results are those of one chunk."""
+    rnd = random.Random(21)
+    rows = [(k, rnd.randrange(3000), "hot" if rnd.random() < 0.95 else "cold", rnd.choice(["error", "healthy"]),
+             rnd.choice(["SET", "GET", "GET", "DELETE"]), rnd.choice([None, 5, 100])) for k in range(2000)]
+    rows += [(2000 + k, 100_000 + 7 * k, "hot", "healthy", "GET", None) for k in range(20)]
+    df = spark.createDataFrame(rows, "event_id bigint, t bigint, node_id string, status string, type string, ttl int") \
+        .withColumn("cache_key", F.col("node_id"))
+    cut = scale.with_row_chunks(df, ["node_id"], ["t", "event_id"], 3600, 100)
+    sizes = [r["count"] for r in cut.groupBy("node_id", scale.CHUNK).count().collect()]
+    assert sum(sizes) == 2020 and max(sizes) < 300 and len(sizes) > 12
+    spans = cut.groupBy("node_id", scale.CHUNK).agg(F.min(F.struct("t", "event_id")).alias("a"), F.max(F.struct("t", "event_id")).alias("z")).collect()
+    for node in ("hot", "cold"):
+        ends = [(tuple(r["a"]), tuple(r["z"])) for r in sorted(spans, key=lambda r: r[scale.CHUNK]) if r["node_id"] == node]
+        assert all(x[1] < y[0] for x, y in zip(ends, ends[1:]))
+
+    def same(run):
+        got, expect = ([sorted(map(str, run(**how).collect())) for how in ({"most_rows": 100}, {})])
+        assert got == expect and got
+
+    same(lambda **how: nodes.node_uptime(df, **how))
+    same(lambda **how: nodes.consecutive_errors(df, **how))
+    same(lambda **how: keyed.cache_lookup(df, **how))
+    for ordered, reuse in ((True, False), (False, True)):
+        same(lambda **how: limits.match_pattern(df, ["SET", "GET", "DELETE"], 4, None, ordered, None, reuse, **how))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tradebook import fixed
 from tradebook.functions.text import mask_token
-from tradebook.plans.scale import CHUNK, chunk_window, first_rows, running_total, with_chunk
+from tradebook.plans.scale import CHUNK, chunk_window, first_rows, running_total, with_row_chunks
 
 
 def active_tokens(df: DataFrame, now) -> DataFrame:
@@ -17,7 +17,7 @@ def active_tokens(df: DataFrame, now) -> DataFrame:
     return df.filter(F.col("expires_at") > F.lit(now)).withColumn("token", mask_token("token"))
 
 
-def cache_lookup(log: DataFrame, default_ttl: int = 3600, chunk_seconds: int = 3600) -> DataFrame:
+def cache_lookup(log: DataFrame, default_ttl: int = 3600, chunk_seconds: int = 3600, most_rows: int | None = None) -> DataFrame:
     """Hit or miss of every GET against the latest SET or DELETE of its key.
 
     ``log`` has event_id, t, type, cache_key and ttl; (t, event_id) orders it. A hit is a SET that
@@ -27,8 +27,8 @@ def cache_lookup(log: DataFrame, default_ttl: int = 3600, chunk_seconds: int = 3
     write = F.when(F.col("type").isin("SET", "DELETE"), F.struct(
         "t", "event_id", F.when(F.col("type") == "SET", F.col("t") + F.coalesce("ttl", F.lit(default_ttl)))
         .alias("expires_at")))
-    rows = with_chunk(log.filter(F.col("type").isin("SET", "DELETE", "GET")).select(
-        "event_id", "t", "type", "cache_key", write.alias("_w")), "t", chunk_seconds)
+    rows = with_row_chunks(log.filter(F.col("type").isin("SET", "DELETE", "GET")).select(
+        "event_id", "t", "type", "cache_key", write.alias("_w")), ["cache_key"], ["t", "event_id"], chunk_seconds, most_rows)
     last = rows.groupBy("cache_key", CHUNK).agg(F.max("_w").alias("_w"))
     before = Window.partitionBy("cache_key").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     handed = last.select("cache_key", CHUNK, F.max("_w").over(before).alias("_before"))
@@ -185,8 +185,8 @@ def evict_to_budget(entries: DataFrame, strategy: str, max_bytes: int, max_items
     Nothing is removed below both limits. Otherwise entries go in the strategy's order until the
     kept size is at most ``keep_share`` of ``max_bytes``; ``keep_share=None`` removes every entry.
     """
-    total = entries.agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b")).scalar()
-    items = entries.agg(F.count(F.lit(1)).alias("n")).scalar()
+    size = entries.agg(F.struct(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).alias("s")).scalar()
+    total, items = size["b"], size["n"]
     over = (total >= max_bytes) | (items >= max_items)
     summed = running_total(entries, _ORDERS[strategy](), F.col("size_bytes"), "_freed")
     if keep_share is None:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradebook.operators.keyed import with_rule
-from tradebook.plans.scale import CHUNK, first_rows, sorted_fold, sorted_groups, spaced, with_chunk, with_sessions
+from tradebook.plans.scale import CHUNK, first_rows, sorted_fold, sorted_groups, spaced, with_row_chunks, with_sessions
 
 # --- steps ----------------------------------------------------------------------------------
 
@@ -338,7 +338,7 @@ class _PatternChunk:
         return out
 
     def summary(self, base) -> str:
-        """``base`` is the chunk's first possible time: windows entering it began before."""
+        """``base`` is the chunk's first time: windows entering it began then or before."""
         runs: list[list] = []
         for at in range(len(self.t)):
             if at and self.t[at - 1] > base + self.within:
@@ -378,13 +378,13 @@ def _enter(state: dict, summary: dict, types: Sequence[str], within, ordered: bo
 
 def match_pattern(events: DataFrame, types: Sequence[str], within: int, by: str | None = None,
                   ordered: bool = True, metadata: Column | None = None, reuse_completing_event: bool = False,
-                  chunk_seconds: int = 3600) -> DataFrame:
+                  chunk_seconds: int = 3600, most_rows: int | None = None) -> DataFrame:
     """Non-overlapping occurrences of a composite pattern of event types.
 
     Events (event_id, t, type) are matched per ``by`` value (all together when None), skipping
     events that do not fit; ``metadata`` is a condition every event must meet. Matching depends on
-    everything before, yet no key has to pass through one task: keys are cut into time chunks,
-    each chunk is summarised on its own, the small summaries are followed along the key to find
+    everything before, yet no key has to pass through one task: keys are cut into time chunks, dense ones
+    by rows (``most_rows``), each chunk is summarised on its own, the small summaries are followed along the key to find
     the window every chunk is entered with, and then all chunks are matched at once.
     """
     types, reuse = list(types), reuse_completing_event
@@ -392,12 +392,12 @@ def match_pattern(events: DataFrame, types: Sequence[str], within: int, by: str
     if metadata is not None:
         fitting = fitting.filter(metadata)
     key = by or "_all"
-    rows = with_chunk(fitting.select((F.col(by) if by else F.lit("all")).alias(key), "t", "event_id", "type"),
-                      "t", chunk_seconds)
+    rows = with_row_chunks(fitting.select((F.col(by) if by else F.lit("all")).alias(key), "t", "event_id", "type"),
+                           [key], ["t", "event_id"], chunk_seconds, most_rows)
 
-    def summarise(group: tuple, columns: list) -> tuple[str]:
+    def summarise(_group: tuple, columns: list) -> tuple[str]:
         chunk = _PatternChunk(*columns, types, within, ordered, reuse)
-        return (chunk.summary(group[1] * chunk_seconds),)
+        return (chunk.summary(columns[0][0]),)
 
     summaries = sorted_groups(rows, [key, CHUNK], ["t", "event_id"], ["t", "event_id", "type"], summarise, "summary string")
 

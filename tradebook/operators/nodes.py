@@ -9,22 +9,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradebook import fixed
-from tradebook.plans.scale import CHUNK, chunk_window, spaced, with_chunk
+from tradebook.plans.scale import CHUNK, chunk_window, spaced, with_row_chunks
 
 _KEYS = ["node_id"]
 _ORDER = ["t", "event_id"]
 
 
-def node_uptime(status: DataFrame, chunk_seconds: int = 3600, limit: int = 300) -> DataFrame:
+def node_uptime(status: DataFrame, chunk_seconds: int = 3600, limit: int = 300, most_rows: int | None = None) -> DataFrame:
     """Running up- and downtime per node and check.
 
     The time since the node's previous check counts as uptime when the current status is healthy,
     else as downtime. ``down_alert`` marks an unhealthy check with more than ``limit`` seconds of
-    downtime. Nodes are few and logs long, so every node is cut into time chunks that hand over
-    their last check and their totals.
+    downtime. Nodes are few and logs long, so every node is cut into time chunks (of ``most_rows`` rows at
+    most, or about) that hand over their last check and their totals.
     """
     local = chunk_window(_KEYS, _ORDER)
-    rows = with_chunk(status, "t", chunk_seconds).withColumn("_lag", F.col("t") - F.lag("t").over(local))
+    rows = with_row_chunks(status, _KEYS, _ORDER, chunk_seconds, most_rows).withColumn("_lag", F.col("t") - F.lag("t").over(local))
     healthy = F.col("status") == "healthy"
     first = F.struct("t", "event_id", "status")
     sums = rows.groupBy(*_KEYS, CHUNK).agg(
@@ -51,7 +51,7 @@ def node_uptime(status: DataFrame, chunk_seconds: int = 3600, limit: int = 300)
         (~healthy & (F.col("downtime") > limit)).alias("down_alert"))
 
 
-def consecutive_errors(status: DataFrame, n: int = 3, chunk_seconds: int = 3600) -> DataFrame:
+def consecutive_errors(status: DataFrame, n: int = 3, chunk_seconds: int = 3600, most_rows: int | None = None) -> DataFrame:
     """Error streak per node and check, whether it calls for recovery, and recoveries.
 
     ``needs_recovery`` marks streaks of ``n`` and more; ``recovered`` marks a non-error right
@@ -60,7 +60,7 @@ def consecutive_errors(status: DataFrame, n: int = 3, chunk_seconds: int = 3600)
     bad = F.col("status") == "error"
     local = chunk_window(_KEYS, _ORDER)
     running = local.rowsBetween(Window.unboundedPreceding, 0)
-    rows = with_chunk(status, "t", chunk_seconds).withColumn("_n", F.row_number().over(local)) \
+    rows = with_row_chunks(status, _KEYS, _ORDER, chunk_seconds, most_rows).withColumn("_n", F.row_number().over(local)) \
         .withColumn("_reset", F.max(F.when(~bad, F.col("_n"))).over(running))
     sums = rows.groupBy(*_KEYS, CHUNK).agg(
         F.max("_n").alias("_rows"), F.max("_reset").alias("_last_reset"))

@@ -12,6 +12,7 @@ from tradebook.functions.address import normalize_state, parse_state_zip
 from tradebook.functions.base import blank, strip, text
 from tradebook.functions.text import business_key, record_label, url_domain
 from tradebook.plans.scale import first_rows
+from tradebook.session import settle
 
 
 def with_missing_columns(df: DataFrame, columns: Sequence[str] = tuple(fixed.BUSINESS_COLUMNS)) -> DataFrame:
@@ -102,8 +103,8 @@ def mark_duplicates(df: DataFrame, col: str, order: str = "id") -> DataFrame:
 
 
 def duplicate_summary(df: DataFrame, col: str, order: str = "id") -> DataFrame:
-    """The repeated rows of a column (after the first) beside their total number."""
-    repeated = mark_duplicates(df, col, order).filter("is_duplicate").select(order, col)
+    """The repeated rows of a column (after the first), written once, beside their total number."""
+    repeated = settle(mark_duplicates(df, col, order).filter("is_duplicate").select(order, col))
     total = repeated.agg(F.count(F.lit(1)).alias("n"))
     return repeated.withColumn("total_duplicates", total.scalar())
 

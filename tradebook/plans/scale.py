@@ -17,12 +17,44 @@ from pyspark.sql import types as T
 from tradebook.session import settle
 
 CHUNK = "_chunk"
+#: Chunks of more rows than this are cut by rows.
+DENSE_ROWS = 1_000_000
+#: Bytes that a row takes at least: smaller inputs, by Spark's own estimate, are not searched for dense chunks.
+LEAST_ROW_BYTES = 4
+#: Pieces of one time chunk, at most.
+_PIECES = 1 << 20
 
 
 def with_chunk(df: DataFrame, t: str, chunk_seconds: int) -> DataFrame:
     return df.withColumn(CHUNK, F.floor(F.col(t) / F.lit(chunk_seconds)))
 
 
+def with_row_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_seconds: int,
+                    most_rows: int | None = None) -> DataFrame:
+    """Time chunks, of which those with more than ``most_rows`` rows of a key are cut by rows as well.
+
+    ``order`` begins with the time. Only the rows of dense chunks are range-partitioned in order and written once;
+    the partition is the piece. Chunk numbers still grow along each key.
+    """
+    most = DENSE_ROWS if most_rows is None else most_rows
+    cut = with_chunk(df, order[0], chunk_seconds)
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if estimate < most * LEAST_ROW_BYTES:
+        return cut
+    counted = settle(cut.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > most))
+    total = counted.agg(F.sum("_rows")).collect()[0][0]
+    if not total:
+        return cut
+    marked = [F.col(k).eqNullSafe(F.col("_d_" + k)) for k in (*keys, CHUNK)]
+    dense = counted.select(*[F.col(k).alias("_d_" + k) for k in (*keys, CHUNK)])
+    # no more dense chunks than rows / most_rows
+    pieces = 2 * -(-total // most)
+    ranged = settle(cut.join(dense, marked, "left_semi").repartitionByRange(pieces, *keys, CHUNK, *order)
+                    .withColumn("_piece", F.spark_partition_id()))
+    return cut.join(dense, marked, "left_anti").withColumn("_piece", F.lit(0)).unionByName(ranged) \
+        .withColumn(CHUNK, F.col(CHUNK) * _PIECES + F.col("_piece")).drop("_piece")
+
+
 def chunk_window(keys: Sequence[str], order: Sequence[str]) -> Window:
     return Window.partitionBy(*keys, CHUNK).orderBy(*order)
 
