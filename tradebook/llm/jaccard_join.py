@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradebook.llm.common import only_ids, query, small_batches, table, without_ids
+from tradebook.llm.common import BROADCAST_IDS, only_ids, query, small_batches, table, without_ids
 from tradebook.session import scratch_tables, settle
 
 WORDS = 5
@@ -351,6 +351,11 @@ def tests(pairs: DataFrame, documents: DataFrame, described: DataFrame, leaders:
     return settle(apart.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("near").alias("near")))
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A table of pairs of ids, broadcast where its counted rows allow."""
+    return F.broadcast(df) if rows <= BROADCAST_IDS else df
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex: the smallest id it is linked with over any number of edges.
 
@@ -358,22 +363,39 @@ def components(edges: DataFrame) -> DataFrame:
     the rounds grow with the logarithm of a component's diameter. Rounds are written tables.
     """
     both = settle(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    if both.isEmpty():
+    n = both.count()
+    if not n:
         return both.select(F.col("a").alias("id"), F.col("b").alias("component"))
     labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
     while True:
-        seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")) \
+        seen = both.join(_small(labels.withColumnRenamed("id", "b"), n), "b").groupBy(F.col("a").alias("id")) \
             .agg(F.min("component").alias("near"))
-        nearer = labels.join(seen, "id").select("id", F.col("component").alias("old"),
-                                                F.least("component", "near").alias("component"))
+        nearer = seen.join(_small(labels, n), "id").select("id", F.col("component").alias("old"),
+                                                           F.least("component", "near").alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        stepped = settle(nearer.join(jump, "component", "left").select(
+        stepped = settle(nearer.join(_small(jump, n), "component", "left").select(
             "id", "old", F.least("component", F.coalesce("further", "component")).alias("component")))
         labels = stepped.select("id", "component")
         if stepped.filter("component < old").isEmpty():
             return labels
 
 
+def extended(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels after more edges: only the components that these join are worked on. Written."""
+    n = labels.count()
+    if not n:
+        return components(edges)
+    ends = edges.select("a", "b")
+    for v in ("a", "b"):
+        known = labels.select(F.col("id").alias(v), F.col("component").alias("_c"))
+        ends = ends.join(_small(known, n), v, "left").withColumn(v, F.coalesce("_c", v)).drop("_c")
+    joined = components(ends.filter("a <> b").distinct())
+    m = joined.count()
+    to = joined.select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    moved = labels.join(_small(to, m), "component", "left").select("id", F.coalesce("_to", "component").alias("component"))
+    return settle(moved.unionAll(joined.join(_small(labels.select("id"), n), "id", "left_anti").select("id", "component")))
+
+
 def star(members: DataFrame, several: DataFrame | None) -> DataFrame:
     """(id, pivot) for each member of a large region and the region's pivot document.
 
@@ -483,15 +505,14 @@ class _Join:
     """What is known while regions are joined: tested pairs, links and components."""
 
     def __init__(self, documents: DataFrame, described: DataFrame, edges: DataFrame):
-        self.documents, self.described, self.edges = documents, described, edges
+        self.documents, self.described = documents, described
         self.tested, self.labels = None, components(edges)
 
     def test(self, pairs: DataFrame, leaders: DataFrame | None = None) -> None:
         found = tests(pairs, self.documents, self.described, leaders)
         self.tested = found if self.tested is None else self.tested.unionAll(found)
         if not found.filter("near").isEmpty():
-            self.edges = self.edges.unionAll(found.filter("near").select("a", "b"))
-            self.labels = components(self.edges)
+            self.labels = extended(self.labels, found.filter("near"))
 
     def rounds(self, rows: Callable[[], DataFrame], found: Callable[[DataFrame, int | None], DataFrame],
                leaders: DataFrame | None = None) -> None:
@@ -519,6 +540,10 @@ def _join_leaders(join: _Join, members: DataFrame, points: DataFrame, leaders: D
         return _several_components(_labelled(led, join.labels), ["s"])
 
     def found(rest: DataFrame, quota: int | None) -> DataFrame:
+        if quota is not None:
+            # near copies share many regions: at first each leader looks around in its largest one only
+            most = rest.groupBy("id").agg(F.max(F.struct("m", "s"))["s"].alias("s"))
+            rest = _several_components(rest.select("s", "id", "component").join(most, ["id", "s"]), ["s"])
         few = rest.filter(F.col("m") <= SMALL_REGION)
         x, y = (few.select("s", F.col("id").alias(v), F.col("component").alias("c" + v)) for v in ("a", "b"))
         pairs = x.join(y, "s").filter("a < b and ca <> cb").select("a", "b")        # at most SMALL_REGION rows a key
