@@ -328,10 +328,10 @@ def test_pairs_of_like_members_stay_few(spark):
     sketch = jaccard_join._sketch(jaccard_join.shingles(sentence(random.Random(1), 60, 10 ** 6).encode()))
     for m in (100, 400):
         rows = spark.range(m).select(
-            F.lit(1).cast("bigint").alias("g"), F.lit(0).cast("bigint").alias("h"), "id", F.lit(56).alias("n"), F.lit(56).alias("lo"),
+            F.lit(1).cast("bigint").alias("g"), "id", F.lit(56).alias("n"), F.lit(56).alias("lo"),
             F.lit(56).alias("hi"), F.lit(0).alias("slack"), F.lit(0).alias("r"), F.lit(0).alias("apart"),
-            F.col("id").alias("component"), F.lit(m).alias("m"), F.lit(sketch).alias("sketch"))
-        assert jaccard_join._crossed(rows, 1).count() < m
+            F.lit(-1).alias("side"), F.col("id").alias("component"), F.lit(m).alias("m"), F.lit(sketch).alias("sketch"))
+        assert jaccard_join._crossed(rows, True).count() < m
 
 
 def test_near_duplicate_stage(spark):

@@ -22,7 +22,7 @@ not listed pair by pair: the result is the connected component of each document.
    close by, but not linked, are the last regions: their members far enough out to reach the other side are
    compared. Compared are only members of different components, the nearest pairs first: what they
    link need not be compared any further. Members travel in bounded blocks.
-5. **Bounds from hash pivots.** The shingle universe is cut into parts by hash, about |A| / 8 of them. The
+5. **Bounds from hash pivots.** The shingle universe is cut into parts by hash, about |A| of them. The
    numbers of a set's shingles in them form a sketch, and the sum of their differences never exceeds
    |A sd B|: a contraction, so a pair beyond (|A| + |B|) / 9 cannot link. Unrelated sets of any size
    lie far beyond. Sketches of different length are compared in the shorter one's parts. Pairs that pass
@@ -53,7 +53,9 @@ from tradebook.session import scratch_tables, settle
 
 WORDS = 5
 #: Parts of a sketch, as powers of two: at least, at most.
-LEAST_PARTS, MOST_PARTS = 4, 13
+LEAST_PARTS, MOST_PARTS = 6, 11
+#: Parts put together for a first, quick look.
+COARSE = 8
 #: Shingles that are put last in the order, at most (8 bytes each are broadcast).
 HOT_SHINGLES = 1 << 17
 #: A shingle is called frequent inside a task from so many documents of one chunk on.
@@ -62,8 +64,8 @@ HOT_IN_CHUNK = 4
 SMALL_REGION = 8
 #: Members of a block in the second join of large regions.
 BLOCK = 2048
-#: How many of the nearest members of other components a member is held against, round by round; the last takes all.
-QUOTAS = (1, 8, None)
+#: Rounds of nearest pairs go on while at least this share of the tested pairs link; then all pairs are tested.
+WORTH = 0.05
 #: Shingles worked on at a time.
 CHUNK = 1 << 20
 
@@ -158,21 +160,22 @@ def frequent_shingles(documents: DataFrame) -> np.ndarray:
 
 
 def parts_of(n: np.ndarray | int) -> np.ndarray | int:
-    """How many parts the sketch of a set of n shingles has: about n / 8, a power of two."""
-    return 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 8)).astype(np.int64), LEAST_PARTS, MOST_PARTS)
+    """How many parts the sketch of a set of n shingles has: about n, a power of two."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST_PARTS, MOST_PARTS)
 
 
 def _sketch(h: np.ndarray) -> bytes:
     bits = int(parts_of(len(h))).bit_length() - 1
     counts = np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return np.minimum(counts, 65535).astype("<u2").tobytes()
+    # capped counts differ by less, so the bound still holds
+    return np.minimum(counts, 255).astype("u1").tobytes()
 
 
 def _folded(sketches: list[bytes], parts: int) -> np.ndarray:
     """Sketches of ``parts`` parts or more as rows of ``parts`` sums."""
     out = np.empty((len(sketches), parts), np.int32)
     for k, sk in enumerate(sketches):
-        out[k] = np.frombuffer(sk, "<u2").reshape(parts, -1).sum(axis=1)
+        out[k] = np.frombuffer(sk, "u1").reshape(parts, -1).sum(axis=1, dtype=np.int32)
     return out
 
 
@@ -427,50 +430,56 @@ def leading(stars: DataFrame, tested: DataFrame, several: DataFrame | None) -> D
     return best.select("id", (-F.col("m.back")).alias("leader"), F.col("m.d").alias("r"))
 
 
-def _cross(quota: int | None):
+def _cross(nearest: bool):
     """Pairs of different components that distances and sketches do not rule out, block by block.
 
-    Rows come sorted by (g, h, u, v): at most two blocks of members at a time. A member stands for texts of
-    ``lo`` to ``hi`` shingles up to ``slack`` away from it; it is itself ``r`` away from its leader, and the
-    leaders of the two sides are ``apart``. With a quota, each member names the nearest ``quota`` others.
+    Rows come sorted by (g, u, v): at most two blocks of members at a time. A member stands for texts of
+    ``lo`` to ``hi`` shingles up to ``slack`` away from it; it is itself ``r`` away from its leader. Where a group
+    has sides, only members of different sides are held against each other, whose leaders are ``apart``. With ``nearest`` each component names only the pair that leads out
+    of it on the shortest way, so a round gives no more pairs than components.
     """
     def pairs(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
-        same = key[2] == key[3]
+        same = key[1] == key[2]
         rows.sort(key=lambda r: (r[1], r[0]))
-        ids, n, lo, hi, slack, r, apart, comp, block = (np.array([row[k] for row in rows], np.int64) for k in range(9))
+        ids, n, lo, hi, slack, r, apart, side, comp, block = (np.array([row[k] for row in rows], np.int64) for k in range(10))
         parts = parts_of(n)                                     # grows with n, so later rows fold to earlier ones'
-        a, b, level, folded, first = [], [], 0, None, 0
+        found, level, fine, coarse, first = [], 0, None, None, 0
         for k in range(len(ids) - 1):
             if parts[k] != level:
                 level, first = int(parts[k]), k
-                # own sizes of this level are 8 * level at most; two leaders and two members lie (5 / 4) ** 3 apart at most
-                last = len(ids) if level == 1 << MOST_PARTS else int(np.searchsorted(n, 16 * level, side="right"))
-                folded = _folded([row[9] for row in rows[k:last]], level)
-            later = slice(k + 1, first + len(folded))
-            sum_of = hi[later] + hi[k]
+                # own sizes of this level are ``level`` at most; two leaders and two members lie (5 / 4) ** 3 apart at most
+                last = len(ids) if level == 1 << MOST_PARTS else int(np.searchsorted(n, 2 * level, side="right"))
+                fine = _folded([row[10] for row in rows[k:last]], level).astype(np.int16)
+                coarse = fine.reshape(len(fine), -1, COARSE).sum(axis=2, dtype=np.int16)
+            later = slice(k + 1, first + len(fine))
             other = np.flatnonzero((comp[later] != comp[k]) & (same | (block[later] != block[k]))
                                    & (4 * lo[later] <= 5 * hi[k]) & (4 * lo[k] <= 5 * hi[later])
-                                   & (9 * (apart[k] - r[later] - r[k]) <= sum_of)) + k + 1
-            if not len(other):
-                continue
-            way = np.abs(folded[other - first] - folded[k - first]).sum(axis=1)
-            near = 9 * (way - slack[other] - slack[k]) <= hi[other] + hi[k]
-            other, way = other[near], way[near]
-            if quota is not None and len(other) > quota:
-                other = other[np.lexsort((ids[other], way))[:quota]]
-            a.append(np.minimum(ids[other], ids[k]))
-            b.append(np.maximum(ids[other], ids[k]))
+                                   & ((side[later] != side[k]) | (side[k] < 0))
+                                   & (9 * (np.maximum(apart[k], apart[later]) - r[later] - r[k]) <= hi[later] + hi[k])) + k + 1
+            for sketch in (coarse, fine):
+                if len(other):
+                    way = np.abs(sketch[other - first] - sketch[k - first]).sum(axis=1, dtype=np.int64)
+                    near = 9 * (way - slack[other] - slack[k]) <= hi[other] + hi[k]
+                    other, way = other[near], way[near]
+            if len(other):
+                found.append(np.stack((np.full(len(other), k), other, way)))
+        x, y, way = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+        if nearest and len(x):
+            owner, pair = np.concatenate((comp[x], comp[y])), np.tile(np.arange(len(x)), 2)
+            order = np.lexsort((ids[y][pair], ids[x][pair], way[pair], owner))
+            pair = np.unique(pair[order][np.unique(owner[order], return_index=True)[1]])
+            x, y = x[pair], y[pair]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], ["a", "b"])
+            [pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], ["a", "b"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for g, h, u, v, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (g, h, u, v) != key:
+            for g, u, v, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (g, u, v) != key:
                     if len(held) > 1:
                         yield pairs(key, held)
-                    key, held = (g, h, u, v), []
+                    key, held = (g, u, v), []
                 held.append(tuple(row))
         if len(held) > 1:
             yield pairs(key, held)
@@ -478,15 +487,15 @@ def _cross(quota: int | None):
     return run
 
 
-def _crossed(rows: DataFrame, quota: int | None) -> DataFrame:
-    """Pairs out of the groups (g, h) of ``rows``, each of ``m`` members, dealt into bounded blocks."""
+def _crossed(rows: DataFrame, nearest: bool) -> DataFrame:
+    """Pairs out of the groups ``g`` of ``rows``, each of ``m`` members, dealt into bounded blocks."""
     dealt = rows.withColumn("blocks", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")) \
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("g", "h", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"),
-                "id", "n", "lo", "hi", "slack", "r", "apart", "component", "block", "sketch")
-    return dealt.repartition("g", "h", "u", "v").sortWithinPartitions("g", "h", "u", "v") \
-        .mapInArrow(_cross(quota), "a bigint, b bigint")
+        .select("g", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"),
+                "id", "n", "lo", "hi", "slack", "r", "apart", "side", "component", "block", "sketch")
+    return dealt.repartition("g", "u", "v").sortWithinPartitions("g", "u", "v") \
+        .mapInArrow(_cross(nearest), "a bigint, b bigint")
 
 
 def _several_components(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -508,25 +517,32 @@ class _Join:
         self.documents, self.described = documents, described
         self.tested, self.labels = None, components(edges)
 
-    def test(self, pairs: DataFrame, leaders: DataFrame | None = None) -> None:
+    def test(self, pairs: DataFrame, leaders: DataFrame | None = None) -> bool:
+        """Test pairs; whether enough of them link to look for the nearest ones again."""
         found = tests(pairs, self.documents, self.described, leaders)
         self.tested = found if self.tested is None else self.tested.unionAll(found)
-        if not found.filter("near").isEmpty():
+        near = found.filter("near").count()
+        if near:
             self.labels = extended(self.labels, found.filter("near"))
+        return near > 0 and near >= WORTH * found.count()
 
-    def rounds(self, rows: Callable[[], DataFrame], found: Callable[[DataFrame, int | None], DataFrame],
+    def rounds(self, rows: Callable[[], DataFrame], found: Callable[[DataFrame, bool], DataFrame],
                leaders: DataFrame | None = None) -> None:
-        """Test the pairs that ``found`` names among ``rows``, the nearest first, until all are known or linked."""
-        tried = None
-        for quota in QUOTAS:
+        """Test the pairs that ``found`` names among ``rows``: the nearest while many link, then all."""
+        tried, nearest = None, True
+        while True:
             rest = settle(rows())
             if rest.isEmpty():
                 return
-            more = found(rest, quota).distinct().join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
+            more = found(rest, nearest).distinct().join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
             more = settle(more if tried is None else more.join(tried, ["a", "b"], "left_anti"))
+            again = False
             if not more.isEmpty():
                 tried = more if tried is None else tried.unionAll(more)
-                self.test(more, leaders)
+                again = self.test(more, leaders)
+            if not nearest:
+                return
+            nearest = again
 
 
 def _join_leaders(join: _Join, members: DataFrame, points: DataFrame, leaders: DataFrame) -> None:
@@ -539,8 +555,8 @@ def _join_leaders(join: _Join, members: DataFrame, points: DataFrame, leaders: D
     def rows() -> DataFrame:
         return _several_components(_labelled(led, join.labels), ["s"])
 
-    def found(rest: DataFrame, quota: int | None) -> DataFrame:
-        if quota is not None:
+    def found(rest: DataFrame, nearest: bool) -> DataFrame:
+        if nearest:
             # near copies share many regions: at first each leader looks around in its largest one only
             most = rest.groupBy("id").agg(F.max(F.struct("m", "s"))["s"].alias("s"))
             rest = _several_components(rest.select("s", "id", "component").join(most, ["id", "s"]), ["s"])
@@ -548,34 +564,46 @@ def _join_leaders(join: _Join, members: DataFrame, points: DataFrame, leaders: D
         x, y = (few.select("s", F.col("id").alias(v), F.col("component").alias("c" + v)) for v in ("a", "b"))
         pairs = x.join(y, "s").filter("a < b and ca <> cb").select("a", "b")        # at most SMALL_REGION rows a key
         many = rest.filter(F.col("m") > SMALL_REGION).join(wide, "id").select(
-            F.col("s").alias("g"), F.lit(0).cast("bigint").alias("h"), "*", F.lit(0).alias("r"), F.lit(0).alias("apart"))
-        return pairs.unionAll(_crossed(many, quota))
+            F.col("s").alias("g"), "*", F.lit(0).alias("r"), F.lit(0).alias("apart"), F.lit(-1).alias("side"))
+        return pairs.unionAll(_crossed(many, nearest))
 
     join.rounds(rows, found, reach)
 
 
 def _join_followers(join: _Join, points: DataFrame, leaders: DataFrame) -> None:
-    """Test members of leaders that do not link but lie near enough for members to."""
-    reach = leaders.groupBy("leader").agg(F.max("r").alias("r"), F.max("n").alias("hi"))
-    x, y = (reach.select(F.col("leader").alias(v), F.col("r").alias("r" + v), F.col("hi").alias("h" + v)) for v in ("a", "b"))
+    """Test members of leaders that do not link but lie near enough for members to.
+
+    Of two such leaders the one with more members is the hub. Its members come once, and those of all leaders near
+    it are held against them.
+    """
+    reach = leaders.groupBy("leader").agg(F.count("*").alias("c"), F.max("r").alias("r"), F.max("n").alias("h"))
+    x, y = (reach.select(F.col("leader").alias(v), *[F.col(c).alias(c + v) for c in ("c", "r", "h")]) for v in ("a", "b"))
     close = join.tested.filter("not near").groupBy("a", "b").agg(F.min("d").alias("d")).join(x, "a").join(y, "b") \
         .filter("ra + rb > 0 and 9 * (d - ra - rb) <= ha + hb")
-    close = _labelled(_labelled(close, join.labels, "a").withColumnRenamed("component", "ca"), join.labels, "b") \
-        .filter("ca <> component").drop("ca", "component")
-    close = settle(close)
+    close = _labelled(_labelled(close, join.labels, "a").withColumnRenamed("component", "_first"), join.labels, "b") \
+        .filter("_first <> component")
+
+    def one(first: str, second: str) -> list:
+        return [F.when(F.col("ca") >= F.col("cb"), F.col(p + first)).otherwise(F.col(p + second)) for p in ("", "r", "h")]
+
+    (hub, hub_r, hub_h), (other, other_r, other_h) = one("a", "b"), one("b", "a")
+    close = settle(close.select(hub.alias("g"), other.alias("leader"), "d", hub_r.alias("hub_r"), hub_h.alias("hub_h"),
+                                other_r.alias("other_r"), other_h.alias("other_h")))
     if close.isEmpty():
         return
-    own = leaders.select("id", "leader", "r")
-    sides = close.select(F.col("a").alias("leader"), F.col("a").alias("g"), F.col("b").alias("h"), "d", F.col("rb").alias("_r"), F.col("hb").alias("_h")) \
-        .unionAll(close.select("b", "a", "b", "d", "ra", "ha"))
-    out = settle(sides.join(own, "leader").join(points.select("id", "n").distinct(), "id")
-                 .filter("9 * (d - r - _r) <= n + _h").select("g", "h", "id", "r", F.col("d").alias("apart")).distinct())
+    own = leaders.select("id", "leader", "r").join(points.select("id", "n").distinct(), "id")
+    around = close.join(own, "leader").filter("9 * (d - r - hub_r) <= n + hub_h") \
+        .select("g", "id", "r", F.col("d").alias("apart"), F.lit(1).alias("side"))
+    most = close.groupBy(F.col("g").alias("leader")).agg(F.max(F.expr("9 * other_r + other_h - 9 * d")).alias("most"))
+    inner = own.join(most, "leader").filter("n + 9 * r + most >= 0") \
+        .select(F.col("leader").alias("g"), "id", "r", F.lit(0).cast("bigint").alias("apart"), F.lit(0).alias("side"))
+    out = settle(around.unionAll(inner).distinct())
 
     def rows() -> DataFrame:
-        return _several_components(_labelled(out, join.labels), ["g", "h"])
+        return _several_components(_labelled(out, join.labels), ["g"])
 
-    def found(rest: DataFrame, quota: int | None) -> DataFrame:
-        return _crossed(rest.join(points, "id").select("*", F.col("n").alias("lo"), F.col("n").alias("hi"), F.lit(0).alias("slack")), quota)
+    def found(rest: DataFrame, nearest: bool) -> DataFrame:
+        return _crossed(rest.join(points, "id").select("*", F.col("n").alias("lo"), F.col("n").alias("hi"), F.lit(0).alias("slack")), nearest)
 
     join.rounds(rows, found)
 
