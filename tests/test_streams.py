@@ -152,3 +152,87 @@ def test_priority_routing(spark, tmp_path):
     flows.route_by_priority(stream(spark, f"{tmp_path}/s", log), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").groupBy("type", "priority").count().collect()
     assert {(r["type"], r["priority"]) for r in got} == {("ERROR", "HIGH"), ("WARNING", "MEDIUM"), ("GET", "LOW")}
+
+
+class Kept:
+    """State, timers and a count of the calls to them, in the place of Spark's."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = {}, set(), 0
+
+    def getValueState(self, name, *schema):
+        return KeptState(self, name)
+
+    getMapState = getValueState
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+
+class KeptState:
+    def __init__(self, kept, name):
+        self.kept, self.name = kept, name
+
+    def _of(self, key=()):
+        self.kept.calls += 1
+        return self.name, tuple(key)
+
+    def get(self, key=()):
+        return self.kept.values.get(self._of(key))
+
+    def clear(self, key=()):
+        self.kept.values.pop(self._of(key), None)
+
+    def keys(self):
+        return [k for n, k in list(self.kept.values) if n == self.name]
+
+    def update(self, value):
+        self.kept.values[self._of()] = value
+
+    def updateValue(self, key, value):
+        self.kept.values[self._of(key)] = value
+
+    getValue, removeKey = get, clear
+
+
+class Mark:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_calls_to_state_grow_with_blocks(shuffled):
+    """Every row in a stretch of its own: all come in order, with far fewer calls to the state than rows."""
+    import pandas as pd
+    frame = pd.DataFrame({"t": [k * 100 for k in range(20_000)], "event_id": range(20_000)})
+    given = frame.sample(frac=1, random_state=1) if shuffled else frame
+    fold = stateful._Fold(["t", "event_id"], [True, True], ["k", "t", "event_id", "n"], lambda: {"n": 0},
+                          lambda state, t, event_id: (state.update(n=state["n"] + 1) or state["n"],), 300, 60)
+    kept = Kept()
+    fold.init(kept)
+    list(fold.handleInputRows(("a",), iter([given[:10_000], given[10_000:]]), None))
+    half = list(fold.handleExpiredTimer(("a",), Mark(1_000_000_000), Mark(min(kept.timers))))
+    rest = list(fold.handleExpiredTimer(("a",), Mark(9_000_000_000), Mark(min(kept.timers))))
+    assert pd.concat(half)["event_id"].tolist() == list(range(10_000))          # 999,960 seconds are settled
+    assert pd.concat(rest)["event_id"].tolist() == list(range(10_000, 20_000))
+    assert pd.concat(rest)["n"].tolist() == list(range(10_001, 20_001))
+    assert kept.calls < 400 and not [k for k in kept.values if k[0] != "state"]
+
+
+def test_expiring_writes(spark, tmp_path):
+    """Two keys, replaced and endless writes, rows late and in any order, against the steps row by row."""
+    rnd = random.Random(11)
+    data = [(k, t, rnd.choice(["x", "y", None]), k % 7, rnd.choice([None, 0, 5, 40, 300, 900]))
+            for k, t in enumerate(sorted(rnd.randint(0, 6000) for _ in range(500)))]
+    writes = spark.createDataFrame(data, "event_id bigint, t bigint, a string, b int, ttl int")
+    expect = set()
+    for n, (_, t, a, b, ttl) in enumerate(data):
+        later = [r[1] for r in data[n + 1:] if r[2:4] == (a, b)]
+        if ttl is not None and (not later or later[0] > t + ttl):
+            expect.add((a, b, t + ttl))
+    write_parts(spark, f"{tmp_path}/e", writes.select("event_id", "t", "a", "b", "ttl"), parts=5, late=LATE)
+    out = flows.run_available(stateful.expire_stream(stream(spark, f"{tmp_path}/e", writes), ["a", "b"]))
+    got = [(r["a"], r["b"], r["expires_at"] - BASE) for r in out.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, expect))
+    shards = stateful.expire_stream(stream(spark, f"{tmp_path}/e", writes), ["event_id"])
+    assert flows.run_available(shards).count() == sum(1 for r in data if r[4] is not None)

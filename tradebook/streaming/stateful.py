@@ -3,15 +3,18 @@
 Streams need a watermarked TIMESTAMP column ``ts`` beside the columns of the batch form; seconds
 are taken from it. A decision depends on all earlier rows of its key, and rows come late and in any
 order. So a row waits until the watermark has passed its stretch (``SETTLE_SECONDS``): then every
-row of the stretch is known, and a timer decides them in (t, event_id) order. Rows behind the watermark
-are dropped by Spark. Waiting rows lie in state by stretch and micro-batch, so a task holds one stretch of
-one key at a time, whatever the key's size. State is cleared by a timer once the watermark has passed
-everything it could still influence.
+row of the stretch is known, and a timer decides it in (t, event_id) order. Rows behind the watermark
+are dropped by Spark. Waiting rows lie in state in sorted blocks of ``BLOCK_ROWS``, and one timer decides all
+that the watermark has passed: calls to the state grow with blocks, not with rows or stretches. A task holds
+the blocks that overlap in time, whatever the key's size. State is cleared by a timer once the watermark has
+passed everything it could still influence.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
+from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -29,88 +32,159 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: A sixth of the rule's memory where that is more.
 SETTLE_SECONDS = 60
 
+#: Waiting rows of one entry in state. A batch of rows from Spark (10,000) gives some 20 blocks, so that blocks of
+#: rows in no order at all overlap with a tenth of the waiting rows.
+BLOCK_ROWS = 512
 
-class _Fold(StatefulProcessor):
-    """Steps along each key in event time.
+#: Decided rows that are handed on together.
+OUT_ROWS = 10_000
 
-    ``whole`` tells which inputs are whole numbers (a null among them makes pandas use floats).
+#: Groups of keys whose writes are kept together by expire_stream. Fixed: state is found again by them.
+EXPIRY_SHARDS = 256
+
+
+class _Waiting(StatefulProcessor):
+    """Rows wait in state until the watermark has passed their stretch, then they come in order.
+
+    ``inputs`` begin with t and event_id; ``whole`` tells which are whole numbers (a null among them makes
+    pandas use floats). Rows without a time are left out.
     """
 
-    def __init__(self, keys: Sequence[str], inputs: Sequence[str], whole: Sequence[bool], names: Sequence[str],
-                 start: Callable[[], dict], step: Callable[..., tuple], memory: int | None, settle: int):
-        self.keys, self.inputs, self.whole, self.names = list(keys), list(inputs), list(whole), list(names)
-        self.start, self.step, self.memory, self.settle = start, step, memory, settle
+    def __init__(self, inputs: Sequence[str], whole: Sequence[bool], names: Sequence[str], settle: int):
+        self.inputs, self.whole, self.names, self.settle = list(inputs), list(whole), list(names), settle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "forget_at bigint, body string")
-        self.parts = handle.getMapState("parts", "stretch bigint", "n int")
-        self.waiting = handle.getMapState("waiting", "stretch bigint, part int", "body string")
+        self.blocks = handle.getValueState("blocks", "n bigint")
+        self.waiting = handle.getMapState("waiting", "first bigint, block bigint", "body binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for frame in rows:
-            for stretch, some in frame.groupby(frame["t"] // self.settle, sort=False):
-                self._wait(int(stretch), some)
+            found = self._tuples(frame[frame["t"].notna()])
+            if found:
+                self._wait(found)
+                first = found[0][0] if first is None else min(first, found[0][0])
+        if first is not None:
+            self._wake(first)
         yield pd.DataFrame([], columns=self.names)
 
-    def _wait(self, stretch: int, some: pd.DataFrame) -> None:
-        columns = [[None if pd.isna(v) else int(v) if whole else v for v in some[c].tolist()]
-                   for c, whole in zip(self.inputs, self.whole, strict=True)]
-        known = self.parts.getValue((stretch,))
+    def _tuples(self, frame: pd.DataFrame) -> list[tuple]:
+        columns = []
+        for name, whole in zip(self.inputs, self.whole, strict=True):
+            values = frame[name].tolist()
+            # rows of other keys may hold the nulls that make these numbers floats
+            if frame[name].hasnans or whole and frame[name].dtype.kind != "i":
+                values = [None if pd.isna(v) else int(v) if whole else v for v in values]
+            columns.append(values)
+        return sorted(zip(*columns, strict=True), key=_order)
+
+    def _wait(self, rows: list[tuple]) -> None:
+        known = self.blocks.get()
         n = int(known[0]) if known else 0
-        self.waiting.updateValue((stretch, n), (json.dumps(list(zip(*columns, strict=True))),))
-        self.parts.updateValue((stretch,), (n + 1,))
-        if not n:
-            self.handle.registerTimer((stretch + 1) * self.settle * 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # timers come in order of time: all earlier stretches of the key are decided
-        at = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        stretch = at // self.settle - 1
-        known, held, out = self.parts.getValue((stretch,)), self.state.get(), []
-        if known:
-            out = self._decide(key, stretch, int(known[0]), held)
-        elif held and int(held[0]) <= at:
-            self.state.clear()
-        yield pd.DataFrame(out, columns=self.names)
-
-    def _decide(self, key, stretch: int, parts: int, held: tuple | None) -> list[tuple]:
-        rows = []
-        for part in range(parts):
-            rows += json.loads(self.waiting.getValue((stretch, part))[0])
-            self.waiting.removeKey((stretch, part))
-        self.parts.removeKey((stretch,))
-        rows.sort(key=lambda r: (r[0], r[1]))           # inputs begin with t and event_id
-        forget, state = (int(held[0]), json.loads(held[1])) if held else (0, self.start())
-        out = [(*key, *row, *self.step(state, *row)) for row in rows]
-        if self.memory is not None:
-            # counted in steps of the memory, so that a busy key has one such timer at a time
-            step = max(self.memory // self.settle, 1) * self.settle
-            due = ((rows[-1][0] + self.memory) // step + 2) * step
-            if due != forget:
-                forget = due
-                self.handle.registerTimer(due * 1000)
-        self.state.update((forget, json.dumps(state)))
-        return out
+        for at in range(0, len(rows), BLOCK_ROWS):
+            some = rows[at:at + BLOCK_ROWS]
+            self.waiting.updateValue((some[0][0], n), (pickle.dumps(some),))
+            n += 1
+        self.blocks.update((n,))
+
+    def _wake(self, t: int) -> None:
+        self.handle.registerTimer((t // self.settle + 1) * self.settle * 1000)
+
+    def _passed(self, before: int) -> Iterator[list[tuple]]:
+        """The waiting rows before a time, in order, taken out of state."""
+        known = sorted((int(k[0]), int(k[1])) for k in self.waiting.keys())
+        due = known[:bisect_left(known, (before,))]
+        held: list[tuple] = []
+        at = 0
+        while at < len(due):
+            # as many rows as are held, so that each is sorted a few times only
+            fresh: list[tuple] = []
+            while at < len(due) and len(fresh) < max(len(held), OUT_ROWS):
+                fresh += pickle.loads(bytes(self.waiting.getValue(due[at])[0]))
+                self.waiting.removeKey(due[at])
+                at += 1
+            held = sorted(held + fresh, key=_order)
+            # blocks lie in order of their first rows: all rows before the next one's are held
+            cut = bisect_left(held, due[at][0] if at < len(due) else before, key=lambda r: r[0])
+            for start in range(0, cut, OUT_ROWS):
+                yield held[start:min(start + OUT_ROWS, cut)]
+            held = held[cut:]
+        if held:
+            self._wait(held)
+        later = [held[0][0]] if held else []
+        if len(known) > len(due):
+            later.append(known[len(due)][0])
+        if later:
+            self._wake(min(later))
+        elif known:
+            self.blocks.clear()
+
+    def _settled(self, timerValues) -> int:
+        """Every row before this second is known."""
+        return timerValues.getCurrentWatermarkInMs() // 1000 // self.settle * self.settle
 
     def close(self) -> None:
         pass
 
 
+def _order(row: tuple) -> tuple:
+    return row[0], row[1]
+
+
+class _Fold(_Waiting):
+    """Steps along each key in event time."""
+
+    def __init__(self, inputs: Sequence[str], whole: Sequence[bool], names: Sequence[str],
+                 start: Callable[[], dict], step: Callable[..., tuple], memory: int | None, settle: int):
+        super().__init__(inputs, whole, names, settle)
+        self.start, self.step, self.memory = start, step, memory
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("state", "forget_at bigint, body string")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, last = self.state.get(), None
+        forget, state = (int(held[0]), json.loads(held[1])) if held else (0, self.start())
+        for rows in self._passed(self._settled(timerValues)):
+            last = rows[-1][0]
+            yield pd.DataFrame([(*key, *row, *self.step(state, *row)) for row in rows], columns=self.names)
+        if last is not None:
+            if self.memory is not None:
+                # counted in steps of the memory, so that a busy key has one such timer at a time
+                step = max(self.memory // self.settle, 1) * self.settle
+                due = ((last + self.memory) // step + 2) * step
+                if due != forget:
+                    forget = due
+                    self.handle.registerTimer(due * 1000)
+            self.state.update((forget, json.dumps(state)))
+        elif held and self.memory is not None and forget <= expiredTimerInfo.getExpiryTimeInMs() // 1000:
+            self.state.clear()
+
+
 def _fold_stream(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], start, step, outputs: str,
                  memory: int | None) -> DataFrame:
-    spark, settle = df.sparkSession, max(SETTLE_SECONDS, (memory or 0) // 6)
-    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    settle = max(SETTLE_SECONDS, (memory or 0) // 6)
+    _use_rocksdb(df)
     rows = df.withColumn("t", F.unix_seconds("ts"))
     schema = T.StructType([rows.schema[c] for c in (*keys, *inputs)] + list(T._parse_datatype_string(outputs).fields))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-    whole = [isinstance(rows.schema[c].dataType, T.IntegralType) for c in inputs]
     return rows.select(*keys, "ts", *inputs).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Fold(keys, inputs, whole, schema.fieldNames(), start, step, memory, settle),
+        statefulProcessor=_Fold(inputs, _whole(rows, inputs), schema.fieldNames(), start, step, memory, settle),
         outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
+def _use_rocksdb(df: DataFrame) -> None:
+    conf = df.sparkSession.conf
+    if "RocksDB" not in conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def _whole(df: DataFrame, names: Sequence[str]) -> list[bool]:
+    return [isinstance(df.schema[c].dataType, T.IntegralType) for c in names]
+
+
 def limit_rate_stream(requests: DataFrame, rules: dict[str, tuple[int, int, int]] | None = None) -> DataFrame:
     """Decision per request, as limit_rate."""
     from tradebook import fixed
@@ -189,60 +263,61 @@ def cooldown_stream(raised: DataFrame, cooldown: int = 300) -> DataFrame:
     return out.filter("kept").select("rule_name", "t", "severity", "message")
 
 
-class _Expiry(StatefulProcessor):
-    """Keeps the writes of a key that can still matter and reports those that run out unreplaced."""
+class _Expiry(_Waiting):
+    """Keeps the last write of each key of a group and reports those that run out unreplaced."""
 
-    def __init__(self, keys: Sequence[str]):
-        self.names = [*keys, "expires_at"]
+    def __init__(self, keys: Sequence[str], inputs: Sequence[str], whole: Sequence[bool], settle: int):
+        super().__init__(inputs, whole, [*keys, "expires_at"], settle)
+        self.at = [self.inputs.index(k) for k in keys]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.writes = handle.getListState("writes", "t bigint, event_id bigint, expires_at bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = list(self.writes.get())
-        for frame in rows:
-            for t, event_id, expires in frame[["t", "event_id", "expires_at"]].itertuples(index=False):
-                known.append((int(t), int(event_id), None if pd.isna(expires) else int(expires)))
-                if known[-1][2] is not None:
-                    self.handle.registerTimer(known[-1][2] * 1000)
-        self._keep(known, timerValues.getCurrentWatermarkInMs() // 1000)
-        yield pd.DataFrame([], columns=self.names)
-
-    def _keep(self, known: list, settled: int) -> None:
-        """All writes after the watermark, and the last one before it."""
-        known.sort(key=lambda w: w[:2])
-        past = [w for w in known if w[0] <= settled]
-        self.writes.put([*past[-1:], *[w for w in known if w[0] > settled]])
+        super().init(handle)
+        self.live = handle.getValueState("live", "body binary")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # the watermark has passed this time: every write up to it is known, in whatever order they came
-        at = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        known = sorted((tuple(w) for w in self.writes.get()), key=lambda w: w[:2])
-        past, later = [w for w in known if w[0] <= at], [w for w in known if w[0] > at]
-        gone = bool(past) and past[-1][2] == at
-        left = later if gone else [*past[-1:], *later]
-        if left:
-            self.writes.put(left)
-        else:
-            self.writes.clear()
-        yield pd.DataFrame([(*key, at)] if gone else [], columns=self.names)
-
-    def close(self) -> None:
-        pass
+        held, before = self.live.get(), self._settled(timerValues)
+        live = pickle.loads(bytes(held[0])) if held else {}
+        most = 2 * len(live) + OUT_ROWS
+        for rows in self._passed(before):
+            out = []
+            for row in rows:
+                t, expires, name = row[0], row[2], tuple(row[n] for n in self.at)
+                old = live.pop(name, None)
+                if old is not None and old < t:
+                    out.append((*name, old))
+                if expires is not None and expires >= t:
+                    live[name] = expires
+            if len(live) > most:
+                out += self._run_out(live, rows[-1][0])
+                most = 2 * len(live) + OUT_ROWS
+            yield pd.DataFrame(out, columns=self.names)
+        yield pd.DataFrame(self._run_out(live, before), columns=self.names)
+        if live:
+            self.live.update((pickle.dumps(live),))
+            self._wake(min(live.values()))
+        elif held:
+            self.live.clear()
+
+    def _run_out(self, live: dict, before: int) -> list[tuple]:
+        """Writes that ran out before a time up to which every write is known."""
+        gone = [(*name, expires) for name, expires in live.items() if expires < before]
+        for name in gone:
+            del live[name[:-1]]
+        return gone
 
 
 def expire_stream(writes: DataFrame, keys: Sequence[str], ttl: str = "ttl") -> DataFrame:
     """(keys, expires_at) of every write that runs out before its key is written again.
 
     A write at second t lives ``ttl`` seconds (NULL: for ever). Decisions wait for the watermark, so late rows
-    inside it count, in any order; a key's state is dropped when its last write has run out.
+    inside it count, in any order; a key's state is dropped when its last write has run out. Keys are kept in
+    ``EXPIRY_SHARDS`` groups by their hash, so that millions of keys are not as many calls to Python.
     """
-    spark = writes.sparkSession
-    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    _use_rocksdb(writes)
     rows = writes.withColumn("t", F.unix_seconds("ts")).withColumn("expires_at", F.col("t") + F.col(ttl)) \
-        .select(*keys, "ts", "t", "event_id", "expires_at")
+        .withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(EXPIRY_SHARDS)))
+    inputs = list(dict.fromkeys(["t", "event_id", "expires_at", *keys]))
     schema = T.StructType([T.StructField(k, rows.schema[k].dataType, True) for k in keys]).add("expires_at", T.LongType())
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Expiry(keys), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return rows.select("_shard", "ts", *inputs).groupBy("_shard").transformWithStateInPandas(
+        statefulProcessor=_Expiry(keys, inputs, _whole(rows, inputs), 1),
+        outputStructType=schema, outputMode="Append", timeMode="EventTime")
