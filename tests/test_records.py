@@ -141,3 +141,12 @@ def test_restore_from_a_chain(spark):
     assert at(20) == [("a", 2), ("c", None)] and at(30) == at(99) == [("b", 3), ("d", 3)]
     assert keyed.restore_chain(chain, 30).columns == ["cache_key", "v"]
     assert keyed.snapshot_increment(table(("a", 2)), log(), 40, 30).count() == 0
+
+
+def test_error_table_checks_once(spark):
+    """No filter repeats the checks of the projection."""
+    df = spark.createDataFrame([(1, "Acme", "12 Oak St, Troy, NY 12180"), (2, "A", "x"), (3, None, None)], "id int, business_name string, address string")
+    table = quality.error_table(quality.validate_input(df))
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "too short" in line]
+    assert sorted((r["id"], r["error"]) for r in table.collect()) == [(2, "Business name too short"), (3, "Business name too short")]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradebook.functions.base import no_messages
+from tradebook.functions.base import let, no_messages
 from tradebook.functions.checks import name_errors, name_warnings, validate_business
 from tradebook.functions.rules import required_columns
 from tradebook.operators.records import mark_duplicates
@@ -24,7 +24,7 @@ def validate_input(df: DataFrame, row: str = "id", propagate_address_errors: boo
                          .otherwise(no_messages()).alias("warnings"))
     if "address" in df.columns:
         full = validate_business(name, F.col("address"), propagate_address_errors=propagate_address_errors)
-        both = F.struct(full["errors"].alias("errors"), full["warnings"].alias("warnings"))
+        both = let(full, lambda v: F.struct(v["errors"].alias("errors"), v["warnings"].alias("warnings")))
         verdict = F.when(F.col("address").isNotNull(), both).otherwise(name_only)
     else:
         verdict = name_only
@@ -45,9 +45,13 @@ def input_totals(validated: DataFrame) -> DataFrame:
 
 
 def error_table(validated: DataFrame, row: str = "id") -> DataFrame:
-    """One line per error of every failing row."""
-    return validated.filter(F.size("errors") > 0).select(
-        row, "business_name", F.explode("errors").alias("error"))
+    """One line per error of every failing row.
+
+    Filtered after the explode: a filter on the errors, also the one Spark adds to a plain explode, would be
+    pushed down to the checks and run them all a second time.
+    """
+    return validated.select(row, "business_name", F.explode_outer("errors").alias("error")) \
+        .filter(F.col("error").isNotNull())
 
 
 def validation_report(issues: DataFrame, col: str = "issues", warnings: Column | None = None) -> DataFrame:
