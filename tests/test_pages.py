@@ -127,3 +127,17 @@ def test_page_flags(spark):
     assert [r["is_challenge"] for r in P.flag_challenge_pages(df).orderBy("page_id").collect()] == [True] * 4 + [False]
     df = frame(spark, ("u", '<div class="search-results-x">'), ("u", '<div class="a search-results">'), ("u", "<a class='card'>"), ("u", '<div class="search-results">0 results'))
     assert [r["no_results"] for r in P.flag_no_results(df).orderBy("page_id").collect()] == [True, False, False, True]
+
+
+def test_markup_is_parsed_in_portions():
+    """Portions are bounded by bytes and rows, hold every row once and keep the order."""
+    import pyarrow as pa
+
+    from tradebook.operators import markup
+    html = ["x" * 700_000, None, "y" * 700_000, "z" * 3_000_000, ""] + ["p"] * 2500
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(len(html))), "_html": pa.array(html, pa.string())})
+    parts = list(markup._portions(batch))
+    assert [i for p in parts for i in p.column("page_id").to_pylist()] == list(range(len(html)))
+    assert max(p.num_rows for p in parts) <= markup.PORTION_ROWS
+    assert all(p.num_rows == 1 or sum(len(h or "") for h in p.column("_html").to_pylist()) <= markup.PORTION_BYTES for p in parts)
+    assert not list(markup._portions(batch.slice(0, 0)))

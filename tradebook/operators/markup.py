@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,10 @@ _HIDDEN = {"script", "style", "head", "title", "template", "noscript"}
 _STEP = re.compile(r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)
                        |\[(?P<attr>[\w-]+)(?:(?P<op>[*^$~]?=)['"]?(?P<val>[^'"\]]*)['"]?)?\]""", re.X)
 
+#: Markup that is parsed and handed on together: elements take some fifty times its bytes in Python.
+PORTION_BYTES = 1 << 20
+PORTION_ROWS = 1000
+
 #: pre, last, up: own number, that of the last descendant, that of the parent (-1: none); first and end: the
 #: element's interval of pieces; link: the href resolved against the page's URL.
 NODE = T.StructType([T.StructField(c, T.IntegerType()) for c in ("pre", "last", "up", "first", "end")] + [
@@ -106,6 +111,18 @@ def _lists(rows: list[list | None], arrays: list[pa.Array], names: list[str]) ->
                                     mask=pa.array([r is None for r in rows], pa.bool_()))
 
 
+def _portions(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+    """The rows of a batch in portions of about ``PORTION_BYTES`` of markup."""
+    start, held = 0, 0
+    for at, size in enumerate(pc.binary_length(batch.column("_html")).to_pylist()):
+        if at > start and (held + (size or 0) > PORTION_BYTES or at - start == PORTION_ROWS):
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size or 0
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
 def with_elements(pages: DataFrame, likely: Column, keep: Sequence[str], tags: Sequence[str] | None = None,
                   texts: bool = True) -> DataFrame:
     """The columns ``keep`` of the pages with ``nodes`` and ``pieces``; nulls where a page is not ``likely``.
@@ -126,7 +143,7 @@ def with_elements(pages: DataFrame, likely: Column, keep: Sequence[str], tags: S
         return nodes, pieces if texts else []
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (portion for whole in batches for portion in _portions(whole)):
             found = [read(u.as_py(), h.as_py()) for u, h in zip(batch.column("_url"), batch.column("_html"), strict=True)]
             nodes, pieces = [f[0] for f in found], [f[1] for f in found]
             flat = [n for page in nodes for n in page or ()]
