@@ -127,12 +127,15 @@ def changed_keys(events: DataFrame, since: int | Column | None = None) -> DataFr
     return writes.select("cache_key").distinct()
 
 
-def incremental_snapshot(table: DataFrame, events: DataFrame, since: int | Column | None = None) -> DataFrame:
-    """Rows of the changed keys; the whole table when nothing changed.
+def incremental_snapshot(table: DataFrame, events: DataFrame, since: int | Column | None = None,
+                         whole_if_unchanged: bool = True) -> DataFrame:
+    """Rows of the changed keys; the whole table when nothing changed, or none without ``whole_if_unchanged``.
 
     Deleted keys are not in it: ``snapshot_increment`` keeps their tombstones.
     """
     keys = changed_keys(events, since)
+    if not whole_if_unchanged:
+        return table.join(keys, "cache_key", "left_semi")
     n = keys.agg(F.count(F.lit(1)).alias("n")).scalar()
     flagged = table.join(keys.withColumn("_changed", F.lit(True)), "cache_key", "left")
     return flagged.filter((n == 0) | F.col("_changed").isNotNull()).drop("_changed")

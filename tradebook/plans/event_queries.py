@@ -346,7 +346,7 @@ def _(i):
 
 @query("incremental_snapshot", "SELECT * FROM @entries WHERE cache_key IN (SELECT cache_key FROM @op_events WHERE type IN ('SET', 'DELETE') AND t > 9900)")
 def _(i):
-    return K.incremental_snapshot(i.entries, i.op_events, 9900)
+    return K.incremental_snapshot(i.entries, i.op_events, 9900, whole_if_unchanged=False)
 
 
 @query("full_snapshot", "SELECT * FROM @entries")
