@@ -219,6 +219,50 @@ def test_calls_to_state_grow_with_blocks(shuffled):
     assert kept.calls < 400 and not [k for k in kept.values if k[0] != "state"]
 
 
+def test_rows_are_packed_before_they_are_shuffled(spark):
+    """A hot and a null key: all rows but those without a time come in few packs, each short in rows and seconds."""
+    import pickle
+    df = spark.range(0, 20_000, 1, 3).select(
+        F.when(F.col("id") % 50 > 0, "hot").alias("k"), F.timestamp_seconds(F.col("id") + 0.25).alias("ts"),
+        F.when(F.col("id") % 1000 > 0, F.col("id")).alias("t"), F.col("id").alias("event_id"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 2 == 0).alias("b"))
+    packs = stateful._packed(df, ["k"], ["t", "event_id", "b"], 300).collect()
+    got = []
+    for p in packs:
+        held = pickle.loads(bytes(p["body"]))
+        assert held == sorted(held, key=lambda r: r[:2]) and len(held) <= stateful.PACKED_ROWS
+        assert len({t // 300 for t, _, _ in held}) == 1 and int(p["ts"].timestamp()) == held[-1][0]
+        got += [(p["k"], *r) for r in held]
+    expect = [(r["k"], r["t"], r["event_id"], r["b"]) for r in df.filter("t IS NOT NULL").collect()]
+    assert sorted(got, key=lambda r: r[2]) == sorted(expect, key=lambda r: r[2]) and len(packs) < 400
+
+
+def test_packed_rows_behind_a_decision_are_dropped():
+    """A pack may begin before what its key has decided; only the rows after that count, others are not reported."""
+    import pickle
+
+    import pandas as pd
+    fold = stateful._PackedFold(["t", "event_id"], [True, True], ["k", "t", "event_id", "n"], lambda: {"n": 0},
+                                lambda state, t, event_id: (state.update(n=state["n"] + 1) or state["n"],), 300, 60,
+                                lambda made: made[0] % 2 == 1)
+    kept = Kept()
+    fold.init(kept)
+
+    def send(*times):
+        body = pickle.dumps([(t, t) for t in times])
+        list(fold.handleInputRows(("a",), iter([pd.DataFrame({"ts": [pd.Timestamp(times[-1], unit="s")], "body": [body]})]), None))
+
+    def pass_by(second):
+        made = fold.handleExpiredTimer(("a",), Mark(second * 1000), Mark(second * 1000))
+        return [row for frame in made for row in frame[["t", "n"]].values.tolist()]
+
+    send(10, 20, 130)
+    assert pass_by(125) == [[10, 1]]                            # up to 120 is decided
+    send(119, 120, 140)
+    assert pass_by(240) == [[120, 3], [140, 5]]
+    assert pass_by(10_000) == [] and not kept.values            # long quiet: forgotten
+
+
 def test_expiring_writes(spark, tmp_path):
     """Two keys, replaced and endless writes, rows late and in any order, against the steps row by row."""
     rnd = random.Random(11)

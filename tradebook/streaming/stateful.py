@@ -8,6 +8,10 @@ are dropped by Spark. Waiting rows lie in state in sorted blocks of ``BLOCK_ROWS
 that the watermark has passed: calls to the state grow with blocks, not with rows or stretches. A task holds
 the blocks that overlap in time, whatever the key's size. State is cleared by a timer once the watermark has
 passed everything it could still influence.
+
+Rows of a fold are packed before they are shuffled: the tasks that read them put up to ``PACKED_ROWS`` rows of one
+key and span into one, so that a hot key's task unpacks lists and does not take rows from Spark one by one. Spark
+drops a pack when all of it is behind the watermark; rows before what their key has decided are dropped here.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +41,10 @@ SETTLE_SECONDS = 60
 #: rows in no order at all overlap with a tenth of the waiting rows.
 BLOCK_ROWS = 512
 
+#: Rows that are shuffled as one, and the longest span they come from where the rule's memory sets none.
+PACKED_ROWS = 128
+PACKED_SECONDS = 3600
+
 #: Decided rows that are handed on together.
 OUT_ROWS = 10_000
 
@@ -132,13 +141,19 @@ def _order(row: tuple) -> tuple:
     return row[0], row[1]
 
 
+def _step(memory: int, settle: int) -> int:
+    """Whole stretches of a memory; a key is forgotten one or two of these after its memory has ended."""
+    return max(memory // settle, 1) * settle
+
+
 class _Fold(_Waiting):
     """Steps along each key in event time."""
 
     def __init__(self, inputs: Sequence[str], whole: Sequence[bool], names: Sequence[str],
-                 start: Callable[[], dict], step: Callable[..., tuple], memory: int | None, settle: int):
+                 start: Callable[[], dict], step: Callable[..., tuple], memory: int | None, settle: int,
+                 keep: Callable[[tuple], bool] | None = None):
         super().__init__(inputs, whole, names, settle)
-        self.start, self.step, self.memory = start, step, memory
+        self.start, self.step, self.memory, self.keep = start, step, memory, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -149,11 +164,16 @@ class _Fold(_Waiting):
         forget, state = (int(held[0]), json.loads(held[1])) if held else (0, self.start())
         for rows in self._passed(self._settled(timerValues)):
             last = rows[-1][0]
-            yield pd.DataFrame([(*key, *row, *self.step(state, *row)) for row in rows], columns=self.names)
+            out = []
+            for row in rows:
+                made = self.step(state, *row)
+                if self.keep is None or self.keep(made):
+                    out.append((*key, *row, *made))
+            yield pd.DataFrame(out, columns=self.names)
         if last is not None:
             if self.memory is not None:
                 # counted in steps of the memory, so that a busy key has one such timer at a time
-                step = max(self.memory // self.settle, 1) * self.settle
+                step = _step(self.memory, self.settle)
                 due = ((last + self.memory) // step + 2) * step
                 if due != forget:
                     forget = due
@@ -163,15 +183,93 @@ class _Fold(_Waiting):
             self.state.clear()
 
 
+class _PackedFold(_Fold):
+    """A fold of rows that come packed.
+
+    A pack that Spark lets in may begin before the watermark. Its rows count as long as their key has decided
+    nothing after them; once a key's state is forgotten, a pack is too short to reach back into its memory.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.decided = handle.getValueState("decided", "t bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.decided.get()
+        first = None
+        for some in self._unpacked(rows, int(known[0]) if known else None):
+            self._wait(some)
+            first = some[0][0] if first is None else min(first, some[0][0])
+        if first is not None:
+            self._wake(first)
+        yield pd.DataFrame([], columns=self.names)
+
+    def _unpacked(self, frames: Iterator[pd.DataFrame], since: int | None) -> Iterator[list[tuple]]:
+        fresh: list[tuple] = []
+        for frame in frames:
+            for body in frame["body"]:
+                rows = pickle.loads(bytes(body))
+                fresh += rows if since is None or rows[0][0] >= since else [r for r in rows if r[0] >= since]
+                if len(fresh) >= OUT_ROWS:
+                    yield sorted(fresh, key=_order)
+                    fresh = []
+        if fresh:
+            yield sorted(fresh, key=_order)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        if self.state.get():
+            self.decided.update((self._settled(timerValues),))
+        else:
+            self.decided.clear()
+
+
+def _packed(rows: DataFrame, keys: Sequence[str], inputs: Sequence[str], span: int) -> DataFrame:
+    """Rows (keys, ts, inputs) as (keys, ts, body): sorted lists of rows of one key and span under their last ts.
+
+    ``inputs`` begin with t and event_id. Rows without a time are left out.
+    """
+    keys, inputs = list(keys), list(inputs)
+    # the field of ts says that it is the watermarked column
+    schema = T.StructType([T.StructField(k, rows.schema[k].dataType, True) for k in keys]) \
+        .add(rows.schema["ts"]).add("body", T.BinaryType())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stamps = batch.column("ts").cast(pa.int64()).to_pylist()
+            names = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+            found = zip(*(batch.column(c).to_pylist() for c in inputs), strict=True)
+            spans: dict[tuple, list[tuple]] = {}
+            for name, row, stamp in zip(names, found, stamps, strict=True):
+                if row[0] is not None:
+                    spans.setdefault((name, row[0] // span), []).append((row[0], row[1], stamp, row))
+            out = []
+            for (name, _), some in spans.items():
+                some.sort(key=_order)
+                for at in range(0, len(some), PACKED_ROWS):
+                    pack = some[at:at + PACKED_ROWS]
+                    out.append((*name, max(r[2] for r in pack), pickle.dumps([r[3] for r in pack])))
+            columns = list(zip(*out, strict=True)) or [()] * (len(keys) + 2)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c, batch.schema.field(k).type) for k, c in zip(keys, columns, strict=False)),
+                 pa.array(columns[-2], pa.int64()).cast(batch.schema.field("ts").type), pa.array(columns[-1], pa.binary())],
+                names=[*keys, "ts", "body"])
+
+    return rows.select(*keys, "ts", *inputs).mapInArrow(pack, schema)
+
+
 def _fold_stream(df: DataFrame, keys: Sequence[str], inputs: Sequence[str], start, step, outputs: str,
-                 memory: int | None) -> DataFrame:
+                 memory: int | None, keep: Callable[[tuple], bool] | None = None) -> DataFrame:
+    """Steps along each key; of their results only those that ``keep`` names leave the task."""
     settle = max(SETTLE_SECONDS, (memory or 0) // 6)
     _use_rocksdb(df)
     rows = df.withColumn("t", F.unix_seconds("ts"))
     schema = T.StructType([rows.schema[c] for c in (*keys, *inputs)] + list(T._parse_datatype_string(outputs).fields))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-    return rows.select(*keys, "ts", *inputs).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Fold(inputs, _whole(rows, inputs), schema.fieldNames(), start, step, memory, settle),
+    # at most the time between the end of a key's memory and its being forgotten
+    packs = _packed(rows, keys, inputs, PACKED_SECONDS if memory is None else _step(memory, settle))
+    return packs.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_PackedFold(inputs, _whole(rows, inputs), schema.fieldNames(), start, step, memory, settle, keep),
         outputStructType=schema, outputMode="Append", timeMode="EventTime")
 
 
