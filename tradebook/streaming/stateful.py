@@ -329,7 +329,7 @@ def alerts_stream(events: DataFrame, threshold: int = 5, window: int = 300, expi
         return L.alert_step(state, t, severity, threshold, window, expiry)
 
     out = _fold_stream(events, ["message"], ["t", "event_id", "severity"], L.alert_start, step,
-                       "count bigint, notified boolean", expiry)
+                       "count bigint, notified boolean", expiry, lambda made: made[0] is not None)
     return out.filter(F.col("count").isNotNull()).select("event_id", "t", "message", "severity", "count", "notified")
 
 
@@ -344,7 +344,7 @@ def match_pattern_stream(events: DataFrame, types: Sequence[str], within: int, b
         return L.pattern_step(state, t, event_id, kind, types, within, ordered, reuse_completing_event)
 
     out = _fold_stream(fitting, [by], ["t", "event_id", "type"], L.pattern_start, step,
-                       "start_t bigint, event_ids array<bigint>", within)
+                       "start_t bigint, event_ids array<bigint>", within, lambda made: made[0] is not None)
     return out.filter(F.col("start_t").isNotNull()).select(by, "start_t", F.col("t").alias("end_t"), "event_ids")
 
 
