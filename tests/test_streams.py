@@ -263,6 +263,29 @@ def test_packed_rows_behind_a_decision_are_dropped():
     assert pass_by(10_000) == [] and not kept.values            # long quiet: forgotten
 
 
+def test_streams_hand_on_recorded_rows_only(spark, tmp_path):
+    """Skipped duplicates, unfinished patterns and cooled-down alerts do not leave the task."""
+    seen = []
+    fold_stream = stateful._fold_stream
+
+    def note(df, keys, inputs, start, step, outputs, memory, keep=None):
+        seen.append([keep(made) for made in ((None, False), (3, True), (False,), (True,))] if keep else None)
+        return fold_stream(df, keys, inputs, start, step, outputs, memory, keep)
+
+    ev = make(spark, 10, 3, 400, ["m1"], ["error"]).withColumnsRenamed({"a": "message", "b": "severity"})
+    ev = ev.withColumns({"type": F.lit("x"), "rule_name": F.lit("r")})
+    write_parts(spark, f"{tmp_path}/k", ev, parts=1)
+    source = stream(spark, f"{tmp_path}/k", ev)
+    stateful._fold_stream = note
+    try:
+        stateful.alerts_stream(source)
+        stateful.match_pattern_stream(source, ["x"], 10, "message")
+        stateful.cooldown_stream(source)
+    finally:
+        stateful._fold_stream = fold_stream
+    assert seen[0][:2] == seen[1][:2] == [False, True] and seen[2][2:] == [False, True]
+
+
 def test_expiring_writes(spark, tmp_path):
     """Two keys, replaced and endless writes, rows late and in any order, against the steps row by row."""
     rnd = random.Random(11)

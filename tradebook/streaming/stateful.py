@@ -357,7 +357,7 @@ def cooldown_stream(raised: DataFrame, cooldown: int = 300) -> DataFrame:
         return (True,)
 
     out = _fold_stream(raised, ["rule_name"], ["t", "event_id", "severity", "message"], dict, step,
-                       "kept boolean", cooldown)
+                       "kept boolean", cooldown, lambda made: made[0])
     return out.filter("kept").select("rule_name", "t", "severity", "message")
 
 
