@@ -172,3 +172,42 @@ def plain_versions(rows):
             fits = [(t, n) for t, n, lab in scored if lab != la and 30 * -s <= 100 * -t <= 90 * -s][:10]
             out += [(a, p, r, n, -s, -t) for r, (t, n) in enumerate(fits, 1)]
     return out
+
+
+def test_visits_are_never_broadcast(spark, monkeypatch):
+    """Visits come from small files of anchors, but grow with anchors x leaves: no size of a file may send them to the driver."""
+    plans = []
+
+    def settle(df, write=H.settle):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(H, "settle", settle)
+    rows = clustered(random.Random(5), 120, 4, 20)
+    got = H.mine(spark.createDataFrame(rows, "id bigint, label bigint, v array<bigint>"), 4, 20, 3, 4, leaf_rows=32)
+    assert sorted(map(tuple, got.collect())) == plain_mine(rows, 20, 3, 4, 30, 90)
+    visits = [p for p in plans if "asks" in p]
+    assert visits and not any("Broadcast" in p for p in visits)
+
+
+def test_sample_of_rows_that_share_an_id(spark, monkeypatch):
+    sizes = []
+
+    def grow(sample, *more, build=H.grow):
+        sizes.append(len(sample))
+        return build(sample, *more)
+
+    monkeypatch.setattr(H, "grow", grow)
+    df = spark.range(2000).select(F.lit(7).cast("long").alias("id"), F.lit(1).cast("long").alias("label"),
+                                  F.array("id", F.lit(1).cast("long")).alias("v"))
+    tree, _ = H.index(df, 2, 64, 100)
+    assert 0 < sizes[0] < 300 and tree.blocks.sum() > 1
+
+
+def test_packed_arrays():
+    arrays = {"a": np.arange(3, dtype="<i1"), "b": np.array([[True, False, True]]), "c": np.zeros((0, 4)),
+              "d": np.asfortranarray(np.arange(6).reshape(2, 3))[:, ::2], "e": np.array([-np.inf, 1.5])}
+    back = H._load(H._dump(**arrays))
+    assert list(back) == list(arrays)
+    for name, a in arrays.items():
+        assert back[name].dtype == a.dtype and back[name].shape == a.shape and (back[name] == a).all()

@@ -17,7 +17,9 @@ distances that the annulus allows (triangle inequality, both ways). Leaves are c
 *Size.* A leaf of many rows is dealt into blocks of about ``LEAF_ROWS`` by a hash of the id, so no leaf is one
 task, however many copies a vector has. Anchors travel in blocks of ``ANCHORS`` with the blocks of the leaves they
 can't pass over. They visit the leaves that fit best first: the best scores found narrow the annulus for the next,
-larger wave. Rows, anchors and finds are written to the shared folder after each wave.
+larger wave. Rows, anchors and finds are written to the shared folder after each wave. Visits grow with anchors x
+leaves, far beyond the files they are made from, so their join is always a shuffled one: by those files' size Spark
+would broadcast them through the driver. Only the sample, the tree and its ranges come to the driver.
 
 Rows with a null id, label or vector, vectors of another length than ``dims`` and vectors with a null or
 non-finite component take no part. Exact repeats (id, label and vector) count once; rows of one id that differ are
@@ -28,7 +30,7 @@ the columns named here are read, so other columns can't clash.
 
 from __future__ import annotations
 
-import io
+import json
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -49,6 +51,8 @@ FAN_OUT = 16
 LEAF_ROWS = 2048
 #: Anchors that travel together.
 ANCHORS = 64
+#: Visits handed to Spark at once, at most.
+VISITS = 64
 #: Fewest sample rows of a node for each child.
 FIT_LEAST = 4
 #: Leaves that an anchor visits in the first and second wave.
@@ -129,12 +133,11 @@ class Tree:
             if isinstance(part, int):
                 open_leaf[:, :, part] = open_here & (self.blocks[part] > 0)
                 return
+            dp = apart[part.at][:, None, :]
+            least = np.maximum(dp - far[:, :, None], near[:, :, None] - dp) - slack[:, :, None]
+            most = dp + far[:, :, None] + slack[:, :, None]
             for c, child in enumerate(part.children):
-                keep = open_here.copy()
-                for p in range(len(part.points)):
-                    dp = apart[part.at][:, p:p + 1]
-                    keep &= (np.maximum(dp - far, near - dp) <= part.high[c, p] + slack) \
-                        & (dp + far >= part.low[c, p] - slack)
+                keep = open_here & ((least <= part.high[c]) & (most >= part.low[c])).all(axis=2)
                 if keep.any():
                     down(child, keep)
 
@@ -193,14 +196,24 @@ def _far_apart(lifted: np.ndarray, idx: np.ndarray, m: int, norm: float) -> list
 
 # --- packed rows -------------------------------------------------------------------------------------------------------
 def _dump(**arrays: np.ndarray) -> bytes:
-    held = io.BytesIO()
-    np.savez(held, **arrays)
-    return held.getvalue()
+    """Length of the head (8 bytes), head (name, type and shape of each array), the arrays; each padded to 8 bytes."""
+    head = json.dumps([(name, a.dtype.str, a.shape) for name, a in arrays.items()]).encode()
+    head += b" " * (-len(head) % 8)
+    parts = [len(head).to_bytes(8, "little"), head]
+    for a in arrays.values():
+        parts += [a.tobytes(), bytes(-a.nbytes % 8)]
+    return b"".join(parts)
 
 
 def _load(data: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(data), allow_pickle=False) as held:
-        return {name: held[name] for name in held.files}
+    """The arrays, read only: they stay in ``data``."""
+    at = 8 + int.from_bytes(data[:8], "little")
+    out = {}
+    for name, kind, shape in json.loads(data[8:at]):
+        a = np.ndarray(shape, kind, data, at)
+        at += a.nbytes + -a.nbytes % 8
+        out[name] = a
+    return out
 
 
 def _vectors(column: pa.Array, dims: int) -> np.ndarray:
@@ -214,7 +227,9 @@ def index(rows: DataFrame, dims: int, leaf_rows: int = LEAF_ROWS, fit_rows: int
         .withColumn("version", F.xxhash64("label", "v"))
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     n, norm = keyed.agg(F.count("*"), F.coalesce(F.max(square), F.lit(0))).collect()[0]
-    chosen = bounded_sample(keyed, F.col("id"), fit_rows, "split points").select("id", "version", "v").collect()
+    # by id and version, each once: rows that share an id or repeat don't come together
+    chosen = bounded_sample(keyed, F.concat_ws(":", "id", "version"), fit_rows, "split points") \
+        .select("id", "version", "v").dropDuplicates(["id", "version"]).collect()
     chosen.sort(key=lambda r: (r["version"], r["id"]))
     tree = grow(np.array([r["v"] for r in chosen], dtype=np.float64).reshape(-1, dims), float(norm), n, leaf_rows)
 
@@ -366,9 +381,11 @@ class Search:
         same = q["label"][:, None] == block["label"][None, :]
         fits = same & ~((q["id"][:, None] == block["id"]) & (q["version"][:, None] == block["version"])) if self.same else ~same
         out: dict[str, list[np.ndarray]] = {name: [] for name in FOUND}
-        for a in range(len(q["id"])):
+        most = np.where(fits, score, np.iinfo(np.int64).min).max(axis=1, initial=np.iinfo(np.int64).min)
+        reached = q["open"] & (q["low"] <= most[:, None]) & fits.any(axis=1)[:, None]
+        for a in np.flatnonzero(reached.any(axis=1)):
             row = score[a]
-            for slot in np.flatnonzero(q["open"][a]):
+            for slot in np.flatnonzero(reached[a]):
                 at = np.flatnonzero(fits[a] & (row >= q["low"][a, slot]) & (row <= q["high"][a, slot]))
                 if len(at) > self.k:
                     least = np.partition(row[at], len(at) - self.k)[len(at) - self.k]
@@ -394,6 +411,14 @@ def _visit(spark: SparkSession, tree: Tree, state: DataFrame, search: Search, fi
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         t = shared.value
+        held: list[tuple[int, int, int, bytes]] = []
+
+        def close() -> pa.RecordBatch:
+            columns = zip(*held, strict=True)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                              ["ablock", "leaf", "block", "asks"])
+
         for batch in batches:
             for ablock, data in zip(batch.column("ablock").to_pylist(), batch.column("state").to_pylist(), strict=True):
                 s = _load(data)
@@ -409,26 +434,38 @@ def _visit(spark: SparkSession, tree: Tree, state: DataFrame, search: Search, fi
                     some = np.flatnonzero(due[:, :, leaf].any(axis=1))
                     asks = _dump(anchor=some, id=s["id"][some], version=s["version"][some], label=s["label"][some],
                                  v=_narrow(s["v"][some]), open=due[some, :, leaf], low=low[some], high=high[some])
-                    n = int(t.blocks[leaf])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ablock] * n, pa.int64()), pa.array([leaf] * n, pa.int32()),
-                         pa.array(range(n), pa.int32()), pa.array([asks] * n, pa.binary())],
-                        ["ablock", "leaf", "block", "asks"])
+                    for block in range(int(t.blocks[leaf])):
+                        held.append((ablock, int(leaf), block, asks))
+                        if len(held) == VISITS:
+                            yield close()
+                            held = []
+        if held:
+            yield close()
+
+    # few and small files, but much work for each anchor
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return state.select("ablock", "state").repartition(parts, "ablock") \
+        .mapInArrow(run, "ablock long, leaf int, block int, asks binary")
+
 
-    return state.select("ablock", "state").mapInArrow(run, "ablock long, leaf int, block int, asks binary")
+def _pairs(visits: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Visits with their blocks, joined by a shuffle whatever Spark takes their sizes for."""
+    return visits.hint("merge").join(blocks, ["leaf", "block"])
 
 
 def _wave(tree: Tree, blocks: DataFrame, state: DataFrame, search: Search, first: int, last: float) -> DataFrame:
     """The state of all anchors after one wave of visits, written."""
     spark = state.sparkSession
-    pairs = _visit(spark, tree, state, search, first, last).join(blocks, ["leaf", "block"])
+    pairs = _pairs(_visit(spark, tree, state, search, first, last), blocks)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            found = [_dump(**search.compare(_load(a.as_py()), _load(d.as_py())))
+            found = [search.compare(_load(a.as_py()), _load(d.as_py()))
                      for a, d in zip(batch.column("asks"), batch.column("data"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("ablock"), batch.column("leaf"), pa.array(found, pa.binary())],
-                                             ["ablock", "leaf", "found"])
+            some = [i for i, f in enumerate(found) if len(f["group"])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("ablock").take(pa.array(some, pa.int32())), batch.column("leaf").take(pa.array(some, pa.int32())),
+                 pa.array([_dump(**found[i]) for i in some], pa.binary())], ["ablock", "leaf", "found"])
 
     def together(packs: list[bytes]) -> dict[str, np.ndarray]:
         parts = [_load(p) for p in packs]
